@@ -87,6 +87,7 @@ def main() -> None:
     spark = build_session(
         "oracle", f"local[{os.environ.get('CPUS', '8')}]",
         spark__sql__shuffle__partitions=8, spark__driver__memory="8g", spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
@@ -98,12 +99,12 @@ def main() -> None:
         try:
             result = compare(spark, connection, folder, name, function, sql.get(name))
         except Exception as problem:
-            result = {"name": name, "rows": -1, "seconds": 0, "problems": [str(problem)[:1500]]}
+            result = {"name": name, "rows": -1, "seconds": 0, "problems": [str(problem)[:400]]}
         bad += bool(result["problems"])
         kind = "rows only" if name not in sql else "ok" if not result["problems"] else "BAD"
         print(f"{kind:9} {name:28} {result['rows']:>8} rows {result['seconds']:>7}s")
         for problem in result["problems"]:
-            print("    ", problem)
+            print("    ", problem[:400])
     print(f"{bad} bad")
 
 

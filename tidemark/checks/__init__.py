@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("activity",)
+TOPICS = ("activity", "expressions", "repository")
 
 
 def load() -> tuple[dict, dict]:

@@ -52,7 +52,7 @@ def change_type(message: Column) -> Column:
 
 def first_int(text: Column, pattern: str = REQUEST_NUMBER) -> Column:
     """First group of the first match as a number; NULL when there is no match."""
-    return F.nullif(F.regexp_extract(text, F.lit(pattern), F.lit(1)), F.lit("")).try_cast("bigint")
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("bigint")
 
 
 def excerpt(text: Column, size: int, marker: str = "...") -> Column:
@@ -117,12 +117,12 @@ def options_map(text: Column) -> Column:
 
     A key given twice keeps its last value.
     """
-    pair = F.lit(r"(?s)(\w+)\s*=\s*(.+)")
+    pair = r"(?s)(\w+)\s*=\s*(.+)"
 
     def parsed(segment: Column) -> Column:
-        value = F.trim(F.regexp_extract(segment, pair, F.lit(2)))
+        value = F.trim(F.regexp_extract(segment, pair, 2))
         return F.struct(
-            F.regexp_extract(segment, pair, F.lit(1)).alias("key"),
+            F.regexp_extract(segment, pair, 1).alias("key"),
             F.regexp_replace(value, F.lit(r"(?s)^['\"](.*).$"), F.lit("$1")).alias("value"),
         )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +49,11 @@ class Activity:
     percents: Mapping[str, str] = field(default_factory=dict)  # output -> count column
 
 
+def _as(named: Mapping[str, str]) -> list[Column]:
+    """Columns of plain SQL expressions; one call each, where there are many."""
+    return [F.expr(f"{text} AS {name}") for name, text in named.items()]
+
+
 def _clock_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
     """Everything that can be summed, from one scan.
 
@@ -72,43 +77,50 @@ def _clock_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
         F.max(wall).alias("_last"),
     )
 
-    hours = [f"_h{h}" for h in range(24)]
+    office, off = in_office_hours(F.col("_hour")), out_of_office_hours(F.col("_hour"))
+    hours = {f"_h{h}": f"sum(if(_hour = {h}, _n, 0))" for h in range(24)}
     daily = hourly.repartition(a.actor).groupBy(a.actor, "_day").agg(
-        F.sum("_n").alias("_n"),
-        *[F.sum(F.when(F.col("_hour") == h, F.col("_n")).otherwise(0)).alias(f"_h{h}") for h in range(24)],
-        F.sum(F.when(in_office_hours(F.col("_hour")), F.col("_n")).otherwise(0)).alias("_office"),
-        F.sum(F.when(out_of_office_hours(F.col("_hour")), F.col("_n")).otherwise(0)).alias("_off"),
-        *[F.sum(name).alias(name) for name in sums],
-        *[F.max(name).alias(name) for name in a.any_of],
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"),
+        *_as({"_n": "sum(_n)", **hours}),
+        F.sum(F.when(office, F.col("_n")).otherwise(0)).alias("_office"),
+        F.sum(F.when(off, F.col("_n")).otherwise(0)).alias("_off"),
+        *_as({f"`{name}`": f"sum(`{name}`)" for name in sums}),
+        *_as({f"`{name}`": f"max(`{name}`)" for name in a.any_of}),
+        *_as({"_first": "min(_first)", "_last": "max(_last)"}),
     )
 
     weekday = F.dayofweek("_day")
-    days = [f"_d{d}" for d in range(1, 8)]
+    days = {f"_d{d}": f"sum(if(dayofweek(_day) = {d}, _n, 0))" for d in range(1, 8)}
+    recent_days = {
+        f"active_days_last_{n}": f"count_if(`{a.noun}_last_{n}_days` > 0)" for n in RECENT_DAY_DAYS
+    }
     per_actor = daily.groupBy(a.actor).agg(
-        F.sum("_n").alias(f"total_{a.noun}"),
-        F.count("_day").alias("active_days"),
-        F.avg("_n").alias(f"avg_{a.noun}_per_active_day"),
-        F.max("_n").alias(f"max_{a.noun}_in_day"),
-        F.sum(F.when(F.col("_day").isNull(), F.col("_n")).otherwise(0)).alias("_undated"),
-        *[F.sum(h).alias(h) for h in hours],
-        *[F.sum(F.when(weekday == d, F.col("_n")).otherwise(0)).alias(f"_d{d}") for d in range(1, 8)],
+        *_as(
+            {
+                f"total_{a.noun}": "sum(_n)",
+                "active_days": "count(_day)",
+                f"avg_{a.noun}_per_active_day": "avg(_n)",
+                f"max_{a.noun}_in_day": "max(_n)",
+                "_undated": "sum(if(_day IS NULL, _n, 0))",
+                **{h: f"sum({h})" for h in hours},
+                **days,
+            }
+        ),
         F.sum(F.when(in_weekend(weekday), F.col("_n")).otherwise(0)).alias(f"weekend_{a.noun}"),
         F.sum(F.when(on_weekday(weekday), F.col("_n")).otherwise(0)).alias(f"weekday_{a.noun}"),
-        F.sum("_office").alias(f"business_hours_{a.noun}"),
-        F.sum("_off").alias(f"off_hours_{a.noun}"),
-        *[F.sum(name).alias(name) for name in sums],
-        *[
-            F.count_if(F.col(f"{a.noun}_last_{n}_days") > 0).alias(f"active_days_last_{n}")
-            for n in RECENT_DAY_DAYS
-        ],
-        *[F.max(name).alias(name) for name in a.any_of],
-        F.min("_first").alias("first_at"),
-        F.max("_last").alias("last_at"),
+        *_as(
+            {
+                f"business_hours_{a.noun}": "sum(_office)",
+                f"off_hours_{a.noun}": "sum(_off)",
+                **{f"`{name}`": f"sum(`{name}`)" for name in sums},
+                **recent_days,
+                **{f"`{name}`": f"max(`{name}`)" for name in a.any_of},
+                "first_at": "min(_first)",
+                "last_at": "max(_last)",
+            }
+        ),
     )
 
-    def busiest(slots: Sequence[str], first: int) -> Column:
+    def busiest(slots: Iterable[str], first: int) -> Column:
         # Rows without a time are a slot of their own, in front of all others.
         counts = F.array("_undated", *slots)
         place = F.array_position(counts, F.array_max(counts))

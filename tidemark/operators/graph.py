@@ -38,7 +38,7 @@ def source_pairs(text: Column) -> Column:
 def scan_models(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Name, references, sources and options of every code text."""
     name = F.regexp_replace(F.regexp_extract(F.col(path), r"([^/]*)$", 1), r"\.sql$", "")
-    options = F.regexp_extract(F.col(text), F.lit(OPTIONS), F.lit(1))
+    options = F.regexp_extract(F.col(text), OPTIONS, 1)
     return texts.select(
         name.alias("name"),
         F.col(path).alias("path"),

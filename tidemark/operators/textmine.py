@@ -71,7 +71,7 @@ def is_metric_name(name: Column) -> Column:
 
 def domain_of(name: Column) -> Column:
     """``fct_orders`` gives ``orders``; NULL without a known prefix."""
-    rest = F.regexp_extract(name, F.lit(LAYER_PREFIX), F.lit(2))
+    rest = F.regexp_extract(name, LAYER_PREFIX, 2)
     return F.translate(F.nullif(rest, F.lit("")), "_", " ")
 
 
