@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.parsing import safe_bool, safe_int, safe_timestamp, scalar_text
+from tidemark.functions.parsing import safe_bool, safe_int, safe_timestamp
 
-# Leaf kind -> (type the parser gives the leaf, expression over that leaf).
-# Text leaves are read as VARIANT, which still tells a string from an object or
-# an array; the others can stay text, because no object text survives their cast.
+
+def _text_leaf(text: Column, payload: Column, path: str) -> Column:
+    """The text of a scalar; NULL for an object or an array.
+
+    The parser gives nested values as JSON text, which a message such as ``[WIP]``
+    resembles.  Only a leaf that starts like one is looked up in the payload again.
+    """
+    found = F.try_variant_get(F.try_parse_json(payload), f"$.{path}", "variant")
+    is_string = F.to_json(found).startswith('"')
+    return F.when(F.substring(text, 1, 1).isin("{", "["), F.when(is_string, text)).otherwise(text)
+
+
+# Leaf kind -> column of the leaf's text, the payload and the path.  Numbers,
+# flags and times need no look at the payload: no object text survives their cast.
 LEAF_KINDS = {
-    "text": ("variant", scalar_text),
-    "int": ("string", safe_int),
-    "bool": ("string", safe_bool),
-    "timestamp": ("string", safe_timestamp),
+    "text": _text_leaf,
+    "int": lambda text, *_: safe_int(text),
+    "bool": lambda text, *_: safe_bool(text),
+    "timestamp": lambda text, *_: safe_timestamp(text),
     # A whole sub-object, kept as JSON text.
-    "json": ("string", lambda text: F.coalesce(text, F.lit("null"))),
+    "json": lambda text, *_: F.coalesce(text, F.lit("null")),
 }
 
 
-def payload_schema(leaves: Mapping[str, tuple[str, str]]) -> str:
-    """DDL of the parsed payload: nested structs with one field per path step."""
+def payload_schema(paths: Iterable[str]) -> str:
+    """DDL of the parsed payload: nested structs with a string at every path."""
     tree: dict = {}
-    for path, kind in leaves.values():
+    for path in paths:
         *parents, leaf = path.split(".")
         node = tree
         for step in parents:
             node = node.setdefault(step, {})
-            if not isinstance(node, dict):
+            if node is None:
                 raise ValueError(f"{path}: {step} is also read as a leaf")
-        if isinstance(node.get(leaf), dict) or node.get(leaf, LEAF_KINDS[kind][0]) != LEAF_KINDS[kind][0]:
-            raise ValueError(f"{path}: read in two ways")
-        node[leaf] = LEAF_KINDS[kind][0]
+        if node.get(leaf) is not None:
+            raise ValueError(f"{path} is also read as an object")
+        node[leaf] = None
 
     def ddl(node: dict) -> str:
-        fields = (f"`{name}`: {ddl(t) if isinstance(t, dict) else t}" for name, t in node.items())
+        fields = (f"`{name}`: {'string' if inner is None else ddl(inner)}" for name, inner in node.items())
         return f"struct<{', '.join(fields)}>"
 
     return ddl(tree)
@@ -54,12 +65,11 @@ def flatten_payload(
     The payload is parsed once for all leaves, and Catalyst prunes the parser's
     schema down to the leaves a consumer really reads.
     """
-    parsed = df.select(*keep, F.from_json(F.col(payload), payload_schema(leaves)).alias("_payload"))
+    schema = payload_schema(path for path, _ in leaves.values())
+    kept = [F.col(c) if isinstance(c, str) else c for c in keep]
+    data = F.col(payload)
+    parsed = df.select(*kept, data.alias("_data"), F.from_json(data, schema).alias("_payload"))
     columns = []
     for name, (path, kind) in leaves.items():
-        field = F.col("_payload")
-        for step in path.split("."):
-            field = field.getField(step)
-        columns.append(LEAF_KINDS[kind][1](field).alias(name))
-    kept = [F.col(c) if isinstance(c, str) else F.col(parsed.columns[i]) for i, c in enumerate(keep)]
-    return parsed.select(*kept, *columns)
+        columns.append(LEAF_KINDS[kind](F.col(f"_payload.{path}"), F.col("_data"), path).alias(name))
+    return parsed.select(*[F.col(f"`{name}`") for name in parsed.columns[: len(kept)]], *columns)
