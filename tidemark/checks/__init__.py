@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("activity", "expressions", "repository", "profiling")
+TOPICS = ("activity", "expressions", "repository", "profiling", "loading", "relations", "texts")
 
 
 def load() -> tuple[dict, dict]:

@@ -75,7 +75,8 @@ def html_to_text(html: Column, cap: int | None = None) -> Column:
 
 
 # Comment forms of SQL text.
-LINE_COMMENT = r"--[^\n\r\x{2028}\x{2029}]*"
+IN_LINE = r"[^\n\r\x{2028}\x{2029}]"
+LINE_COMMENT = rf"--{IN_LINE}*"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 
 
@@ -89,7 +90,7 @@ def normalise_sql(text: Column) -> Column:
 
 def comments(text: Column) -> Column:
     """Array of comment bodies: all line comments, then all block comments."""
-    line = rf"--{WHITE_SPACE}*([^\n\r\x{2028}\x{2029}]+)"
+    line = rf"--{WHITE_SPACE}*({IN_LINE}+)"
     block = rf"(?s)/\*{WHITE_SPACE}*(.*?){WHITE_SPACE}*\*/"
     return F.concat(
         F.regexp_extract_all(text, F.lit(line), F.lit(1)),
