@@ -170,7 +170,7 @@ def _table_sink(t: Tables) -> DataFrame:
 
 @query(
     "text_corpus",
-    """SELECT source || '/' || lang || '.sql' AS path, count(*) AS n_lines FROM documents GROUP BY source, lang""",
+    """SELECT source || '/' || lang AS path, CAST(1 AS BIGINT) AS n_files, count(*) AS n_lines FROM documents GROUP BY source, lang""",
 )
 def _text_corpus(t: Tables) -> DataFrame:
     """One file per source and language, read back as whole texts."""
@@ -178,9 +178,10 @@ def _text_corpus(t: Tables) -> DataFrame:
     lines = t.documents.select("source", "lang", F.concat(F.lit("-- doc "), F.col("doc_id").cast("string")).alias("value"))
     lines.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
     texts = read_texts(t.spark, path, "*.txt")
-    place = F.regexp_extract("path", r"source=([^/]*)/lang=([^/]*)/", 1), F.regexp_extract("path", r"source=([^/]*)/lang=([^/]*)/", 2)
-    n = F.size(F.regexp_extract_all("text", F.lit("-- doc "), F.lit(0))).cast("bigint")
-    return texts.groupBy(F.concat(place[0], F.lit("/"), place[1], F.lit(".sql")).alias("path")).agg(F.sum(n).alias("n_lines"))
+    place = r"source=([^/]*)/lang=([^/]*)/"
+    path = F.concat_ws("/", F.regexp_extract("path", place, 1), F.regexp_extract("path", place, 2))
+    lines = F.size(F.regexp_extract_all("text", F.lit("-- doc "), F.lit(0))).cast("bigint")
+    return texts.groupBy(path.alias("path")).agg(F.count("*").alias("n_files"), F.sum(lines).alias("n_lines"))
 
 
 @query(

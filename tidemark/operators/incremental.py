@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.dedupe import latest_rows
-from tidemark.session import path_exists, storage_path
+from tidemark.session import path_exists, read_marker, storage_path, write_marker
 
 BUCKET = "key_bucket"
 DEFAULT_BUCKETS = 64
@@ -67,16 +69,22 @@ def bucket_of(df: DataFrame, key: str | Sequence[str], buckets: int) -> Column:
     return F.pmod(hashed, F.lit(buckets).cast("bigint")).cast("int")
 
 
+def _read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table with its bucket column, under the schema its marker holds."""
+    schema = read_marker(spark, f"{path}/{_READY}")
+    if schema is None:
+        return None
+    return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)
+
+
 def read_target(spark: SparkSession, path: str) -> DataFrame | None:
     """The table without its bucket column; None before the first load."""
-    if not path_exists(spark, f"{path}/{_READY}"):
-        return None
-    return spark.read.parquet(path).drop(BUCKET)
+    target = _read_buckets(spark, path)
+    return None if target is None else target.drop(BUCKET)
 
 
-def _mark_ready(spark: SparkSession, path: str) -> None:
-    fs, marker = storage_path(spark, f"{path}/{_READY}")
-    fs.create(marker, True).close()
+def _mark_ready(df: DataFrame, path: str) -> None:
+    write_marker(df.sparkSession, f"{path}/{_READY}", df.schema.json())
 
 
 def _write_buckets(placed: DataFrame, path: str, mode: str) -> None:
@@ -93,7 +101,7 @@ def _write_buckets(placed: DataFrame, path: str, mode: str) -> None:
 def _publish(spark: SparkSession, path: str) -> None:
     """Put the staged buckets in place of the old ones.  Safe to repeat."""
     staged = f"{path}/{_STAGED}"
-    _write_buckets(spark.read.parquet(staged), path, "dynamic")
+    _write_buckets(_read_buckets(spark, staged), path, "dynamic")
     fs, staged_path = storage_path(spark, staged)
     fs.delete(staged_path, True)
 
@@ -125,7 +133,7 @@ def upsert(
     placed = batch.withColumn(BUCKET, bucket_of(batch, key, buckets))
     if full_refresh or not path_exists(spark, f"{path}/{_READY}"):
         _write_buckets(placed, path, "static")
-        _mark_ready(spark, path)
+        _mark_ready(placed, path)
         return
     recover(spark, path)
     # Read twice below: for the buckets it touches, then for the merge.
@@ -135,10 +143,10 @@ def upsert(
         touched = [row[0] for row in placed.select(BUCKET).distinct().collect()]
         if not touched:
             return
-        target = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+        target = _read_buckets(spark, path).where(F.col(BUCKET).isin(touched))
         merged = merge_rows(target, placed.select(*target.columns), key, newer_by)
         merged.write.mode("overwrite").parquet(f"{path}/{_STAGED}")
-        _mark_ready(spark, f"{path}/{_STAGED}")
+        _mark_ready(merged, f"{path}/{_STAGED}")
     finally:
         placed.unpersist()
     _publish(spark, path)

@@ -87,3 +87,22 @@ def broadcast_if_small(df: DataFrame, column: str, limit: int = BROADCAST_BYTES)
     """
     rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()
     return (F.broadcast(df) if size + 16 * rows <= limit else df), rows
+
+
+def write_marker(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that says a folder is complete."""
+    fs, marker = storage_path(spark, path)
+    stream = fs.create(marker, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    fs, marker = storage_path(spark, path)
+    if not fs.exists(marker):
+        return None
+    stream = fs.open(marker)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

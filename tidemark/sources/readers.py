@@ -73,12 +73,7 @@ def read_jdbc(
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.sql") -> DataFrame:
     """(path, text) of every matching file below ``folder``; path is relative to it."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(folder)
-    )
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     inside = F.substring_index(F.col("_metadata.file_path"), folder.rstrip("/") + "/", -1)
     return files.select(inside.alias("path"), F.col("value").alias("text"))
 
