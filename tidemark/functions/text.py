@@ -121,7 +121,7 @@ def options_map(text: Column) -> Column:
     pair = r"(?s)(\w+)\s*=\s*(.+)"
 
     def parsed(segment: Column) -> Column:
-        value = F.trim(F.regexp_extract(segment, pair, 2))
+        value = F.regexp_replace(F.regexp_extract(segment, pair, 2), rf"{WHITE_SPACE}+$", "")
         return F.struct(
             F.regexp_extract(segment, pair, 1).alias("key"),
             F.regexp_replace(value, F.lit(r"(?s)^['\"](.*).$"), F.lit("$1")).alias("value"),
