@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import fingerprint as fp
 from tidemark.operators import graph
 from tidemark.operators.graph import Selector
-from tidemark.operators.joins import include_exclude, lookup_by_any_name, orphan_keys, resolve_edges
+from tidemark.operators.joins import include_exclude, lookup_by_any_name, orphan_keys, resolve_edges, spread_join
 from tidemark.operators.quality import NotNull, Relationship, Unique, repeated_values, run_checks
 from tidemark.operators.usage import price_table, run_summary, usage_cost
 from tidemark.sources.readers import read_texts
@@ -158,6 +158,37 @@ def test_lookup_by_name_or_alias(spark):
     assert rows(got, "q") == [("a", 1, "a"), ("c", 3, "c"), ("x", 1, "a"), ("zz", None, None)]
 
 
+@pytest.mark.parametrize("hot", [[], [1], [1, 5], None])
+def test_spread_join_is_the_plain_join(spark, hot):
+    # A third of the rows has key 1, another third none.
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 2, F.col("id") % 10).cast("int").alias("k"), "id")
+    lookup = spark.createDataFrame([(1, "one"), (5, "five"), (99, "none")], "k int, name string")
+    assert sorted(spread_join(df, lookup, "k", "left", hot, salts=7).select("k", "id", "name").collect(), key=str) == sorted(
+        df.join(lookup, "k", "left").select("k", "id", "name").collect(), key=str)
+    for how in ("left_semi", "left_anti"):
+        got = spread_join(df, lookup, "k", how, hot, salts=7).select("k", "id").collect()
+        assert sorted(got, key=str) == sorted(df.join(lookup, "k", how).select("k", "id").collect(), key=str)
+
+
+def test_hot_keys_are_found_and_spread(spark, monkeypatch):
+    from tidemark.operators import joins
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    assert joins.hot_keys(df, "k") == []
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    assert joins.hot_keys(df, "k") == [1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        lookup = spark.createDataFrame([(1, "one")], "k bigint, name string")
+        joined = joins.spread_join(df, lookup, "k")
+        sizes = joined.where("k = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 6668
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
 def test_dangling_edges(spark):
     edges = spark.createDataFrame([("m", "model.a"), ("m", "model.gone")], "dst string, src string")
     nodes = spark.createDataFrame([("model.a", "a")], "id string, name string")

@@ -312,12 +312,13 @@ def _required_keys(t: Tables) -> DataFrame:
 
 @query(
     "array_length",
-    """SELECT conv_id, turn, CAST(CASE WHEN role = 'system' THEN 0 ELSE turn + 1 END AS INTEGER) AS n_entries FROM conversations""",
+    """SELECT p_partkey, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS n_entries FROM part""",
 )
 def _array_length(t: Tables) -> DataFrame:
-    entries = F.to_json(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("turn")), lambda i: i))
-    landed = t.conversations.select("conv_id", "turn", F.when(F.col("role") != "system", entries).alias("entries"))
-    return landed.select("conv_id", "turn", parsing.json_array_size(F.col("entries"), strict=True).alias("n_entries"))
+    """Arrays of up to 40 entries; larger parts have no text at all."""
+    size = F.col("p_size")
+    landed = t.part.select("p_partkey", F.when(size <= 40, F.to_json(F.sequence(F.lit(1), size))).alias("entries"))
+    return landed.select("p_partkey", parsing.json_array_size(F.col("entries"), strict=True).alias("n_entries"))
 
 
 @query(

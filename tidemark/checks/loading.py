@@ -235,69 +235,61 @@ def _character_status(t: Tables) -> DataFrame:
     return show_catalog.character_status(characters(t))
 
 
+def episodes(t: Tables) -> DataFrame:
+    """Parts as flat text records of episodes with ``p_size`` characters each."""
+    size = F.col("p_size")
+    landed = t.part.select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("air_date"),
+        F.col("p_brand").alias("episode"),
+        F.lit("u").alias("url"),
+        F.lit("2017-11-10T12:56:33Z").alias("created"),
+        F.when(size > 25, F.to_json(F.transform(F.sequence(F.lit(1), size), lambda i: i.cast("string")))).alias("characters"),
+    )
+    return show_catalog.stage_episodes(landed)
+
+
 @query(
     "episode_summary",
-    """SELECT CAST(o_orderkey AS INTEGER) AS episode_id, 'S' || o_orderstatus AS episode_code, o_orderpriority AS name,
-    strftime(o_orderdate, '%Y-%m-%d') AS air_date, CAST(coalesce(n, 0) AS INTEGER) AS character_count
-    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    """SELECT CAST(p_partkey AS INTEGER) AS episode_id, p_brand AS episode_code, p_name AS name, p_type AS air_date,
+    CASE WHEN p_size > 25 THEN p_size ELSE 0 END AS character_count FROM part""",
 )
 def _episode_summary(t: Tables) -> DataFrame:
-    """Orders as episodes, their lines as the characters; a JSON array text per episode."""
-    # An order has a handful of lines, so the list that is gathered stays short.
-    cast = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.sort_array(F.collect_list("l_partkey"))).alias("characters"))
-    landed = t.orders.join(cast, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
-        F.col("o_orderkey").cast("string").alias("id"),
-        F.col("o_orderpriority").alias("name"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("air_date"),
-        F.concat(F.lit("S"), "o_orderstatus").alias("episode"),
-        F.lit(None).cast("string").alias("url"),
-        F.lit("2017-11-10T12:56:33.798Z").alias("created"),
-        "characters",
-    )
-    return show_catalog.episode_summary(show_catalog.stage_episodes(landed))
+    return show_catalog.episode_summary(episodes(t))
+
+
+@query(
+    "episode_character_counts",
+    """SELECT CAST(p_partkey AS INTEGER) AS episode_id, p_brand AS episode_code, CASE WHEN p_size > 25 THEN p_size ELSE 0 END AS character_count,
+    TIMESTAMP '2017-11-10 12:56:33' AS created_at FROM part""",
+)
+def _episode_character_counts(t: Tables) -> DataFrame:
+    counts = show_catalog.episode_character_counts(episodes(t))
+    return counts.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query(
     "location_summary",
-    """SELECT CAST(n_nationkey AS INTEGER) AS location_id, n_name AS name, nullif(CASE WHEN n_regionkey = 0 THEN '' ELSE r_name END, '') AS location_type,
-    r_name AS dimension, CAST(coalesce(n, 0) AS INTEGER) AS resident_count FROM nation JOIN region ON r_regionkey = n_regionkey
-    LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""",
+    """SELECT CAST(s_suppkey AS INTEGER) AS location_id, s_name AS name, nullif(CASE WHEN s_acctbal > 0 THEN '' ELSE 'type' END, '') AS location_type,
+    'dim' || CAST(s_nationkey AS VARCHAR) AS dimension, s_nationkey AS resident_count FROM supplier""",
 )
 def _location_summary(t: Tables) -> DataFrame:
-    """Nations as locations; their suppliers, counted first, as a JSON array of that length."""
-    residents = t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    named = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
-    landed = named.join(residents, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("n_nationkey").cast("string").alias("id"),
-        F.col("n_name").alias("name"),
-        F.when(F.col("n_regionkey") == 0, "").otherwise(F.col("r_name")).alias("type"),
-        F.col("r_name").alias("dimension"),
+    """Suppliers as locations with as many residents as their nation's number."""
+    nation = F.col("s_nationkey")
+    people = F.when(nation > 0, F.sequence(F.lit(1), nation)).otherwise(F.array().cast("array<int>"))
+    landed = t.supplier.select(
+        F.col("s_suppkey").cast("string").alias("id"),
+        F.col("s_name").alias("name"),
+        F.when(F.col("s_acctbal") > 0, "").otherwise("type").alias("type"),
+        F.concat(F.lit("dim"), nation.cast("string")).alias("dimension"),
         F.lit(None).cast("string").alias("url"),
         F.lit("2017-11-10T12:42:04.162Z").alias("created"),
-        F.to_json(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("residents"),
+        F.to_json(people).alias("residents"),
     )
     return show_catalog.location_summary(show_catalog.stage_locations(landed))
 
 
-@query(
-    "episode_character_counts",
-    """SELECT CAST(conv_id AS INTEGER) AS episode_id, role AS episode_code, CAST(turn + 1 AS INTEGER) AS character_count,
-    TIMESTAMP '2017-11-10 12:56:33' AS created_at FROM conversations""",
-)
-def _episode_character_counts(t: Tables) -> DataFrame:
-    landed = t.conversations.select(
-        F.col("conv_id").cast("string").alias("id"),
-        F.lit("n").alias("name"),
-        F.lit("d").alias("air_date"),
-        F.col("role").alias("episode"),
-        F.lit("u").alias("url"),
-        F.lit("2017-11-10T12:56:33Z").alias("created"),
-        F.to_json(F.sequence(F.lit(0).cast("bigint"), F.col("turn"))).alias("characters"),
-    )
-    counts = show_catalog.episode_character_counts(show_catalog.stage_episodes(landed))
-    return counts.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-
-
 @query(
     "label_counts",
     """SELECT coalesce(lang, 'unknown') AS lang, count(*) AS n FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.checks.registry import Tables, query
 from tidemark.operators import graph
 from tidemark.operators.graph import Selector
-from tidemark.operators.joins import include_exclude, lookup_by_any_name, resolve_edges
+from tidemark.operators.joins import include_exclude, lookup_by_any_name, resolve_edges, spread_join
 from tidemark.operators.usage import price_table, run_errors, run_summary, usage_cost
 
 
@@ -254,7 +254,7 @@ def _semi_anti(t: Tables) -> DataFrame:
 )
 def _left_dimension_join(t: Tables) -> DataFrame:
     dimension = t.customer.where("c_acctbal > 0").groupBy(F.col("c_custkey").alias("o_custkey")).agg(F.max("c_acctbal").alias("last_balance"))
-    return t.orders.select("o_orderkey", "o_custkey").join(dimension, "o_custkey", "left")
+    return spread_join(t.orders.select("o_orderkey", "o_custkey"), dimension, "o_custkey")
 
 
 _MODEL = """CASE role WHEN 'user' THEN 'claude-3-5-sonnet-20241022' WHEN 'assistant' THEN 'gpt-4o-mini' ELSE 'unknown-model' END"""

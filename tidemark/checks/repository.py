@@ -13,6 +13,8 @@ from tidemark.checks.activity import k_of, newest
 from tidemark.checks.registry import Tables, query
 from tidemark.operators.quality import run_checks
 from tidemark.plans import repository_activity as repo
+from tidemark.session import scratch_path
+from tidemark.sources.sinks import write_table
 
 EXTRACTED = "2024-02-01 00:00:00"
 
@@ -263,7 +265,10 @@ SELECT id AS committer_id, * EXCLUDE (id),
 FROM base LEFT JOIN latest USING (id) LEFT JOIN mails USING (id) LEFT JOIN hours USING (id) LEFT JOIN dows USING (id) LEFT JOIN days USING (id)""",
 )
 def _committers_mart(t: Tables) -> DataFrame:
-    staged = repo.stage_commits(landed_commits(t))
+    """From a stored staging table, as the mart reads several columns of it more than once."""
+    path = scratch_path(t.spark, "staged")
+    write_table(repo.stage_commits(landed_commits(t)), path)
+    staged = t.spark.read.parquet(path)
     return without_zone(repo.committers_mart(staged, newest(t.events, "ts")))
 
 

@@ -51,13 +51,15 @@ def scan_models(texts: DataFrame, path: str = "path", text: str = "text") -> Dat
 
 def model_edges(models: DataFrame) -> DataFrame:
     """(src, dst, kind, position): what each model reads, in order of appearance."""
-    refs = models.select(
-        F.col("name").alias("dst"), F.posexplode("refs").alias("position", "src")
-    ).withColumn("kind", F.lit("model"))
-    sources = models.select(
-        F.col("name").alias("dst"), F.posexplode("sources").alias("position", "s")
-    ).select("dst", "position", F.concat("s.source_name", F.lit("."), "s.table_name").alias("src"), F.lit("source").alias("kind"))
-    return refs.select("src", "dst", "kind", "position").unionByName(sources)
+
+    def listed(names: Column, kind: str) -> Column:
+        return F.transform(
+            names, lambda name, i: F.struct(name.alias("src"), F.lit(kind).alias("kind"), i.alias("position"))
+        )
+
+    tables = F.transform("sources", lambda s: F.concat(s["source_name"], F.lit("."), s["table_name"]))
+    edges = F.concat(listed(F.col("refs"), "model"), listed(tables, "source"))
+    return models.select(F.col("name").alias("dst"), F.inline(edges)).select("src", "dst", "kind", "position")
 
 
 def model_totals(models: DataFrame) -> DataFrame:

@@ -7,13 +7,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import top_k
+
+
+# At most this many keys are treated as hot: the largest ones.
+HOT_KEYS = 1000
+# How much of a table is looked at to find its hot keys.
+HOT_SAMPLE = 0.01
+# A key with fewer sampled rows needs no care.
+HOT_ROWS = 100_000
+# Pieces a hot key is split into.
+SALTS = 64
+
+_SALT = "_salt"
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys that hold a large share of the rows, judged by a sample.
+
+    The list only routes rows in ``spread_join``; no result depends on it.
+    """
+    sampled = df.where(F.col(key).isNotNull()).select(key).sample(HOT_SAMPLE, seed=1)
+    counts = sampled.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    large = top_k(counts, [F.desc("n"), F.asc(key)], HOT_KEYS)
+    return [row[0] for row in large.collect()]
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: Sequence | None = None, salts: int = SALTS
+) -> DataFrame:
+    """Left, semi or anti join with a ``lookup`` that holds each key at most once.
+
+    Rows of a hot key are spread over ``salts`` tasks by a hash of the whole row,
+    and the lookup's row of that key is repeated for each.  NULL keys, which match
+    nothing, are spread as well.  Without ``hot`` the keys are found by a sample.
+    """
+    hot = hot_keys(rows, key) if hot is None else list(hot)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts).cast("bigint")).cast("int")
+    salted = rows.withColumn(_SALT, F.when(F.col(key).isNull() | is_hot, piece).otherwise(F.lit(0)))
+    pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn(_SALT, F.explode(pieces) if hot else F.lit(0))
+    return salted.join(repeated, [key, _SALT], how).drop(_SALT)
+
 
 def include_exclude(df: DataFrame, key: str, include: DataFrame | None, exclude: DataFrame | None) -> DataFrame:
     """Rows whose key is in ``include`` (if given) and not in ``exclude`` (if given)."""
+    hot = hot_keys(df, key)
     if include is not None:
-        df = df.join(include.select(key).distinct(), key, "left_semi")
+        df = spread_join(df, include.select(key).distinct(), key, "left_semi", hot)
     if exclude is not None:
-        df = df.join(exclude.select(key).distinct(), key, "left_anti")
+        df = spread_join(df, exclude.select(key).distinct(), key, "left_anti", hot)
     return df
 
 
@@ -40,7 +84,7 @@ def lookup_by_any_name(
     aliases = F.explode(F.array_distinct(F.array_compact(F.array(*names))))
     listed = nodes.select(aliases.alias(asked_name), F.struct(node_id, *[c for c in nodes.columns if c != node_id]).alias("_node"))
     best = listed.groupBy(asked_name).agg(F.min_by("_node", F.col(f"_node.{node_id}")).alias("_node"))
-    return asked.join(best, asked_name, "left").select(*asked.columns, *[F.col(f"_node.{c}").alias(c) for c in nodes.columns])
+    return spread_join(asked, best, asked_name).select(*asked.columns, *[F.col(f"_node.{c}").alias(c) for c in nodes.columns])
 
 
 def resolve_edges(
@@ -52,7 +96,7 @@ def resolve_edges(
     """
     named = nodes.select(F.col(node_id).alias(target), F.col(name).alias("_name"))
     fallback = F.col(target) if missing is None else missing
-    joined = edges.join(named, target, "left")
+    joined = spread_join(edges, named, target)
     return joined.withColumn(target, F.coalesce("_name", fallback)).drop("_name").select(*edges.columns)
 
 

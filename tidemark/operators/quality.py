@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import orphan_keys
+from tidemark.operators.profile import value_histogram
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def _report_row(check: Check, kind: str, failures: Column) -> list[Column]:
 def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One row per check with its failures and a status: pass, warn or fail.
 
-    All not-null checks of a table share one scan.  Failures are rows for
+    All not-null checks of a table share one scan, and so do its unique checks.  Failures are rows for
     not_null and relationships, and repeated values for unique.
     """
     parts: list[DataFrame] = []
@@ -80,11 +81,16 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
         )
         rows = [F.struct(*_report_row(c, "not_null", F.col(f"n{i}"))) for i, c in enumerate(wanted)]
         parts.append(counted.select(F.inline(F.array(*rows))))
+    for table in dict.fromkeys(c.table for c in checks if isinstance(c, Unique)):
+        wanted = [c for c in checks if isinstance(c, Unique) and c.table == table]
+        repeated = value_histogram(tables[table], [c.column for c in wanted]).where(F.col("n") > 1)
+        counted = repeated.agg(
+            *[F.count_if(F.col("column_name") == c.column).alias(f"n{i}") for i, c in enumerate(wanted)]
+        )
+        rows = [F.struct(*_report_row(c, "unique", F.col(f"n{i}"))) for i, c in enumerate(wanted)]
+        parts.append(counted.select(F.inline(F.array(*rows))))
     for check in checks:
-        if isinstance(check, Unique):
-            found = repeated_values(tables[check.table], check.column).agg(F.count("*").alias("n"))
-            parts.append(found.select(*_report_row(check, "unique", F.col("n"))))
-        elif isinstance(check, Relationship):
+        if isinstance(check, Relationship):
             orphans = orphan_keys(tables[check.table], check.column, tables[check.parent], check.parent_column)
             found = orphans.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
             parts.append(found.select(*_report_row(check, "relationships", F.col("n"))))
