@@ -16,6 +16,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM never compiles methods beyond this size; a wide JSON projection is
+    # faster as many small methods than as one large interpreted one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
