@@ -92,8 +92,8 @@ def _profile_minmax(t: Tables) -> DataFrame:
     "profile_top_values",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, CAST(rn AS INTEGER) AS value_rank, value, n FROM (
-        SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rn FROM (
-          SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY ALL)) WHERE rn <= 5"""
+        SELECT CAST(value AS VARCHAR) AS value, n, row_number() OVER (ORDER BY n DESC, value) AS rn FROM (
+          SELECT {c} AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY ALL)) WHERE rn <= 5"""
         for table, columns in (("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),)
         for c in columns
     ),
@@ -131,10 +131,10 @@ def _column_profile(t: Tables) -> DataFrame:
 @query(
     "column_samples",
     """SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM (
-    SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rn FROM (
-      SELECT 'source' AS column_name, source AS value, count(*) AS n FROM documents GROUP BY ALL
-      UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY ALL
-      UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR), count(*) FROM documents GROUP BY ALL)) WHERE rn <= 5 GROUP BY column_name""",
+    SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, number, value) AS rn FROM (
+      SELECT 'source' AS column_name, source AS value, 0 AS number, count(*) AS n FROM documents GROUP BY ALL
+      UNION ALL SELECT 'lang', lang, 0, count(*) FROM documents GROUP BY ALL
+      UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR), n_chars, count(*) FROM documents GROUP BY ALL)) WHERE rn <= 5 GROUP BY column_name""",
 )
 def _column_samples(t: Tables) -> DataFrame:
     profile = pr.column_profile(t.documents.select("source", "lang", "n_chars"), "documents")
@@ -157,12 +157,12 @@ _TEXT_SAFE = ["l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_lines
         """SELECT 'lineitem' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count,
         100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_percentage FROM {t}""",
     )
-    + ") b LEFT JOIN (SELECT column_name, string_agg(value, ',' ORDER BY n DESC, value) AS sample_values FROM ("
+    + ") b LEFT JOIN (SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM ("
     + _per_column(
         "lineitem",
         _TEXT_SAFE,
-        """(SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t}
-        GROUP BY ALL ORDER BY n DESC, CAST({c} AS VARCHAR) LIMIT 5)""",
+        """(SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY n DESC, {c}) AS rn
+        FROM (SELECT {c}, count(*) AS n FROM {t} GROUP BY ALL) QUALIFY rn <= 5)""",
     )
     + ") GROUP BY column_name) s ON s.column_name = b.column_name",
 )

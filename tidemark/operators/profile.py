@@ -12,7 +12,6 @@ from concurrent.futures import ThreadPoolExecutor
 from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +39,40 @@ def first_temporal(schema: T.StructType) -> str | None:
     return next((f.name for f in schema if isinstance(f.dataType, TEMPORAL)), None)
 
 
-def value_text(field: T.StructField) -> Column:
-    """A text that is equal exactly when the values are equal."""
-    column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        # -0.0 and 0.0 are the same number.
-        return F.when(column == 0, F.lit(0).cast(field.dataType)).otherwise(column).cast("string")
-    if isinstance(field.dataType, T.BinaryType):
-        return F.hex(column)
-    if isinstance(field.dataType, T.MapType):
-        return F.to_json(F.sort_array(F.map_entries(column)))
-    if isinstance(field.dataType, NESTED):
-        return F.to_json(column)
-    return column.cast("string")
+# A value is held in the slot of its type, so that counting values needs no texts.
+SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
+
+
+def value_slot(field: T.StructField) -> tuple[str, Column]:
+    """Slot of a column and its value there; equal exactly when the values are equal.
+
+    Grouping treats -0.0 and 0.0 as one number already.
+    """
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.IntegralType):
+        return "whole", column.cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return "whole", F.unix_micros(column)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "real", column.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        return "moment", column.cast("timestamp_ntz")
+    if isinstance(kind, T.BinaryType):
+        return "text", F.hex(column)
+    if isinstance(kind, T.MapType):
+        return "text", F.to_json(F.sort_array(F.map_entries(column)))
+    if isinstance(kind, NESTED):
+        return "text", F.to_json(column)
+    return "text", column.cast("string")
+
+
+def shown_value(field: T.StructField) -> Column:
+    """The text of a value, from its slot."""
+    slot, _ = value_slot(field)
+    value = F.col(slot)
+    if isinstance(field.dataType, T.TimestampType):
+        return F.timestamp_micros(value).cast("string")
+    return value.cast("string") if slot == "text" else value.cast(field.dataType).cast("string")
 
 
 def column_basics(df: DataFrame) -> DataFrame:
@@ -87,16 +107,31 @@ def column_basics(df: DataFrame) -> DataFrame:
     return basics.withColumn("null_percentage", F.when(F.col("row_count") > 0, share).otherwise(F.lit(0.0)))
 
 
+def _chosen(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.StructField]]:
+    wanted = set(df.columns if columns is None else columns)
+    return [(i + 1, f) for i, f in enumerate(df.schema) if f.name in wanted]
+
+
 def value_histogram(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(column_name, value, n) for every distinct non-null value of every column.
+    """(ordinal, slots, n) for every distinct non-null value of every column.
 
     NULLs are dropped before the exchange and equal values are counted on the map
     side, so neither a sparse column nor a dominant value makes a hot task.
     """
-    wanted = set(df.columns if columns is None else columns)
-    texts = df.select(*[value_text(f).alias(f.name) for f in df.schema if f.name in wanted])
-    long = texts.unpivot([], [F.col(f"`{name}`") for name in texts.columns], "column_name", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    entries = []
+    for ordinal, field in _chosen(df, columns):
+        filled, value = value_slot(field)
+        slots = [(value if s == filled else F.lit(None).cast(kind)).alias(s) for s, kind in SLOTS.items()]
+        entries.append(F.struct(F.lit(ordinal).alias("ordinal"), *slots))
+    values = df.select(F.inline(F.array(*entries))).where(" OR ".join(f"{s} IS NOT NULL" for s in SLOTS))
+    return values.groupBy("ordinal", *SLOTS).agg(F.count("*").alias("n"))
+
+
+def _by_ordinal(df: DataFrame, columns: Iterable[str] | None, expression: Callable[[T.StructField], Column]) -> Column:
+    result = F
+    for ordinal, field in _chosen(df, columns):
+        result = result.when(F.col("ordinal") == ordinal, expression(field))
+    return result
 
 
 def distinct_values(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -105,12 +140,13 @@ def distinct_values(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     Every ``n`` is positive; asking for it keeps the histogram the same as the one
     the most common values come from, so that both read one exchange.
     """
-    return value_histogram(df, columns).groupBy("column_name").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
+    counts = value_histogram(df, columns).groupBy("ordinal").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
+    return counts.select(_by_ordinal(df, columns, lambda f: F.lit(f.name)).alias("column_name"), "distinct_count")
 
 
 def approximate_distinct_values(df: DataFrame) -> DataFrame:
     """Sketch-based counts: one scan, no shuffle of values.  An explicit choice only."""
-    counts = df.agg(*[F.approx_count_distinct(value_text(f)).alias(f"d{i}") for i, f in enumerate(df.schema)])
+    counts = df.agg(*[F.approx_count_distinct(value_slot(f)[1]).alias(f"d{i}") for i, f in enumerate(df.schema)])
     entries = [
         F.struct(F.lit(f.name).alias("column_name"), F.col(f"d{i}").alias("distinct_count"))
         for i, f in enumerate(df.schema)
@@ -123,10 +159,17 @@ def most_common_values(
 ) -> DataFrame:
     """(column_name, value_rank, value, n): the k most common values per column.
 
-    Ties go to the smaller text.  Only k rows per column and task are shuffled.
+    Ties go to the smaller value.  Only k rows per column and task are shuffled,
+    and only what is left gets a text.
     """
-    ranked = top_rows(value_histogram(df, columns), ["column_name"], [F.desc("n"), F.asc("value")], k)
-    return ranked.select("column_name", F.col(ROW_RANK).alias("value_rank"), "value", "n")
+    order = [F.desc("n"), *[F.asc(slot) for slot in SLOTS]]
+    ranked = top_rows(value_histogram(df, columns), ["ordinal"], order, k)
+    return ranked.select(
+        _by_ordinal(df, columns, lambda f: F.lit(f.name)).alias("column_name"),
+        F.col(ROW_RANK).alias("value_rank"),
+        _by_ordinal(df, columns, shown_value).alias("value"),
+        "n",
+    )
 
 
 def column_profile(

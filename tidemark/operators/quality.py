@@ -83,9 +83,11 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
         parts.append(counted.select(F.inline(F.array(*rows))))
     for table in dict.fromkeys(c.table for c in checks if isinstance(c, Unique)):
         wanted = [c for c in checks if isinstance(c, Unique) and c.table == table]
-        repeated = value_histogram(tables[table], [c.column for c in wanted]).where(F.col("n") > 1)
+        df = tables[table]
+        repeated = value_histogram(df, [c.column for c in wanted]).where(F.col("n") > 1)
+        place = {name: i + 1 for i, name in enumerate(df.columns)}
         counted = repeated.agg(
-            *[F.count_if(F.col("column_name") == c.column).alias(f"n{i}") for i, c in enumerate(wanted)]
+            *[F.count_if(F.col("ordinal") == place[c.column]).alias(f"n{i}") for i, c in enumerate(wanted)]
         )
         rows = [F.struct(*_report_row(c, "unique", F.col(f"n{i}"))) for i, c in enumerate(wanted)]
         parts.append(counted.select(F.inline(F.array(*rows))))
