@@ -136,12 +136,13 @@ def test_actor_without_times(spark):
     assert row.activity_status == "Inactive" and row.max_events_in_day == 1
 
 
-def test_actor_exchange_is_shared_by_day_and_actor_levels(spark, data):
+def test_rows_are_combined_before_every_exchange(spark, data):
     df = spark.createDataFrame(data, DDL)
-    text = plan(activity_metrics(df, Activity(actor="actor", ts="ts"), as_of()))
-    initial = text.split("== Initial Plan ==")[-1]
-    # One exchange at the hourly grain, one by actor.
-    assert initial.count("Exchange hashpartitioning") == 2
+    text = plan(activity_metrics(df, Activity(actor="actor", ts="ts"), as_of())).split("== Initial Plan ==")[-1]
+    # Rows by actor; days by actor and day, then by actor.
+    assert text.count("Exchange hashpartitioning") == 3
+    lines = text.splitlines()
+    assert all("HashAggregate" in lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
 
 
 @pytest.mark.parametrize("rows_per_range", [1, 7, 1000])

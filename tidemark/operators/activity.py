@@ -54,70 +54,35 @@ def _as(named: Mapping[str, str]) -> list[Column]:
     return [F.expr(f"{text} AS {name}") for name, text in named.items()]
 
 
-def _clock_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
-    """Everything that can be summed, from one scan.
-
-    The scan is combined per (actor, day, hour) first.  That grain spreads a hot
-    actor over many tasks; afterwards an actor owns at most 24 rows per day, so
-    the second exchange, by actor alone, is small and even, and the day and actor
-    levels are both computed from it without another one.  Hour and weekday modes
-    need no grouping of their own: their domains are 24 and 7 values, which are
-    sums side by side.
+def _row_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
+    """Everything that is a sum over rows: one scan, one exchange.
+
+    Each task combines an actor's rows into one before the exchange, so a hot actor
+    is one row per task.  Hour and weekday modes need no grouping of their own:
+    their domains are 24 and 7 values, which are sums side by side.
     """
     wall = utc_wall_time(df, a.ts)
-    sums = dict(a.counts)
-    for n in RECENT_ROW_DAYS:
-        sums[f"{a.noun}_last_{n}_days"] = wall >= days_before(as_of, n)
-
-    hourly = df.groupBy(a.actor, wall.cast("date").alias("_day"), F.hour(wall).alias("_hour")).agg(
-        F.count("*").alias("_n"),
-        *[count_where(c).alias(name) for name, c in sums.items()],
-        *[F.max(F.coalesce(c, F.lit(False))).alias(name) for name, c in a.any_of.items()],
-        F.min(wall).alias("_first"),
-        F.max(wall).alias("_last"),
+    conditions = _row_conditions(a, wall, as_of)
+    rows = df.select(
+        F.col(a.actor),
+        wall.alias("_at"),
+        F.hour(wall).alias("_hour"),
+        F.dayofweek(wall).alias("_dow"),
+        *[c.alias(name) for name, c in conditions.items()],
+        *[F.coalesce(c, F.lit(False)).alias(name) for name, c in a.any_of.items()],
     )
-
-    office, off = in_office_hours(F.col("_hour")), out_of_office_hours(F.col("_hour"))
-    hours = {f"_h{h}": f"sum(if(_hour = {h}, _n, 0))" for h in range(24)}
-    daily = hourly.repartition(a.actor).groupBy(a.actor, "_day").agg(
-        *_as({"_n": "sum(_n)", **hours}),
-        F.sum(F.when(office, F.col("_n")).otherwise(0)).alias("_office"),
-        F.sum(F.when(off, F.col("_n")).otherwise(0)).alias("_off"),
-        *_as({f"`{name}`": f"sum(`{name}`)" for name in sums}),
+    hour, weekday = F.col("_hour"), F.col("_dow")
+    hours = {f"_h{h}": f"count_if(_hour = {h})" for h in range(24)}
+    days = {f"_d{d}": f"count_if(_dow = {d})" for d in range(1, 8)}
+    per_actor = rows.groupBy(a.actor).agg(
+        *_as({f"total_{a.noun}": "count(*)", "_undated": "count_if(_at IS NULL)", **hours, **days}),
+        count_where(in_weekend(weekday)).alias(f"weekend_{a.noun}"),
+        count_where(on_weekday(weekday)).alias(f"weekday_{a.noun}"),
+        count_where(in_office_hours(hour)).alias(f"business_hours_{a.noun}"),
+        count_where(out_of_office_hours(hour)).alias(f"off_hours_{a.noun}"),
+        *_as({f"`{name}`": f"count_if(`{name}`)" for name in conditions}),
         *_as({f"`{name}`": f"max(`{name}`)" for name in a.any_of}),
-        *_as({"_first": "min(_first)", "_last": "max(_last)"}),
-    )
-
-    weekday = F.dayofweek("_day")
-    days = {f"_d{d}": f"sum(if(dayofweek(_day) = {d}, _n, 0))" for d in range(1, 8)}
-    recent_days = {
-        f"active_days_last_{n}": f"count_if(`{a.noun}_last_{n}_days` > 0)" for n in RECENT_DAY_DAYS
-    }
-    per_actor = daily.groupBy(a.actor).agg(
-        *_as(
-            {
-                f"total_{a.noun}": "sum(_n)",
-                "active_days": "count(_day)",
-                f"avg_{a.noun}_per_active_day": "avg(_n)",
-                f"max_{a.noun}_in_day": "max(_n)",
-                "_undated": "sum(if(_day IS NULL, _n, 0))",
-                **{h: f"sum({h})" for h in hours},
-                **days,
-            }
-        ),
-        F.sum(F.when(in_weekend(weekday), F.col("_n")).otherwise(0)).alias(f"weekend_{a.noun}"),
-        F.sum(F.when(on_weekday(weekday), F.col("_n")).otherwise(0)).alias(f"weekday_{a.noun}"),
-        *_as(
-            {
-                f"business_hours_{a.noun}": "sum(_office)",
-                f"off_hours_{a.noun}": "sum(_off)",
-                **{f"`{name}`": f"sum(`{name}`)" for name in sums},
-                **recent_days,
-                **{f"`{name}`": f"max(`{name}`)" for name in a.any_of},
-                "first_at": "min(_first)",
-                "last_at": "max(_last)",
-            }
-        ),
+        *_as({"first_at": "min(_at)", "last_at": "max(_at)"}),
     )
 
     def busiest(slots: Iterable[str], first: int) -> Column:
@@ -131,21 +96,51 @@ def _clock_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
     ).drop("_undated", *hours, *days)
 
 
+def _row_conditions(a: Activity, wall: Column, as_of: Column) -> dict[str, Column]:
+    recent = {f"{a.noun}_last_{n}_days": wall >= days_before(as_of, n) for n in RECENT_ROW_DAYS}
+    return {**a.counts, **recent}
+
+
+def _day_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
+    """Active days and rows per day, from a scan of the actor and the time alone.
+
+    Rows without a time count as one day of their own in the intensity, but not as
+    an active day.
+    """
+    wall = utc_wall_time(df, a.ts)
+    daily = df.groupBy(a.actor, wall.cast("date").alias("_day")).agg(
+        F.count("*").alias("_n"),
+        *[count_where(wall >= days_before(as_of, n)).alias(f"_recent{n}") for n in RECENT_DAY_DAYS],
+    )
+    return daily.groupBy(a.actor).agg(
+        *_as(
+            {
+                "active_days": "count(_day)",
+                f"avg_{a.noun}_per_active_day": "avg(_n)",
+                f"max_{a.noun}_in_day": "max(_n)",
+                **{f"active_days_last_{n}": f"count_if(_recent{n} > 0)" for n in RECENT_DAY_DAYS},
+            }
+        )
+    )
+
+
 def _value_measures(df: DataFrame, a: Activity) -> DataFrame:
     """Distinct counts and modes, from one scan in long form.
 
-    One row per (actor, measure, value) after the first aggregate, which again
-    spreads a hot actor by its values.
+    One row per (actor, measure, value) after the first aggregate, which spreads a
+    hot actor by its values.
     """
     wanted = {**a.distincts, **a.modes}
+    place = {name: i for i, name in enumerate(wanted)}
     listed = F.array(
-        *[F.struct(F.lit(name).alias("name"), c.cast("string").alias("value")) for name, c in wanted.items()]
+        *[F.struct(F.lit(place[name]).alias("measure"), c.cast("string").alias("value")) for name, c in wanted.items()]
     )
     pairs = df.select(a.actor, F.inline(listed)).where(F.col("value").isNotNull())
-    counted = pairs.groupBy(a.actor, "name", "value").agg(F.count("*").alias("_n"))
-    measures = [F.count_if(F.col("name") == name).alias(name) for name in a.distincts]
+    counted = pairs.groupBy(a.actor, "measure", "value").agg(F.count("*").alias("_n"))
+    measures = [F.count_if(F.col("measure") == place[name]).alias(name) for name in a.distincts]
     for name in a.modes:
-        best = F.min(F.when(F.col("name") == name, F.struct((-F.col("_n")).alias("less"), F.col("value"))))
+        candidate = F.struct((-F.col("_n")).alias("less"), F.col("value"))
+        best = F.min(F.when(F.col("measure") == place[name], candidate))
         measures.append(best["value"].alias(name))
     return counted.groupBy(a.actor).agg(*measures)
 
@@ -168,7 +163,7 @@ def activity_metrics(df: DataFrame, a: Activity, as_of: Column | None = None) ->
     """
     as_of = utc_now() if as_of is None else as_of
     df = df.where(F.col(a.actor).isNotNull())
-    mart = _clock_measures(df, a, as_of)
+    mart = _row_measures(df, a, as_of).join(_day_measures(df, a, as_of), a.actor)
     if a.distincts or a.modes:
         mart = mart.join(_value_measures(df, a), a.actor, "left").fillna(0, subset=list(a.distincts))
     if a.latest:
