@@ -20,6 +20,9 @@ TABLES = (
     " pages benchmark labels conversations"
 ).split()
 
+# Operators no query may need: all pairs of rows, or rows handed to Python.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -50,6 +53,10 @@ def compare(spark, connection, folder: str, name: str, function, sql: str | None
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     seconds = time.perf_counter() - started
     result = {"name": name, "rows": len(got), "seconds": round(seconds, 2), "problems": []}
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    for operator in UNWANTED:
+        if operator in executed:
+            result["problems"].append(f"plan holds {operator}")
     if sql is None:
         return result
     relation = connection.sql(sql)
