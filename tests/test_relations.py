@@ -189,6 +189,21 @@ def test_hot_keys_are_found_and_spread(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", True)
 
 
+def test_copies_of_one_row_are_spread(spark):
+    from tidemark.operators import joins
+
+    df = spark.range(0, 4000, 1, 40).select(F.lit(1).cast("bigint").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = joins.spread_join(df, spark.createDataFrame([(1, "one")], "k bigint, name string"), "k", hot=[1])
+        sizes = joined.where("name = 'one'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
 def test_dangling_edges(spark):
     edges = spark.createDataFrame([("m", "model.a"), ("m", "model.gone")], "dst string, src string")
     nodes = spark.createDataFrame([("model.a", "a")], "id string, name string")

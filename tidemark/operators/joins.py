@@ -38,13 +38,16 @@ def spread_join(
 ) -> DataFrame:
     """Left, semi or anti join with a ``lookup`` that holds each key at most once.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of the whole row,
-    and the lookup's row of that key is repeated for each.  NULL keys, which match
-    nothing, are spread as well.  Without ``hot`` the keys are found by a sample.
+    Rows of a hot key are spread over ``salts`` tasks by a hash of the whole row
+    and of the input partition, which tells copies of a row apart and is the same
+    when a task runs again; the lookup's row of that key is repeated for each.
+    NULL keys, which match nothing, are spread as well.  Without ``hot`` the keys
+    are found by a sample.
     """
     hot = hot_keys(rows, key) if hot is None else list(hot)
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts).cast("bigint")).cast("int")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id())
+    piece = F.pmod(hashed, F.lit(salts).cast("bigint")).cast("int")
     salted = rows.withColumn(_SALT, F.when(F.col(key).isNull() | is_hot, piece).otherwise(F.lit(0)))
     pieces = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = lookup.withColumn(_SALT, F.explode(pieces) if hot else F.lit(0))
