@@ -10,7 +10,10 @@ from oracle import compare, connect
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from tidemark.checks import load  # noqa: E402
+
+QUERIES, SQL = load()
 
 FOLDER = "/root/testdata/sf0.001"
 # No SQL: the tables' files are out of its sight.
@@ -22,16 +25,16 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    result = compare(spark, connection, FOLDER, name, queries()[name], oracle_sql().get(name))
+    result = compare(spark, connection, FOLDER, name, QUERIES[name], SQL.get(name))
     assert result["problems"] == []
     assert result["rows"] > 0
 
 
 def test_all_but_the_listed_queries_have_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_entry(spark):
