@@ -29,44 +29,29 @@ class WordIds:
         self.library = tokenizer(path)
         self.ids: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.ids) > KEPT:
             self.ids.clear()
-        for word, encoding in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+        # A full stop or comma after a letter stands alone, so the word before it is looked up without.
+        ended = {w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
+        plain = [w for w in {*(words - ended), *(w[:-1] for w in ended), ".", ","} if w not in self.ids]
+        for word, encoding in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False)):
             self.ids[word] = little(encoding.ids)
+        for word in ended:
+            self.ids[word] = self.ids[word[:-1]] + self.ids[word[-1]]
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, each as a little-endian unsigned 32-bit number."""
         # Only ASCII white space cuts: str.split() would also cut at marks that the tokenizer keeps.
         text = text.translate(SPACES) if any(c in text for c in "\t\n\v\f\r") else text
         words = (text.lower() if text.isascii() and "<|" not in text else text).split(" ")  # special tokens are case-sensitive
-        known = self.ids
-        out: list[bytes | None] = []
-        missing: dict[str, None] = {}
-        for word in words:
-            if not word:
-                continue
-            got = known.get(word)
-            if got is not None:
-                out.append(got)
-                continue
-            last = word[-1]
-            if (last == "." or last == ",") and len(word) > 1 and word[-2].isalpha():
-                pair = (word[:-1], last)
-            else:
-                pair = (word,)
-            for part in pair:
-                if part not in known:
-                    missing[part] = None
-                out.append(part)  # resolved below
-        if missing:
-            self._learn(list(missing))
-        known = self.ids
-        try:
-            return b"".join([x if type(x) is bytes else known[x] for x in out])
-        except KeyError:  # the store was emptied in between
-            self._learn([x for x in out if type(x) is str])
-            return b"".join([x if type(x) is bytes else self.ids[x] for x in out])
+        found = list(map(self.ids.get, words))
+        if None in found:
+            missing = {w for w, f in zip(words, found) if f is None}
+            # A full store is emptied first, so all words of the text are learned together.
+            self._learn(missing if len(self.ids) <= KEPT else set(words))
+            found = list(map(self.ids.__getitem__, words))
+        return b"".join(found)
 
 
 SPACES = str.maketrans("\t\n\v\f\r", "     ")

@@ -36,6 +36,8 @@ LENGTH = 400
 BLOCK = 32
 #: Starts handled at once: bounds the memory that a huge document takes.
 CHUNK = 1 << 20
+#: Rows that leave a task at once.
+ROWS = 1 << 16
 _BITS = 24
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Random values of the bytes and odd multipliers, the same in every process.
@@ -124,13 +126,20 @@ class Columns:
     """Arrays gathered text by text, with the text's key repeated; one frame per batch."""
 
     def __init__(self, names: str):
-        self.names, self.parts, self.keys, self.counts = names.split(), [], [], []
+        self.names, self.parts, self.keys, self.counts, self.rows = names.split(), [], [], [], 0
 
     def add(self, key: bytes, *arrays: np.ndarray) -> None:
         self.keys.append(key)
         self.counts.append(len(arrays[0]))
+        self.rows += len(arrays[0])
         self.parts.append(arrays)
 
+    def full(self) -> Iterator[pd.DataFrame]:
+        """A frame whenever enough has come together, so that a batch of texts is never held as rows at once."""
+        if self.rows >= ROWS:
+            yield self.frame()
+            self.parts, self.keys, self.counts, self.rows = [], [], [], 0
+
     def frame(self) -> pd.DataFrame:
         keys = np.empty(len(self.keys), object)
         keys[:] = self.keys
@@ -147,6 +156,7 @@ def _grams(length: int):
             for key, text in zip(batch["key"], batch["text"]):
                 for _, raw in chunks(_raw(text), length):
                     out.add(key, sample(raw, length)[3].view(np.int64))
+                    yield from out.full()
             yield out.frame()
 
     return run
@@ -169,6 +179,7 @@ def _blocks(length: int):
                         ranks.append(lane.of(core, core + length - BLOCK + 1).view(np.int64))
                         ranks.append((lane.of(a, b + length) ^ (shape * np.uint64(FACTORS[0]))).view(np.int64))
                     out.add(key, a + base, b - a + 1, *ranks)
+                    yield from out.full()
             yield out.frame()
 
     return run
@@ -187,6 +198,7 @@ def _strings(length: int):
                     owner = np.repeat(np.arange(len(mine)), mine[:, 1])
                     at = np.arange(len(owner)) - np.repeat(np.cumsum(mine[:, 1]) - mine[:, 1], mine[:, 1]) + mine[owner, 0] - base
                     out.add(key, at + base, mine[owner, 2], *(Rolling(raw, k).of(at, at + length).view(np.int64) for k in (0, 1)))
+                    yield from out.full()
             yield out.frame()
 
     return run
@@ -214,7 +226,8 @@ def repeat_starts(docs: DataFrame, text: Column, length: int, scratch: Scratch)
     # Texts shorter than one string hold no start and match nothing.
     bytes_ = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
     grams = scratch.table(bytes_.mapInPandas(_grams(length), "key binary, gram bigint"), "grams")
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that the join that follows has a plain shuffle on either side and its hot keys can be split.
+    often = scratch.table(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     wanted = grams.join(often, "gram").distinct().groupBy("key").agg(F.collect_list("gram").alias("grams"))
     cut = scratch.table(
         bytes_.join(wanted, "key").mapInPandas(_blocks(length), "key binary, start bigint, n int, core0 bigint, full0 bigint, core1 bigint, full1 bigint"), "blocks"
@@ -229,7 +242,7 @@ def repeat_starts(docs: DataFrame, text: Column, length: int, scratch: Scratch)
     apart = kinds.join(mixed, core, "left_semi").select("at.key", "at.start", "n", F.col("count").alias("weight"))
     todo = apart.groupBy("key").agg(F.collect_list(F.struct("start", "n", "weight")).alias("todo"))
     strings = scratch.table(bytes_.join(todo, "key").mapInPandas(_strings(length), "key binary, start bigint, weight bigint, h0 bigint, h1 bigint").distinct(), "strings")
-    twice = strings.groupBy("h0", "h1").agg(F.sum("weight").alias("w")).where("w > 1").select("h0", "h1")
+    twice = scratch.table(strings.groupBy("h0", "h1").agg(F.sum("weight").alias("w")).where("w > 1").select("h0", "h1"), "twice")
     some_repeat = strings.where("weight = 1").join(twice, ["h0", "h1"], "left_semi").select("key", "start", F.lit(1).alias("n"))
     return all_repeat.union(some_repeat).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -244,7 +257,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     text = whole(f"`{text_col}`")
     found = scratch.table(repeat_starts(docs, text, length, scratch), "spans")
-    scratch.drop("grams", "blocks", "kinds", "strings")
+    scratch.drop("grams", "often", "blocks", "kinds", "strings", "twice")
     runs = found.mapInPandas(_runs(length), "_key binary, _runs array<struct<start: bigint, end: bigint>>")
     keyed = docs.withColumn("_key", F.when(F.octet_length(text) >= length, F.unhex(F.md5(text.cast("binary")))))
     long, short = keyed.where("_key IS NOT NULL"), keyed.where("_key IS NULL")
