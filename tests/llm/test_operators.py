@@ -440,6 +440,18 @@ def test_pieces_equal_the_library(text):
         assert words.encode(text) == little(tokenizer(vocabulary(WORDS)).encode(text, add_special_tokens=False).ids)
 
 
+def test_words_of_letters_equal_the_library(spark):
+    """All two-byte letters and some beyond, alone, doubled and in words; and every word of a table."""
+    from tidemark.llm.piecewise import WordIds, little
+
+    words, library = WordIds(vocabulary(WORDS)), tokenizer(vocabulary(WORDS))
+    letters = [chr(c) for c in range(1, 0x900) if chr(c).isalpha()] + list("ﬁẞἈ中がｱ𝔘")
+    cases = {f for c in letters for f in (c, c + c, "a" + c, c + "b", "X" + c + "yz", "e" + c + "\u0301")}
+    cases |= {w for _, t in texts(table(spark, SMALL, "documents")) for w in t.split()}
+    for case in cases:
+        assert words.encode(case) == little(library.encode(case, add_special_tokens=False).ids), case
+
+
 @pytest.mark.parametrize("chunk, overlap", [(64, 8), (150, 16), (400, 100)])
 def test_spliced_counts_equal_whole_ones(documents, chunk, overlap):
     library = tokenizer(vocabulary(BYTES))

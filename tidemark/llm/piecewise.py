@@ -11,6 +11,8 @@ from __future__ import annotations
 import array
 import sys
 
+from tokenizers.pre_tokenizers import ByteLevel
+
 from tidemark.llm.common import tokenizer
 
 #: Pieces kept per worker and file; some 150 bytes each.
@@ -28,6 +30,23 @@ class WordIds:
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.ids: dict[str, bytes] = {}
+        # The signs that stand for bytes in the vocabulary, as the library shows them for all two-byte characters.
+        letters = "".join(map(chr, range(0x80, 0x800)))
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(letters)[0][0]
+        self.signs = {b: s for b, s in zip(letters.encode(), shown)}
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word that its rules leave whole: letters only. It goes straight to the merges."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            word = word.lower()
+        else:
+            word = self.library.normalizer.normalize_str(word)
+            if not word.isalpha() or max(word) > "\u07ff":  # beyond the probed signs
+                return None
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return little([t.id for t in self.library.model.tokenize(word)])
 
     def _learn(self, words: set[str]) -> None:
         if len(self.ids) > KEPT:
@@ -35,7 +54,13 @@ class WordIds:
         # A full stop or comma after a letter stands alone, so the word before it is looked up without.
         ended = {w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
         plain = [w for w in {*(words - ended), *(w[:-1] for w in ended), ".", ","} if w not in self.ids]
-        for word, encoding in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False)):
+        other = []
+        for word in plain:
+            if (ids := self._letters(word)) is None:
+                other.append(word)
+            else:
+                self.ids[word] = ids
+        for word, encoding in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             self.ids[word] = little(encoding.ids)
         for word in ended:
             self.ids[word] = self.ids[word[:-1]] + self.ids[word[-1]]
