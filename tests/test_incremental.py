@@ -26,7 +26,7 @@ def path(spark):
 
 
 def load(spark, path, data, mark, **options):
-    inc.load_increment(path, table(spark, data), "key", mark, [F.desc("event"), F.desc("ingest")], 4, **options)
+    inc.load_increment(path, table(spark, data), "key", mark, [F.desc("event"), F.desc("ingest")], **options)
     return sorted(rows(inc.read_target(spark, path)))
 
 
@@ -68,28 +68,98 @@ def test_mark_reaches_the_scan(spark, path):
     assert "GreaterThan(id,42)" in text
 
 
-def test_only_touched_buckets_are_rewritten(spark, path):
-    wide = spark.range(1000).select(F.col("id").cast("int").alias("key"), F.lit(1).alias("event"), F.lit(1).alias("ingest"))
-    inc.upsert(path, wide, "key", 16)
+def wide_rows(spark, n):
+    return spark.range(n).selectExpr("CAST(id AS INT) AS key", "1 AS event", "1 AS ingest", "sha2(CAST(id AS STRING), 256) AS payload")
 
-    def files():
-        found = spark.read.parquet(path).select("_metadata.file_path", inc.BUCKET).distinct().collect()
-        return {r.file_path: r[1] for r in found}
 
-    before = files()
-    inc.upsert(path, table(spark, [(7, 2, 2), (7000, 2, 2)]), "key", 16)
-    after = files()
-    touched = {b for f, b in after.items() if f not in before}
-    assert 1 <= len(touched) <= 2
-    assert inc.read_target(spark, path).count() == 1001
-    assert rows(inc.read_target(spark, path).where("key = 7")) == [(7, 2, 2)]
+def test_a_small_batch_writes_little(spark, path):
+    """A thousandth of the keys, spread over all of them: bytes written follow the batch, not the table."""
+    inc.upsert(path, wide_rows(spark, 100_000), "key")
+    before = inc._bytes(spark, path)
+    for k in range(3):
+        inc.upsert(path, wide_rows(spark, 100_000).where(F.col("key") % 1000 == 7).withColumn("event", F.lit(2 + k)), "key")
+    assert inc._bytes(spark, path) - before < 0.05 * before
+    got = inc.read_target(spark, path)
+    assert got.count() == 100_000 and got.where("event = 4").count() == 100
+    assert rows(got.where("key = 1007").select("event")) == [(4,)]
 
 
-def test_null_keys_are_added_and_spread(spark, path):
-    inc.upsert(path, table(spark, [(None, i, 0) for i in range(200)]), "key", 8)
-    assert spark.read.parquet(path).select(inc.BUCKET).distinct().count() == 8
-    inc.upsert(path, table(spark, [(None, 999, 0), (1, 1, 1)]), "key", 8)
-    assert inc.read_target(spark, path).count() == 202
+def test_deltas_are_folded_and_old_folders_go(spark, path):
+    inc.upsert(path, table(spark, [(k, 0, 0) for k in range(10)]), "key")
+    for k in range(2 * inc.MOST_DELTAS):
+        inc.upsert(path, table(spark, [(k % 12, k, k)]), "key")
+    content = inc.manifest(spark, path)
+    assert len(content["deltas"]) <= inc.MOST_DELTAS
+    assert inc.read_target(spark, path).count() == 12
+    inc.compact(spark, path)
+    inc.vacuum(spark, path, keep=1)
+    fs, folder = inc.storage_path(spark, path)
+    assert sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()) == inc._folders(inc.manifest(spark, path))
+
+
+def test_null_keys_are_left_out_and_a_replay_adds_nothing(spark, path):
+    batch = table(spark, [(None, 1, 1), (None, 2, 2), (1, 1, 1)])
+    for _ in range(3):
+        inc.upsert(path, batch, "key")
+        assert rows(inc.read_target(spark, path)) == [(1, 1, 1)]
+    assert load(spark, path + "-2", [(None, 1, 1)] * 10 + [(5, 1, 1)], "ingest") == [(5, 1, 1)]
+
+
+@pytest.mark.parametrize(
+    "ddl, data, error",
+    [
+        ("key int, event int, ingest int, w int", [(1, 1, 1, 1)], "too many"),
+        ("key int, event int", [(1, 1)], "missing"),
+        ("key int, event string, ingest int", [(1, "x", 1)], "event is string"),
+        ("key int, event int, ingest bigint", [(1, 1, 2**40)], "does not fit"),
+    ],
+)
+def test_a_batch_that_does_not_fit_is_refused(spark, path, ddl, data, error):
+    inc.upsert(path, table(spark, FIRST), "key")
+    with pytest.raises(Exception, match=error):
+        inc.upsert(path, table(spark, data, ddl), "key")
+    assert sorted(rows(inc.read_target(spark, path))) == FIRST
+
+
+def test_wider_types_are_stored_as_the_table_holds_them(spark, path):
+    inc.upsert(path, table(spark, [(k, 0, 0) for k in range(50)]), "key")
+    inc.upsert(path, table(spark, [(k, 1, 1) for k in range(5)], "key bigint, event bigint, ingest int"), "key")
+    got = inc.read_target(spark, path)
+    assert got.dtypes == [("key", "int"), ("event", "int"), ("ingest", "int")]
+    assert got.count() == 50 and got.where("event = 1").count() == 5
+
+
+def test_other_keys_are_refused(spark, path):
+    inc.upsert(path, table(spark, FIRST), "key")
+    with pytest.raises(ValueError, match="keyed by"):
+        inc.upsert(path, table(spark, FIRST), ["key", "event"])
+    with pytest.raises(ValueError, match="newer by"):
+        inc.upsert(path, table(spark, FIRST), "key", newer_by="event")
+
+
+def test_newer_by_over_many_deltas(spark, path):
+    inc.upsert(path, table(spark, [(1, 5, 0), (2, 5, 0), (3, None, 0)]), "key", newer_by="event")
+    for batch in ([(1, 4, 1), (2, 6, 1), (3, None, 1)], [(1, None, 2), (2, 5, 2), (4, 1, 2)], [(2, 6, 3), (4, None, 3)]):
+        inc.upsert(path, table(spark, batch), "key", newer_by="event")
+    assert sorted(rows(inc.read_target(spark, path))) == [(1, 5, 0), (2, 6, 3), (3, None, 1), (4, 1, 2)]
+
+
+def test_the_mark_is_kept_and_survives_compaction(spark, path):
+    load(spark, path, FIRST, "ingest")
+    load(spark, path, FIRST + BATCH, "ingest")
+    inc.compact(spark, path)
+    assert inc.manifest(spark, path)["marks"] == {"ingest": ["plain", 104]}
+    at = spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5, 6))], "key int, at timestamp_ntz")
+    inc.load_increment(path + "-t", at, "key", "at", [F.desc("at")])
+    assert inc._decode(inc.manifest(spark, path + "-t")["marks"]["at"]) == datetime(2024, 1, 2, 3, 4, 5, 6)
+
+
+def test_readers_keep_their_version(spark, path):
+    inc.upsert(path, table(spark, FIRST), "key")
+    reader = inc.read_target(spark, path)
+    inc.upsert(path, table(spark, BATCH[:2]), "key", full_refresh=True)
+    assert sorted(rows(reader)) == FIRST
+    assert sorted(rows(inc.read_target(spark, path))) == sorted(BATCH[:2])
 
 
 def test_newer_only(spark):
@@ -100,34 +170,28 @@ def test_newer_only(spark):
     assert sorted(rows(inc.merge_rows(target, batch, "key"))) == [(1, 4, 1), (2, 5, 1), (3, 1, 1), (4, 1, 1)]
 
 
-def test_cut_short_publish_is_finished(spark, path, monkeypatch):
-    load(spark, path, FIRST, "ingest")
-    monkeypatch.setattr(inc, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
-    with pytest.raises(RuntimeError):
-        inc.upsert(path, table(spark, [(2, 50, 200)]), "key", 4)
-    monkeypatch.undo()
-    assert (2, 50, 200) not in rows(inc.read_target(spark, path))
-    inc.recover(spark, path)
-    assert sorted(rows(inc.read_target(spark, path))) == [(1, 5, 90), (2, 50, 200)]
-
-
-def test_half_written_staging_is_ignored(spark, path, monkeypatch):
+@pytest.mark.parametrize("refresh", [False, True])
+def test_a_load_that_dies_changes_nothing(spark, path, monkeypatch, refresh):
     load(spark, path, FIRST, "ingest")
-    real = inc._mark_ready
-    monkeypatch.setattr(inc, "_mark_ready", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
-    with pytest.raises(RuntimeError):
-        inc.upsert(path, table(spark, [(2, 50, 200)]), "key", 4)
-    monkeypatch.setattr(inc, "_mark_ready", real)
-    inc.recover(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(inc, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            inc.upsert(path, table(spark, [(2, 50, 200)]), "key", full_refresh=refresh)
     assert sorted(rows(inc.read_target(spark, path))) == FIRST
-    inc.upsert(path, table(spark, [(3, 1, 1)]), "key", 4)
+    inc.upsert(path, table(spark, [(3, 1, 1)]), "key")
     assert sorted(rows(inc.read_target(spark, path))) == [*FIRST, (3, 1, 1)]
 
 
+def test_a_second_writer_is_refused(spark, path):
+    inc.upsert(path, table(spark, FIRST), "key")
+    with pytest.raises(RuntimeError, match="another writer"):
+        inc._publish(spark, path, inc.manifest(spark, path))
+
+
 def test_composite_key(spark, path):
     ddl = "a int, b string, v int"
-    inc.upsert(path, table(spark, [(1, "x", 1), (1, "y", 1)], ddl), ["a", "b"], 4)
-    inc.upsert(path, table(spark, [(1, "x", 2), (2, "x", 2)], ddl), ["a", "b"], 4)
+    inc.upsert(path, table(spark, [(1, "x", 1), (1, "y", 1)], ddl), ["a", "b"])
+    inc.upsert(path, table(spark, [(1, "x", 2), (2, "x", 2)], ddl), ["a", "b"])
     assert sorted(rows(inc.read_target(spark, path).select("a", "b", "v"))) == [(1, "x", 2), (1, "y", 1), (2, "x", 2)]
 
 
@@ -135,7 +199,7 @@ def test_stream_equals_batch(spark, path):
     source, offsets = scratch_path(spark, "source"), scratch_path(spark, "offsets")
 
     def run():
-        stream_upsert(spark, source, DDL, path, "key", [F.desc("event"), F.desc("ingest")], offsets, buckets=4).awaitTermination()
+        stream_upsert(spark, source, DDL, path, "key", [F.desc("event"), F.desc("ingest")], offsets).awaitTermination()
         return sorted(rows(inc.read_target(spark, path)))
 
     table(spark, FIRST).write.parquet(source)
@@ -148,9 +212,9 @@ def test_stream_equals_batch(spark, path):
 
 
 def test_replayed_batch_changes_nothing(spark, path):
-    inc.upsert(path, table(spark, FIRST), "key", 4)
+    inc.upsert(path, table(spark, FIRST), "key")
     for _ in range(2):
-        inc.upsert(path, table(spark, BATCH[:2]), "key", 4)
+        inc.upsert(path, table(spark, BATCH[:2]), "key")
     assert sorted(rows(inc.read_target(spark, path))) == [(1, 5, 90), (2, 11, 101), (3, 9, 102)]
 
 

@@ -79,11 +79,14 @@ def test_run_goes_on_after_a_failure(spark):
     out = scratch_path(spark, "profiles")
 
     def broken():
-        raise OSError("no such table")
+        raise OSError("no such table\nin any folder")
 
-    log = pr.profile_tables(spark, {"good": lambda: spark.range(5), "bad": broken, "best": lambda: spark.range(7)}, out)
+    def silent():
+        raise KeyError
+
+    log = pr.profile_tables(spark, {"good": lambda: spark.range(5), "bad": broken, "bare": silent, "best": lambda: spark.range(7)}, out)
     assert [(r.table_name, r.status, r.error) for r in log.orderBy("table_name").collect()] == [
-        ("bad", "failed", "no such table"), ("best", "successful", None), ("good", "successful", None)]
+        ("bad", "failed", "OSError: no such table\nin any folder"), ("bare", "failed", "KeyError: "), ("best", "successful", None), ("good", "successful", None)]
     profiles = spark.read.parquet(out)
     assert rows(profiles.select("table_name", "row_count"), "table_name") == [("best", 7), ("good", 5)]
 

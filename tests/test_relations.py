@@ -73,6 +73,11 @@ def test_selection(spark):
     assert pick([Selector(name="stg_a", with_downstream=True)]) == {"stg_a", "fct_a"}
     assert pick([Selector(name="stg_a", with_upstream=True, with_downstream=True)]) == {"stg_a", "fct_a"}
     assert pick([Selector(name="ghost", with_upstream=True)]) == set()
+    assert pick([Selector(tag="raw", with_upstream=True)]) == {"stg_a", "stg_b", "fct_a"}
+    assert pick([Selector(name="stg_*", with_downstream=True)]) == {"stg_a", "stg_b", "fct_a"}
+    for wrong in ({}, {"name": "a", "tag": "b"}):
+        with pytest.raises(ValueError):
+            Selector(**wrong)
     assert pick([Selector(name="stg_b"), Selector(name="stg_b"), Selector(name="fct_a")]) == {"stg_b", "fct_a"}
 
 

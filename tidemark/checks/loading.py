@@ -31,7 +31,6 @@ from tidemark.sources.readers import read_json_lines, read_texts
 from tidemark.sources.sinks import publish_view, write_landing, write_table
 from tidemark.streaming.upsert import stream_upsert
 
-BUCKETS = 8
 CUT = "2024-01-15 00:00:00"
 _LATE = "CASE WHEN event_type = 'error' THEN ts + INTERVAL 1 DAY ELSE ts END"
 
@@ -55,7 +54,7 @@ def _incremental_upsert(t: Tables) -> DataFrame:
     path, source = scratch_path(t.spark, "upsert"), sourced(t)
     order = [F.desc("ingested_at"), F.desc("event_id")]
     for rows in (source.where(F.col("ingested_at") <= cut()), source, source):
-        load_increment(path, rows, "user_id", "ingested_at", order, BUCKETS)
+        load_increment(path, rows, "user_id", "ingested_at", order)
     return read_target(t.spark, path).select("user_id", "event_id", "ts", "ingested_at", "value")
 
 
@@ -70,7 +69,7 @@ def _incremental_event_time(t: Tables) -> DataFrame:
     """On event time, rows that arrive after a newer one was loaded stay lost."""
     path, source = scratch_path(t.spark, "upsert"), sourced(t)
     for rows in (source.where(F.col("ingested_at") <= cut()), source):
-        load_increment(path, rows, "event_id", "ts", [F.desc("ingested_at")], BUCKETS)
+        load_increment(path, rows, "event_id", "ts", [F.desc("ingested_at")])
     return read_target(t.spark, path).select("event_id", "user_id", "ts", "value")
 
 
@@ -83,7 +82,7 @@ def _late_data_upsert(t: Tables) -> DataFrame:
     path, source = scratch_path(t.spark, "upsert"), sourced(t)
     for rows in (source.where(F.col("ingested_at") <= cut()), source):
         load_increment(
-            path, rows, "event_id", "ts", [F.desc("ingested_at")], BUCKETS, lookback=timedelta(days=1, seconds=1)
+            path, rows, "event_id", "ts", [F.desc("ingested_at")], lookback=timedelta(days=1, seconds=1)
         )
     return read_target(t.spark, path).select("event_id", "user_id", "ts", "value")
 
@@ -116,8 +115,8 @@ def _high_water_scan(t: Tables) -> DataFrame:
 def _full_refresh(t: Tables) -> DataFrame:
     """A refresh replaces the table, whatever it held."""
     path, rows = scratch_path(t.spark, "refresh"), t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    upsert(path, rows, "o_orderkey", BUCKETS)
-    upsert(path, rows.where("o_orderstatus = 'F'"), "o_orderkey", BUCKETS, full_refresh=True)
+    upsert(path, rows, "o_orderkey")
+    upsert(path, rows.where("o_orderstatus = 'F'"), "o_orderkey", full_refresh=True)
     return read_target(t.spark, path).select("o_orderkey", "o_totalprice")
 
 
@@ -134,10 +133,10 @@ def _stream_upsert(t: Tables) -> DataFrame:
     landing, target = scratch_path(t.spark, "landing"), scratch_path(t.spark, "stream")
     events = t.events
     for part in (events.where(F.col("ts") <= cut()), events.where(F.col("ts") > cut())):
-        part.coalesce(1).write.mode("append").parquet(landing)
+        part.write.mode("append").parquet(landing)
     stream_upsert(
         t.spark, landing, events.schema, target, ["user_id", "event_type"],
-        [F.desc("ts"), F.desc("event_id")], scratch_path(t.spark, "offsets"), files_per_batch=1, buckets=BUCKETS,
+        [F.desc("ts"), F.desc("event_id")], scratch_path(t.spark, "offsets"), files_per_batch=4,
         newer_by="ts",
     ).awaitTermination()
     return read_target(t.spark, target).select("user_id", "event_type", "event_id", "ts", "value")
@@ -170,13 +169,13 @@ def _table_sink(t: Tables) -> DataFrame:
 
 @query(
     "text_corpus",
-    """SELECT source || '/' || lang AS path, CAST(1 AS BIGINT) AS n_files, count(*) AS n_lines FROM documents GROUP BY source, lang""",
+    """SELECT source || '/' || lang AS path, count(DISTINCT doc_id // 8) AS n_files, count(*) AS n_lines FROM documents GROUP BY source, lang""",
 )
 def _text_corpus(t: Tables) -> DataFrame:
-    """One file per source and language, read back as whole texts."""
+    """A folder per source and language, a file per few documents in it, read back as whole texts."""
     path = scratch_path(t.spark, "texts")
-    lines = t.documents.select("source", "lang", F.concat(F.lit("-- doc "), F.col("doc_id").cast("string")).alias("value"))
-    lines.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    lines = t.documents.select("source", "lang", F.floor(F.col("doc_id") / 8).alias("part"), F.concat(F.lit("-- doc "), F.col("doc_id").cast("string")).alias("value"))
+    lines.repartition("source", "lang", "part").write.partitionBy("source", "lang", "part").text(path)
     texts = read_texts(t.spark, path, "*.txt")
     place = r"source=([^/]*)/lang=([^/]*)/"
     path = F.concat_ws("/", F.regexp_extract("path", place, 1), F.regexp_extract("path", place, 2))

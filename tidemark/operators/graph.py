@@ -140,6 +140,10 @@ class Selector:
     with_upstream: bool = False
     with_downstream: bool = False
 
+    def __post_init__(self):
+        if sum(x is not None for x in (self.name, self.tag, self.path)) != 1:
+            raise ValueError("a selector needs a name, a tag or a path, and only one of them")
+
 
 def _pattern(text: str) -> str:
     # Only the star is special; other regex characters stay live.
@@ -147,22 +151,27 @@ def _pattern(text: str) -> str:
 
 
 def matching_nodes(nodes: DataFrame, edges: DataFrame, s: Selector) -> DataFrame:
-    """Names of nodes (name, path, tags) the selector picks."""
+    """Names of nodes (name, path, tags) the selector picks, with their upstream or downstream if it asks for them."""
     if s.tag is not None:
-        return nodes.where(F.array_contains("tags", s.tag)).select("name")
-    if s.path is not None:
-        return nodes.where(F.col("path").rlike(_pattern(s.path))).select("name")
-    if s.with_upstream or s.with_downstream:
-        spark = nodes.sparkSession
-        seed = spark.createDataFrame([(s.name,)], "node string")
-        if s.with_upstream and s.with_downstream:
-            found = both_directions(edges, seed)
-        else:
-            found = closure(edges, seed, s.with_upstream).select("node")
-        return found.select(F.col("node").alias("name")).join(nodes.select("name"), "name", "left_semi")
-    if "*" in s.name:
-        return nodes.where(F.col("name").rlike(f"^{_pattern(s.name)}$")).select("name")
-    return nodes.where(F.col("name") == s.name).select("name")
+        found = nodes.where(F.array_contains("tags", s.tag))
+    elif s.path is not None:
+        found = nodes.where(F.col("path").rlike(_pattern(s.path)))
+    elif "*" in s.name:
+        found = nodes.where(F.col("name").rlike(f"^{_pattern(s.name)}$"))
+    else:
+        found = nodes.where(F.col("name") == s.name)
+    found = found.select("name")
+    if not (s.with_upstream or s.with_downstream):
+        return found
+    if s.name is not None and "*" not in s.name:
+        # A name that is no node of the table may still have neighbours in it.
+        found = nodes.sparkSession.createDataFrame([(s.name,)], "name string")
+    seed = found.select(F.col("name").alias("node"))
+    if s.with_upstream and s.with_downstream:
+        reached = both_directions(edges, seed)
+    else:
+        reached = closure(edges, seed, s.with_upstream).select("node")
+    return reached.select(F.col("node").alias("name")).join(nodes.select("name"), "name", "left_semi")
 
 
 def select_nodes(

@@ -1,23 +1,35 @@
-"""High-water marks and upserts into a bucketed parquet table."""
+"""High-water marks and upserts into a versioned parquet table.
+
+A table is a folder of parquet folders and of manifests. Each load writes one new folder, a delta
+of the batch's size, and then one new manifest that names all folders in force; nothing that a
+manifest names is ever changed. Readers take the newest manifest, so a reader, a refresh or a
+run that dies in between never meets half a table. Reading folds the deltas over the base by key;
+when they have grown to a part of the base, they are folded into a new one.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.dedupe import latest_rows
-from tidemark.session import path_exists, read_marker, storage_path, write_marker
+from tidemark.session import read_marker, storage_path, write_marker
 
-BUCKET = "key_bucket"
-DEFAULT_BUCKETS = 64
-_STAGED = "_staged"
-_READY = "_ready"
+# Deltas are folded into the base beyond this number, or this part of the base's bytes: each
+# byte of the table is then rewritten about once per that much growth.
+MOST_DELTAS = 16
+DELTA_PART = 0.25
+# Versions whose folders stay for readers that have already resolved them.
+KEPT_VERSIONS = 2
+_MANIFEST = "manifest-"
+_SEQUENCE = "_delta"
 
 
 def high_water(target: DataFrame | None, column: str):
@@ -48,108 +60,207 @@ def merge_rows(
     """Target with matched keys replaced by the batch row and the others added.
 
     A NULL key matches nothing.  With ``newer_by`` a batch row only replaces a
-    target row that is not newer in that column.  The batch must hold a key once.
+    target row that is not newer in that column; a NULL there never replaces a
+    value.  The batch must hold a key once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if newer_by is not None:
         held = target.select(*keys, F.col(newer_by).alias("_held"))
-        older = F.col(newer_by) < F.col("_held")
-        batch = batch.join(held, keys, "left").where(~F.coalesce(older, F.lit(False))).select(*batch.columns)
+        older = F.coalesce(F.col(newer_by) < F.col("_held"), F.col(newer_by).isNull() & F.col("_held").isNotNull())
+        batch = batch.join(held, keys, "left").where(~older).select(*batch.columns)
     kept = target.join(batch.select(*keys), keys, "left_anti")
     return kept.unionByName(batch)
 
 
-def bucket_of(df: DataFrame, key: str | Sequence[str], buckets: int) -> Column:
-    """Stable bucket of a key.  Rows with a NULL key spread by all their values."""
-    keys = [key] if isinstance(key, str) else list(key)
-    complete = F.col(keys[0]).isNotNull()
-    for name in keys[1:]:
-        complete = complete & F.col(name).isNotNull()
-    hashed = F.when(complete, F.xxhash64(*keys)).otherwise(F.xxhash64(*df.columns))
-    return F.pmod(hashed, F.lit(buckets).cast("bigint")).cast("int")
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    fs, folder = storage_path(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(int(n[len(_MANIFEST) : -len(".json")]) for n in names if n.startswith(_MANIFEST) and n.endswith(".json"))
 
 
-def _read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table with its bucket column, under the schema its marker holds."""
-    schema = read_marker(spark, f"{path}/{_READY}")
-    if schema is None:
-        return None
-    return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)
+def _manifest_path(path: str, version: int) -> str:
+    return f"{path}/{_MANIFEST}{version:012d}.json"
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest published version: schema, keys, version column, folders in force and marks."""
+    versions = _manifests(spark, path)
+    return json.loads(read_marker(spark, _manifest_path(path, versions[-1]))) if versions else None
+
+
+def _publish(spark: SparkSession, path: str, content: dict) -> None:
+    """One manifest, complete before it gets its name; a version that exists already is another writer's."""
+    final = _manifest_path(path, content["version"])
+    fs, final_path = storage_path(spark, final)
+    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    write_marker(spark, draft, json.dumps(content))
+    if fs.exists(final_path) or not fs.rename(storage_path(spark, draft)[1], final_path):
+        fs.delete(storage_path(spark, draft)[1], False)
+        raise RuntimeError(f"version {content['version']} of {path} was published by another writer")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = KEPT_VERSIONS) -> None:
+    """Deletes manifests before the last ``keep`` and folders that none of those names.
+
+    Do not run it while another writer is loading: its folder is not named yet.
+    """
+    fs, folder = storage_path(spark, path)
+    versions = _manifests(spark, path)
+    named = {name for v in versions[-keep:] for name in _folders(json.loads(read_marker(spark, _manifest_path(path, v))))}
+    for v in versions[:-keep]:
+        fs.delete(storage_path(spark, _manifest_path(path, v))[1], False)
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if status.isDirectory() and name not in named:
+            fs.delete(status.getPath(), True)
+
+
+def _folders(content: dict) -> list[str]:
+    return [content["base"], *content["deltas"]]
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    fs, folder = storage_path(spark, path)
+    return fs.getContentSummary(folder).getLength()
+
+
+def _folded(spark: SparkSession, path: str, content: dict) -> DataFrame:
+    schema = T.StructType.fromJson(content["schema"])
+    reader = spark.read.schema(schema)
+    base = reader.parquet(f"{path}/{content['base']}")
+    if not content["deltas"]:
+        return base
+    deltas = [reader.parquet(f"{path}/{name}").withColumn(_SEQUENCE, F.lit(k)) for k, name in enumerate(content["deltas"])]
+    order = [F.desc(_SEQUENCE)]
+    if content["newer_by"]:
+        order.insert(0, F.desc_nulls_last(content["newer_by"]))
+    newest = latest_rows(reduce(DataFrame.unionByName, deltas), content["keys"], order).select(*base.columns)
+    return merge_rows(base, newest, content["keys"], content["newer_by"])
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table without its bucket column; None before the first load."""
-    target = _read_buckets(spark, path)
-    return None if target is None else target.drop(BUCKET)
+    """The table as last published; None before the first load."""
+    content = manifest(spark, path)
+    return None if content is None else _folded(spark, path, content)
+
 
+def conform(batch: DataFrame, schema: T.StructType) -> DataFrame:
+    """The batch under the table's schema: the same columns, cast as an INSERT would.
 
-def _mark_ready(df: DataFrame, path: str) -> None:
-    write_marker(df.sparkSession, f"{path}/{_READY}", df.schema.json())
+    A column too many or too few is refused, so is a type of another family; a number beyond the stored
+    type's range fails the load instead of being stored wrong.
+    """
+    extra, absent = set(batch.columns) - set(schema.names), set(schema.names) - set(batch.columns)
+    if extra or absent:
+        raise ValueError(f"the batch has other columns than the table: {sorted(extra)} too many, {sorted(absent)} missing")
+
+    def family(kind: T.DataType) -> object:
+        if isinstance(kind, T.NumericType):
+            return T.NumericType
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return T.DateType
+        return kind
+
+    for field in schema:
+        given = batch.schema[field.name].dataType
+        if not isinstance(given, T.NullType) and family(given) != family(field.dataType):
+            raise ValueError(f"column {field.name} is {given.simpleString()}, the table holds {field.dataType.simpleString()}")
+    # Checked casts, whatever the session's setting for overflow.
+    def stored(field: T.StructField) -> Column:
+        value, cast = F.col(f"`{field.name}`"), F.col(f"`{field.name}`").try_cast(field.dataType)
+        if batch.schema[field.name].dataType == field.dataType:
+            return value
+        wrong = value.isNotNull() & cast.isNull()
+        return F.when(wrong, F.raise_error(F.lit(f"a value of {field.name} does not fit the table"))).otherwise(cast).alias(field.name)
+
+    return batch.select(*(stored(f) for f in schema))
+
+
+def _encode(value) -> list | None:
+    """A mark for the manifest; its kind tells how to read it."""
+    if value is None:
+        return None
+    return ["datetime", value.isoformat()] if isinstance(value, datetime) else ["date", value.isoformat()] if isinstance(value, date) else ["plain", value]
 
 
-def _write_buckets(placed: DataFrame, path: str, mode: str) -> None:
-    """One directory per bucket; adaptive execution sizes the files inside."""
-    (
-        placed.hint("rebalance", BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+def _decode(mark: list | None):
+    if mark is None:
+        return None
+    kind, value = mark
+    return {"datetime": datetime.fromisoformat, "date": date.fromisoformat}.get(kind, lambda v: v)(value)
 
 
-def _publish(spark: SparkSession, path: str) -> None:
-    """Put the staged buckets in place of the old ones.  Safe to repeat."""
-    staged = f"{path}/{_STAGED}"
-    _write_buckets(_read_buckets(spark, staged), path, "dynamic")
-    fs, staged_path = storage_path(spark, staged)
-    fs.delete(staged_path, True)
+def _write(rows: DataFrame, path: str, kind: str) -> str:
+    name = f"{kind}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    return name
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Finish a publish that was cut short.  A half-written staging is ignored."""
-    if path_exists(spark, f"{path}/{_STAGED}/{_READY}"):
-        _publish(spark, path)
+def _marks(spark: SparkSession, path: str, name: str, schema: T.StructType, columns: Sequence[str], before: dict) -> dict:
+    """Marks after a folder was added: its largest values are read from that folder alone."""
+    if not columns:
+        return before
+    found = spark.read.schema(schema).parquet(f"{path}/{name}").agg(*(F.max(c).alias(c) for c in columns)).first()
+    out = dict(before)
+    for c in columns:
+        values = [v for v in (found[c], _decode(before.get(c))) if v is not None]
+        out[c] = _encode(max(values)) if values else None
+    return out
 
 
 def upsert(
     path: str,
     batch: DataFrame,
     key: str | Sequence[str],
-    buckets: int = DEFAULT_BUCKETS,
     newer_by: str | None = None,
     full_refresh: bool = False,
+    marks: Sequence[str] = (),
 ) -> None:
     """Insert or replace rows by key in the table at ``path``.
 
-    Rows live in hash buckets of their key, one directory each; ``buckets`` is
-    fixed when the table is created and should make a bucket a small part of the
-    table, since only buckets the batch touches are read and written.  The merged
-    buckets are staged next to the table before they replace the old ones, so no
-    path is read and overwritten at once, and a run that dies in between is
-    finished by the next one.  The same batch twice changes nothing.
+    Rows with a NULL in their key are left out: they could match nothing, and a replayed batch would add
+    them again.  Keys, schema and ``newer_by`` are fixed by the first load; a batch that does not
+    fit is refused before anything is written.  What is written is the batch, plus now and then the
+    folded table; what is read is the batch.  The same batch twice changes nothing.
+    ``marks`` names columns whose largest loaded value the manifest keeps.
     """
     spark = batch.sparkSession
-    placed = batch.withColumn(BUCKET, bucket_of(batch, key, buckets))
-    if full_refresh or not path_exists(spark, f"{path}/{_READY}"):
-        _write_buckets(placed, path, "static")
-        _mark_ready(placed, path)
-        return
-    recover(spark, path)
-    # Read twice below: for the buckets it touches, then for the merge.
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # At most ``buckets`` numbers.
-        touched = [row[0] for row in placed.select(BUCKET).distinct().collect()]
-        if not touched:
+    keys = [key] if isinstance(key, str) else list(key)
+    before = manifest(spark, path)
+    if before is not None and not full_refresh:
+        if before["keys"] != keys or before["newer_by"] != newer_by:
+            raise ValueError(f"the table is keyed by {before['keys']} and newer by {before['newer_by']}")
+        batch = conform(batch, T.StructType.fromJson(before["schema"]))
+    batch = batch.dropna(subset=keys)
+    version = before["version"] + 1 if before else 1
+    if before is None or full_refresh:
+        name = _write(batch, path, "base")
+        content = {"version": version, "schema": batch.schema.jsonValue(), "keys": keys, "newer_by": newer_by, "base": name, "deltas": []}
+        content["marks"] = _marks(spark, path, name, batch.schema, marks, {})
+    else:
+        schema = T.StructType.fromJson(before["schema"])
+        name = _write(batch, path, "delta")
+        if spark.read.schema(schema).parquet(f"{path}/{name}").isEmpty():
+            fs, folder = storage_path(spark, f"{path}/{name}")
+            fs.delete(folder, True)
             return
-        target = _read_buckets(spark, path).where(F.col(BUCKET).isin(touched))
-        merged = merge_rows(target, placed.select(*target.columns), key, newer_by)
-        merged.write.mode("overwrite").parquet(f"{path}/{_STAGED}")
-        _mark_ready(merged, f"{path}/{_STAGED}")
-    finally:
-        placed.unpersist()
-    _publish(spark, path)
+        content = {**before, "version": version, "deltas": [*before["deltas"], name]}
+        content["marks"] = _marks(spark, path, name, schema, marks, before["marks"])
+    _publish(spark, path, content)
+    grown = sum(_bytes(spark, f"{path}/{d}") for d in content["deltas"])
+    if len(content["deltas"]) > MOST_DELTAS or grown > DELTA_PART * _bytes(spark, f"{path}/{content['base']}"):
+        compact(spark, path)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Folds the deltas into a new base; rows stay the same."""
+    content = manifest(spark, path)
+    if content and content["deltas"]:
+        name = _write(_folded(spark, path, content), path, "base")
+        _publish(spark, path, {**content, "version": content["version"] + 1, "base": name, "deltas": []})
+        vacuum(spark, path)
 
 
 def load_increment(
@@ -158,18 +269,23 @@ def load_increment(
     key: str | Sequence[str],
     mark_column: str,
     order: Sequence[Column],
-    buckets: int = DEFAULT_BUCKETS,
     lookback: timedelta | None = None,
     newer_by: str | None = None,
     full_refresh: bool = False,
 ) -> None:
     """One incremental run: rows above the mark, newest per key, upserted.
 
-    The first run, a full refresh and an empty target load everything.
+    The first run, a full refresh and an empty target load everything.  The mark comes from the manifest, so a run
+    does not scan the table; rows without a complete key are left out before the newest are taken.
     """
     spark = source.sparkSession
-    recover(spark, path)
-    target = None if full_refresh else read_target(spark, path)
-    rows = newer_rows(source, mark_column, high_water(target, mark_column), lookback)
     keys = [key] if isinstance(key, str) else list(key)
-    upsert(path, latest_rows(rows, keys, order), keys, buckets, newer_by, full_refresh)
+    content = None if full_refresh else manifest(spark, path)
+    mark = None
+    if content is not None:
+        if mark_column in content["marks"]:
+            mark = _decode(content["marks"][mark_column])
+        else:  # loaded so far without this mark
+            mark = high_water(_folded(spark, path, content), mark_column)
+    rows = newer_rows(source, mark_column, mark, lookback).dropna(subset=keys)
+    upsert(path, latest_rows(rows, keys, order), keys, newer_by, full_refresh, [mark_column])

@@ -247,7 +247,7 @@ def profile_tables(
             column_profile(tables[name](), name, k).write.mode("overwrite").parquet(f"{out}/table={name}")
             return name, "successful", perf_counter() - started, None
         except Exception as problem:  # the log keeps it; the other tables go on
-            return name, "failed", perf_counter() - started, str(problem).splitlines()[0]
+            return name, "failed", perf_counter() - started, f"{type(problem).__name__}: {problem}"
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         log = list(pool.map(run, sorted(tables)))

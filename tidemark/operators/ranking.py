@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-# Rows of a fully sorted table that one task numbers; beyond it the sort is
-# split into ranges of about this size.
+# Rows of a range at most; a smaller table is split over the session's partitions.
 ROWS_PER_RANGE = 1_000_000
 
 _POSITION = "_position"
@@ -31,10 +30,7 @@ def global_rank(
     checkpoint folder first, because counting and numbering have to see the same
     range bounds.  The offsets are one row per range, hence the broadcast.
     """
-    ranges = max(1, ceil(rows / rows_per_range))
-    if ranges == 1:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))
-
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows / rows_per_range))
     in_order = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     ranged = cut_lineage(in_order.withColumn(_POSITION, F.monotonically_increasing_id()))
     ranged = ranged.withColumn(_RANGE, F.shiftright(_POSITION, _LOCAL_BITS))

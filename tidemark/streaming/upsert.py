@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.dedupe import latest_rows
-from tidemark.operators.incremental import DEFAULT_BUCKETS, upsert
+from tidemark.operators.incremental import upsert
 
 
 def stream_upsert(
@@ -23,7 +23,6 @@ def stream_upsert(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     source_format: str = "parquet",
     files_per_batch: int | None = None,
-    buckets: int = DEFAULT_BUCKETS,
     newer_by: str | None = None,
 ) -> StreamingQuery:
     """Load all files that are new in ``source``, then stop.
@@ -39,7 +38,7 @@ def stream_upsert(
 
     def load(rows: DataFrame, _: int) -> None:
         rows = prepare(rows) if prepare else rows
-        upsert(target, latest_rows(rows, keys, order), keys, buckets, newer_by)
+        upsert(target, latest_rows(rows.dropna(subset=keys), keys, order), keys, newer_by)
 
     return (
         reader.load(source)
