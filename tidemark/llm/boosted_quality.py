@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import computed, narrow, whole
+from tidemark.llm.common import computed, narrow, small_batches, whole
 
 #: Labelled rows that the trees are fitted on at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "x": list(feature_matrix(batch["text"]))})
 
+    small_batches(docs.sparkSession)
     got = chosen.mapInPandas(features, "y double, x array<float>").toPandas()
     x = np.array(got["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, got["y"].to_numpy()])  # the same trees whatever order rows arrive in

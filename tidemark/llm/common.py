@@ -28,6 +28,16 @@ def whole(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Rows of an Arrow batch, where the session has not chosen: 10,000 texts at once would fill a worker's memory.
+BATCH_ROWS = 512
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written intermediate tables in the folder that all executors share.
 
@@ -37,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.last = spark, label, {}
+        small_batches(spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.label}-{name}")
@@ -122,6 +133,7 @@ def computed(df: DataFrame, inputs: list[str], outputs: str, function) -> DataFr
     The function takes one list per input and returns one per output. Other columns pass as Arrow arrays,
     so ids keep their type whether or not some are null.
     """
+    small_batches(df.sparkSession)
     others = [c for c in df.columns if c not in inputs]
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.select(*others).dtypes)
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, computed, narrow, whole
+from tidemark.llm.common import Scratch, computed, narrow, small_batches, whole
 
 #: Output classes times words per class; the last class takes hash buckets of words outside the vocabulary.
 CLASSES, MEMBERS = 64, 64
@@ -151,6 +151,7 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
     is fixed, so what the driver holds is bounded; what is gathered grows with the corpus. None without any word.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     texts = narrow(docs, text=whole(f"`{text_col}`"))
     counts = texts.mapInPandas(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = Scratch(spark, "words").table(counts, "counts")

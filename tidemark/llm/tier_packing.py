@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import narrow, whole
+from tidemark.llm.common import narrow, small_batches, whole
 from tidemark.llm.piecewise import WordIds
 
 TIERS = (256, 512, 1024, 2048)
@@ -164,6 +164,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         packer.finish()
         yield rows()
 
+    small_batches(docs.sparkSession)
     # Ids travel as text, so that a null among whole numbers does not turn the others into floats.
     source = narrow(docs, id=F.col(f"`{id_col}`").cast("string"), text=whole(f"`{text_col}`"))
     out = source.mapInPandas(packed, SCHEMA)
