@@ -1,3 +1,5 @@
+"""Rows that all tests of the operators share, and their fixtures; no conftest, whose name the other tests import."""
+
 from __future__ import annotations
 
 import pytest

@@ -6,7 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import SMALL
+from samples import SMALL
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import SMALL, texts
+from samples import SMALL, documents, nothing, odd, texts  # noqa: F401  (fixtures)
 
 from tidemark.llm import boosted_quality, kd_shards, metric_join, order_minhash, overlap_tokens, pareto_mix, pseudo_likelihood, repeat_spans, simhash_ball, tier_packing
 from tidemark.llm.common import Scratch, components, table, tokenizer

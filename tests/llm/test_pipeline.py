@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import DOCS, PROSE, SMALL, texts
+from samples import DOCS, PROSE, SMALL, documents, nothing, odd, texts  # noqa: F401  (fixtures)
 from test_operators import check_packing, slow_repeats, slow_simhash, unite
 
 import corpus_pipeline as pipeline
