@@ -105,7 +105,6 @@ def mix_sources(
         joined = joined.withColumn("_e", F.when(F.abs(expected - F.round(expected)) < 1e-9, F.round(expected)).otherwise(expected))
         joined = joined.withColumn("_f", F.col("_e") - F.floor("_e"))
         u = (F.shiftrightunsigned("_draw", 12).cast("double") + 0.5) / float(1 << 52)
-        odds = (u / (1 - u)) / (F.col("_f") / F.when(F.col("_f") > 0, 1 - F.col("_f")))
         odds = F.when(F.col("_f") > 0, (u / (1 - u)) * (1 - F.col("_f")) / F.when(F.col("_f") > 0, F.col("_f")))
         place = F.least(F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long"), F.lit((1 << RANK_BITS) - 1))
         return joined.withColumn("_rank", place)
