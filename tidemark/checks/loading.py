@@ -12,7 +12,8 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.checks.registry import Tables, query
+from tidemark.checks.registry import SQL, Tables, query
+from tidemark.checks.repository import report_sql
 from tidemark.operators.aggregates import labelled_count
 from tidemark.operators.incremental import (
     high_water,
@@ -23,6 +24,7 @@ from tidemark.operators.incremental import (
     upsert,
 )
 from tidemark.operators.dedupe import latest_rows
+from tidemark.operators.quality import run_checks
 from tidemark.plans import show_catalog
 from tidemark.session import scratch_path
 from tidemark.sources.catalog import describe
@@ -274,6 +276,10 @@ def _episode_character_counts(t: Tables) -> DataFrame:
     'dim' || CAST(s_nationkey AS VARCHAR) AS dimension, s_nationkey AS resident_count FROM supplier""",
 )
 def _location_summary(t: Tables) -> DataFrame:
+    return show_catalog.location_summary(locations(t))
+
+
+def locations(t: Tables) -> DataFrame:
     """Suppliers as locations with as many residents as their nation's number."""
     nation = F.col("s_nationkey")
     people = F.when(nation > 0, F.sequence(F.lit(1), nation)).otherwise(F.array().cast("array<int>"))
@@ -286,7 +292,7 @@ def _location_summary(t: Tables) -> DataFrame:
         F.lit("2017-11-10T12:42:04.162Z").alias("created"),
         F.to_json(people).alias("residents"),
     )
-    return show_catalog.location_summary(show_catalog.stage_locations(landed))
+    return show_catalog.stage_locations(landed)
 
 
 @query(
@@ -297,3 +303,25 @@ def _location_summary(t: Tables) -> DataFrame:
 def _label_counts(t: Tables) -> DataFrame:
     df = t.documents.join(t.labels, "doc_id", "left")
     return labelled_count(df.select(F.when(F.col("quality") == 1, F.col("lang")).alias("lang")), "lang", "unknown", "n")
+
+
+_CATALOG = ("characters", "episodes", "locations", "episode_character_counts", "episode_summary", "location_summary", "character_status")
+
+
+def _catalog_sql() -> str:
+    as_query = {"characters": "show_characters", "episodes": "episode_summary", "locations": "location_summary"}
+    return report_sql({n: SQL[as_query.get(n, n)] for n in _CATALOG}, show_catalog.catalog_checks())
+
+
+@query("catalog_check_report", _catalog_sql())
+def _catalog_check_report(t: Tables) -> DataFrame:
+    """All checks of the show catalog."""
+    people, parts, places = characters(t), episodes(t), locations(t)
+    tables = {
+        "characters": people, "episodes": parts, "locations": places,
+        "episode_character_counts": show_catalog.episode_character_counts(parts),
+        "episode_summary": show_catalog.episode_summary(parts),
+        "location_summary": show_catalog.location_summary(places),
+        "character_status": show_catalog.character_status(people),
+    }
+    return run_checks(tables, show_catalog.catalog_checks())

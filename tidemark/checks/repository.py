@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.activity import k_of, newest
-from tidemark.checks.registry import Tables, query
-from tidemark.operators.quality import run_checks
+from tidemark.checks.registry import QUERIES, SQL, Tables, query
+from tidemark.operators.incremental import read_target
+from tidemark.operators.quality import NotNull, Unique, run_checks
 from tidemark.plans import repository_activity as repo
+from tidemark.plans.incremental_staging import commits_mart_increment, stage_increment
 from tidemark.session import scratch_path
-from tidemark.sources.sinks import write_table
+from tidemark.sources.readers import read_landing
+from tidemark.sources.sinks import write_landing, write_table
 
 EXTRACTED = "2024-02-01 00:00:00"
 
@@ -149,27 +152,37 @@ def _commits_mart(t: Tables) -> DataFrame:
     FROM commits""",
 )
 def _request_commits_mart(t: Tables) -> DataFrame:
+    return without_zone(repo.request_commits_mart(repo.stage_request_commits(landed_request_commits(t.events))))
+
+
+def landed_request_commits(events: DataFrame) -> DataFrame:
     leaves = commit_leaves()
     del leaves["commit_timestamp"]
     leaves |= {"pull_number": k_of(), "comments_url": text_of("api/", F.col("event_id"), "/c")}
-    return without_zone(repo.request_commits_mart(repo.stage_request_commits(land(t.events, **leaves))))
+    return land(events, **leaves)
 
 
-@query(
-    "branches_mart",
-    """SELECT 'o' || CAST(c_nationkey AS VARCHAR) AS org, c_mktsegment AS repo, CASE WHEN c_acctbal > 0 THEN c_custkey END AS repo_id,
+def _branches_sql(version: str) -> str:
+    """The branches of the given version, an SQL expression."""
+    return f"""SELECT 'o' || CAST(c_nationkey AS VARCHAR) AS org, c_mktsegment AS repo, CASE WHEN c_acctbal > 0 THEN c_custkey END AS repo_id,
     CASE WHEN c_acctbal > 5000 THEN 'main' ELSE c_name END AS branch_name, CASE WHEN c_acctbal > 0 THEN c_acctbal > 9000 END AS is_protected,
-    'sha1-' || CAST(c_custkey AS VARCHAR) AS commit_sha, 'u' AS commit_api_url,
+    'sha' || CAST({version} AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) AS commit_sha, 'u' AS commit_api_url,
     'o' || CAST(c_nationkey AS VARCHAR) || '/' || c_mktsegment || ':' || coalesce(CAST(CASE WHEN c_acctbal > 0 THEN c_custkey END AS VARCHAR), '')
       || ':' || CASE WHEN c_acctbal > 5000 THEN 'main' ELSE c_name END AS branch_sk,
     'o' || CAST(c_nationkey AS VARCHAR) || '/' || c_mktsegment AS full_repo_name,
-    TIMESTAMP '2024-02-01 01:00:00' AS _sdc_extracted_at, c_acctbal > 5000 AS is_main_branch
-    FROM customer""",
-)
+    TIMESTAMP '{EXTRACTED}' + to_hours({version}) AS _sdc_extracted_at, c_acctbal > 5000 AS is_main_branch
+    FROM customer"""
+
+
+@query("branches_mart", _branches_sql("1"))
 def _branches_mart(t: Tables) -> DataFrame:
+    return without_zone(repo.branches_mart(repo.stage_branches(landed_branches(t.customer))))
+
+
+def landed_branches(customer: DataFrame) -> DataFrame:
     balance = F.col("c_acctbal")
-    landed = land(
-        t.customer,
+    return land(
+        customer,
         org=text_of("o", F.col("c_nationkey")),
         repo=F.col("c_mktsegment"),
         repo_id=F.when(balance > 0, F.col("c_custkey")),
@@ -177,30 +190,35 @@ def _branches_mart(t: Tables) -> DataFrame:
         protected=F.when(balance > 0, balance > 9000),
         commit=F.struct(text_of("sha", F.col("_version"), "-", F.col("c_custkey")).alias("sha"), F.lit("u").alias("url")),
     )
-    return without_zone(repo.branches_mart(repo.stage_branches(landed)))
 
 
-@query(
-    "repositories_mart",
-    """SELECT p_partkey AS repo_id, 'n' || CAST(p_partkey AS VARCHAR) AS node_id, p_brand AS org,
+def _repositories_sql(version: str) -> str:
+    """The repositories of the given version, an SQL expression."""
+    return f"""SELECT p_partkey AS repo_id, 'n' || CAST(p_partkey AS VARCHAR) AS node_id, p_brand AS org,
     CASE WHEN p_size > 10 THEN p_name ELSE 'slug' END AS repo, CASE WHEN p_size > 20 THEN p_brand || '/' || p_name END AS full_name,
     p_brand || '/' || CASE WHEN p_size > 10 THEN p_name ELSE 'slug' END AS full_repo_name,
     CAST(p_partkey AS VARCHAR) || ':' || CASE WHEN p_size > 20 THEN p_brand || '/' || p_name ELSE p_brand END AS repo_sk,
     'h' AS repo_github_url, 'g' AS git_url, 's' AS ssh_url, 'c' AS clone_url, CAST(NULL AS VARCHAR) AS homepage_url,
     p_size > 30 AS is_private, p_size < 5 AS is_fork, CAST(NULL AS BOOLEAN) AS is_archived, FALSE AS is_disabled,
     p_type AS description, 'public' AS visibility, 'SQL' AS primary_language, 'main' AS default_branch,
-    CAST(p_size AS BIGINT) AS repo_size_kb, CAST(p_size AS BIGINT) * 2 AS stargazers_count, CAST(1 AS BIGINT) AS watchers_count, CAST(2 AS BIGINT) AS forks_count,
+    CAST(p_size AS BIGINT) AS repo_size_kb, CAST(p_size AS BIGINT) * ({version} + 1) AS stargazers_count, CAST(1 AS BIGINT) AS watchers_count, CAST(2 AS BIGINT) AS forks_count,
     CAST(3 AS BIGINT) AS open_issues_count, CAST(NULL AS BIGINT) AS subscribers_count, CAST(4 AS BIGINT) AS network_count,
-    TIMESTAMP '2020-01-01 00:00:00' AS created_at, CASE WHEN p_size > 25 THEN TIMESTAMP '2024-01-01 01:00:00' END AS updated_at,
-    TIMESTAMP '2023-01-01 02:30:00' + to_hours(1) AS pushed_at,
+    TIMESTAMP '2020-01-01 00:00:00' AS created_at, CASE WHEN p_size > 25 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours({version}) END AS updated_at,
+    TIMESTAMP '2023-01-01 02:30:00' + to_hours({version}) AS pushed_at,
     'own' AS owner_login, p_partkey AS owner_id, 'Organization' AS owner_type, 'oh' AS owner_github_url, 'oa' AS owner_avatar_url,
-    FALSE AS owner_is_site_admin, TIMESTAMP '2024-02-01 01:00:00' AS _sdc_extracted_at
-    FROM part""",
-)
+    FALSE AS owner_is_site_admin, TIMESTAMP '{EXTRACTED}' + to_hours({version}) AS _sdc_extracted_at
+    FROM part"""
+
+
+@query("repositories_mart", _repositories_sql("1"))
 def _repositories_mart(t: Tables) -> DataFrame:
+    return without_zone(repo.repositories_mart(repo.stage_repositories(landed_repositories(t.part))))
+
+
+def landed_repositories(part: DataFrame) -> DataFrame:
     size, version = F.col("p_size"), F.col("_version")
-    landed = land(
-        t.part,
+    return land(
+        part,
         id=F.col("p_partkey"),
         node_id=text_of("n", F.col("p_partkey")),
         name=F.when(size > 10, F.col("p_name")),
@@ -221,7 +239,91 @@ def _repositories_mart(t: Tables) -> DataFrame:
             F.lit("oh").alias("html_url"), F.lit("oa").alias("avatar_url"),
         ),
     )
-    return without_zone(repo.repositories_mart(repo.stage_repositories(landed)))
+
+
+# Versions that an incremental load ends with: rows that the second extraction leaves out stay as first loaded.
+CUT = "2024-01-15 00:00:00"
+_EARLY = f"commit_timestamp <= TIMESTAMP '{CUT}'"
+_EARLY_VIEW = f"git_committer_email = 'noreply' AND git_author_timestamp <= TIMESTAMP '{CUT}'"
+def _drafts(early: str, *more: str) -> str:
+    """Replaced columns of commits that are as the first extraction has them where ``early`` holds."""
+    replaced = [f"CASE WHEN {early} THEN 'build:draft' ELSE commit_message END AS commit_message", f"CASE WHEN {early} THEN 'build' ELSE commit_type END AS commit_type"]
+    return f"REPLACE ({', '.join([*replaced, *more])})"
+
+
+def is_early(ts: Column) -> Column:
+    return ts <= F.lit(CUT).cast("timestamp_ntz")
+
+
+def staged_twice(t: Tables, name: str, first: DataFrame, second: DataFrame, after=lambda path: None) -> str:
+    """Land two extractions as JSON lines, load each in a run of its own; the staging table's path."""
+    landing, path = scratch_path(t.spark, "landing"), scratch_path(t.spark, name)
+    for records in (first, second):
+        write_landing(records, landing)
+        stage_increment(path, read_landing(t.spark, landing), name)
+        after(path)
+    return path
+
+
+def extraction(landed: DataFrame, version: int) -> DataFrame:
+    return landed.where(F.col("_sdc_sequence") == version)
+
+
+@query(
+    "commits_incremental",
+    f"""WITH {_COMMITS} SELECT * EXCLUDE (comment_count, verified_at)
+    {_drafts(_EARLY, f"CASE WHEN {_EARLY} THEN NULL ELSE pull_request_number END AS pull_request_number")},
+    org || '/' || repo AS full_repo_name FROM commits""",
+)
+def _commits_incremental(t: Tables) -> DataFrame:
+    """Staging by extraction time, the mart by commit time: commits known to the mart stay as first loaded."""
+    early = is_early(F.col("ts"))
+    first = extraction(land(t.events.where(early), **commit_leaves()), 0)
+    mart = scratch_path(t.spark, "mart")
+    staged_twice(
+        t, "commits", first, extraction(landed_commits(t), 1),
+        lambda path: commits_mart_increment(mart, read_target(t.spark, path)),
+    )
+    return without_zone(read_target(t.spark, mart))
+
+
+@query(
+    "request_commits_incremental",
+    f"""WITH {_COMMITS} SELECT * EXCLUDE (commit_timestamp) {_drafts(_EARLY_VIEW)},
+    org || '/' || repo || ':' || CAST(repo_id AS VARCHAR) || ':pr:' || CAST(pull_request_number AS VARCHAR) || ':' || sha AS pull_request_commit_sk,
+    org || '/' || repo AS full_repo_name, commit_api_url || '/c' AS comments_api_url,
+    TIMESTAMP '{EXTRACTED}' + to_hours(CASE WHEN {_EARLY_VIEW} THEN 0 ELSE 1 END) AS _sdc_extracted_at FROM commits""",
+)
+def _request_commits_incremental(t: Tables) -> DataFrame:
+    """Early views are not extracted again and stay drafts."""
+    leaves, early = landed_request_commits, is_early(F.col("ts"))
+    first = extraction(leaves(t.events.where(early)), 0)
+    second = extraction(leaves(t.events.where(~(early & (F.col("event_type") == "view")))), 1)
+    path = staged_twice(t, "request_commits", first, second)
+    return without_zone(repo.request_commits_mart(read_target(t.spark, path)))
+
+
+_BRANCH_VERSION = "CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END"
+
+
+@query("branches_incremental", _branches_sql(_BRANCH_VERSION))
+def _branches_incremental(t: Tables) -> DataFrame:
+    """Only customers with a positive balance are extracted twice."""
+    first, second = extraction(landed_branches(t.customer), 0), extraction(landed_branches(t.customer.where("c_acctbal > 0")), 1)
+    path = staged_twice(t, "branches", first, second)
+    return without_zone(repo.branches_mart(read_target(t.spark, path)))
+
+
+_REPOSITORY_VERSION = "CASE WHEN p_size <= 25 OR p_size > 40 THEN 1 ELSE 0 END"
+
+
+@query("repositories_incremental", _repositories_sql(_REPOSITORY_VERSION))
+def _repositories_incremental(t: Tables) -> DataFrame:
+    """Parts of middle size are extracted once; large ones are new in the second extraction."""
+    first = extraction(landed_repositories(t.part.where("p_size <= 40")), 0)
+    second = extraction(landed_repositories(t.part.where("p_size <= 25 OR p_size > 40")), 1)
+    path = staged_twice(t, "repositories", first, second)
+    return without_zone(repo.repositories_mart(read_target(t.spark, path)))
 
 
 @query(
@@ -272,15 +374,32 @@ def _committers_mart(t: Tables) -> DataFrame:
     return without_zone(repo.committers_mart(staged, newest(t.events, "ts")))
 
 
-@query(
-    "mart_check_report",
-    """SELECT * FROM (VALUES
-    ('commits', 'not_null', 'commit_timestamp', 'error', CAST(0 AS BIGINT), 'pass'),
-    ('commits', 'not_null', 'sha', 'error', CAST(0 AS BIGINT), 'pass'),
-    ('commits', 'unique', 'sha', 'error', CAST(0 AS BIGINT), 'pass')) AS r(table_name, check_name, column_name, severity, failures, status)
-    UNION ALL SELECT 'commits', 'not_null', 'git_author_email', 'error', count(*), CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END FROM events WHERE value <= 5""",
-)
+def report_sql(tables: dict[str, str], checks: list) -> str:
+    """What ``run_checks`` must give for tables of the given SQL."""
+    rows = []
+    for c in checks:
+        name = f"m_{c.table}"
+        if isinstance(c, NotNull):
+            kind, failed = "not_null", f"(SELECT count(*) FROM {name} WHERE {c.column} IS NULL)"
+        elif isinstance(c, Unique):
+            kind, failed = "unique", f"(SELECT count(*) FROM (SELECT 1 FROM {name} WHERE {c.column} IS NOT NULL GROUP BY {c.column} HAVING count(*) > 1))"
+        else:
+            kind, failed = "relationships", f"(SELECT count(*) FROM {name} WHERE {c.column} NOT IN (SELECT {c.parent_column} FROM m_{c.parent}))"
+        rows.append(f"SELECT '{c.table}' AS table_name, '{kind}' AS check_name, '{c.column}' AS column_name, '{c.severity}' AS severity, {failed} AS failures")
+    parts = ", ".join(f"m_{n} AS ({q})" for n, q in tables.items())
+    return f"""WITH {parts} SELECT *, CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status
+    FROM ({' UNION ALL '.join(rows)})"""
+
+
+_MARTS = ("commits", "request_commits", "branches", "repositories", "committers")
+
+
+@query("mart_check_report", report_sql({n: SQL[f"{n}_mart"] for n in _MARTS}, repo.mart_checks()))
 def _mart_check_report(t: Tables) -> DataFrame:
-    commits = repo.commits_mart(repo.stage_commits(landed_commits(t)))
-    wanted = [c for c in repo.mart_checks() if c.table == "commits" and not hasattr(c, "parent")]
-    return run_checks({"commits": commits}, wanted)
+    """All checks of all marts, each mart written once."""
+    marts = {}
+    for name in _MARTS:
+        path = scratch_path(t.spark, name)
+        write_table(QUERIES[f"{name}_mart"](t.spark, t.folder), path)
+        marts[name] = t.spark.read.parquet(path)
+    return run_checks(marts, repo.mart_checks())

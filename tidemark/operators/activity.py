@@ -20,6 +20,7 @@ from tidemark.operators.aggregates import (
     out_of_office_hours,
 )
 from tidemark.operators.dedupe import latest_rows
+from tidemark.operators.profile import SLOTS, slot_value, value_slot
 from tidemark.operators.ranking import ROWS_PER_RANGE, global_rank
 from tidemark.session import cut_lineage
 
@@ -43,7 +44,7 @@ class Activity:
     counts: Mapping[str, Column] = field(default_factory=dict)  # rows where true
     any_of: Mapping[str, Column] = field(default_factory=dict)  # true on any row
     distincts: Mapping[str, Column] = field(default_factory=dict)  # distinct values
-    modes: Mapping[str, Column] = field(default_factory=dict)  # most frequent text
+    modes: Mapping[str, Column] = field(default_factory=dict)  # most frequent value
     latest: Mapping[str, Column] = field(default_factory=dict)  # from the newest row
     latest_ties: Sequence[Column] = ()  # order among rows of the same time
     percents: Mapping[str, str] = field(default_factory=dict)  # output -> count column
@@ -128,21 +129,29 @@ def _value_measures(df: DataFrame, a: Activity) -> DataFrame:
     """Distinct counts and modes, from one scan in long form.
 
     One row per (actor, measure, value) after the first aggregate, which spreads a
-    hot actor by its values.
+    hot actor by its values.  Values are held in the slot of their type: 0.0 and -0.0 are
+    one value, ties of numbers go to the smaller number, and a mode keeps its type.
     """
     wanted = {**a.distincts, **a.modes}
     place = {name: i for i, name in enumerate(wanted)}
-    listed = F.array(
-        *[F.struct(F.lit(place[name]).alias("measure"), c.cast("string").alias("value")) for name, c in wanted.items()]
-    )
-    pairs = df.select(a.actor, F.inline(listed)).where(F.col("value").isNotNull())
-    counted = pairs.groupBy(a.actor, "measure", "value").agg(F.count("*").alias("_n"))
+    rows = df.select(F.col(a.actor).alias("_actor"), *[c.alias(f"_v{place[name]}") for name, c in wanted.items()])
+    fields = {name: rows.schema[f"_v{i}"] for name, i in place.items()}
+    slot = {name: value_slot(f)[0] for name, f in fields.items()}
+    used = {s: kind for s, kind in SLOTS.items() if s in slot.values()}
+
+    def entry(name: str) -> Column:
+        _, value = value_slot(fields[name])
+        values = [(value if s == slot[name] else F.lit(None).cast(kind)).alias(s) for s, kind in used.items()]
+        return F.struct(F.lit(place[name]).alias("measure"), *values)
+
+    pairs = rows.select("_actor", F.inline(F.array(*map(entry, wanted)))).where(" OR ".join(f"{s} IS NOT NULL" for s in used))
+    counted = pairs.groupBy("_actor", "measure", *used).agg(F.count("*").alias("_n"))
     measures = [F.count_if(F.col("measure") == place[name]).alias(name) for name in a.distincts]
     for name in a.modes:
-        candidate = F.struct((-F.col("_n")).alias("less"), F.col("value"))
+        candidate = F.struct((-F.col("_n")).alias("less"), F.col(slot[name]).alias("value"))
         best = F.min(F.when(F.col("measure") == place[name], candidate))
-        measures.append(best["value"].alias(name))
-    return counted.groupBy(a.actor).agg(*measures)
+        measures.append(slot_value(fields[name], best["value"]).alias(name))
+    return counted.groupBy("_actor").agg(*measures).withColumnRenamed("_actor", a.actor)
 
 
 def _latest_profile(df: DataFrame, a: Activity) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -205,7 +205,10 @@ def _marks(spark: SparkSession, path: str, name: str, schema: T.StructType, colu
     found = spark.read.schema(schema).parquet(f"{path}/{name}").agg(*(F.max(c).alias(c) for c in columns)).first()
     out = dict(before)
     for c in columns:
-        values = [v for v in (found[c], _decode(before.get(c))) if v is not None]
+        new = found[c]
+        if new is not None and isinstance(schema[c].dataType, T.TimestampType):
+            new = new.astimezone(timezone.utc)  # an instant, whatever the driver's zone
+        values = [v for v in (new, _decode(before.get(c))) if v is not None]
         out[c] = _encode(max(values)) if values else None
     return out
 
@@ -263,6 +266,19 @@ def compact(spark: SparkSession, path: str) -> None:
         vacuum(spark, path)
 
 
+def loaded_mark(spark: SparkSession, path: str, column: str):
+    """Largest loaded value of the column, from the manifest; None before the first load.
+
+    Only a table that was loaded without this mark is scanned for it.
+    """
+    content = manifest(spark, path)
+    if content is None:
+        return None
+    if column in content["marks"]:
+        return _decode(content["marks"][column])
+    return high_water(_folded(spark, path, content), column)
+
+
 def load_increment(
     path: str,
     source: DataFrame,
@@ -278,14 +294,7 @@ def load_increment(
     The first run, a full refresh and an empty target load everything.  The mark comes from the manifest, so a run
     does not scan the table; rows without a complete key are left out before the newest are taken.
     """
-    spark = source.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
-    content = None if full_refresh else manifest(spark, path)
-    mark = None
-    if content is not None:
-        if mark_column in content["marks"]:
-            mark = _decode(content["marks"][mark_column])
-        else:  # loaded so far without this mark
-            mark = high_water(_folded(spark, path, content), mark_column)
+    mark = None if full_refresh else loaded_mark(source.sparkSession, path, mark_column)
     rows = newer_rows(source, mark_column, mark, lookback).dropna(subset=keys)
     upsert(path, latest_rows(rows, keys, order), keys, newer_by, full_refresh, [mark_column])

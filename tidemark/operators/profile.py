@@ -66,13 +66,18 @@ def value_slot(field: T.StructField) -> tuple[str, Column]:
     return "text", column.cast("string")
 
 
-def shown_value(field: T.StructField) -> Column:
-    """The text of a value, from its slot."""
+def slot_value(field: T.StructField, value: Column | None = None) -> Column:
+    """A value in its column's type, from its slot; maps and other nested values stay JSON texts, bytes stay hex."""
     slot, _ = value_slot(field)
-    value = F.col(slot)
+    value = F.col(slot) if value is None else value
     if isinstance(field.dataType, T.TimestampType):
-        return F.timestamp_micros(value).cast("string")
-    return value.cast("string") if slot == "text" else value.cast(field.dataType).cast("string")
+        return F.timestamp_micros(value)
+    return value if isinstance(field.dataType, (T.BinaryType, *NESTED)) else value.cast(field.dataType)
+
+
+def shown_value(field: T.StructField) -> Column:
+    """The text of a value, from its slot."""
+    return slot_value(field).cast("string")
 
 
 def column_basics(df: DataFrame) -> DataFrame:

@@ -138,10 +138,14 @@ REPOSITORY_LEAVES = {
 def _newest(
     landed: DataFrame, leaves: Mapping, keys: Sequence[str], order: Sequence[Column], also: Sequence[str] = ()
 ) -> DataFrame:
-    """Newest record per key, then all its leaves."""
+    """Newest record per key, then all its leaves.
+
+    What ``order`` leaves tied goes by sequence, then by a hash of the payload, so that a task
+    that runs again picks the same record.
+    """
     early = {name: leaves[name] for name in (*keys, *also)}
     keyed = flatten_payload(landed, early, keep=["data", *EXTRACTION_COLUMNS])
-    newest = latest_rows(keyed, keys, order)
+    newest = latest_rows(keyed, keys, [*order, F.desc("_sdc_sequence"), F.desc(F.xxhash64("data"))])
     return flatten_payload(newest, leaves, keep=EXTRACTION_COLUMNS)
 
 

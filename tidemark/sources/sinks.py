@@ -19,8 +19,9 @@ def publish_view(df: DataFrame, name: str) -> None:
 
 
 def write_landing(df: DataFrame, path: str, mode: str = "append") -> None:
-    """JSON lines, one record per row."""
-    df.write.mode(mode).json(path)
+    """JSON lines, one record per row; times keep their microseconds."""
+    pattern = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode(mode).options(timestampFormat=f"{pattern}XXX", timestampNTZFormat=pattern).json(path)
 
 
 def _bullet(title: str, value: Column) -> Column:
