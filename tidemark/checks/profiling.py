@@ -12,7 +12,7 @@ from tidemark.operators import profile as pr
 from tidemark.operators.joins import column_lookup, orphan_keys
 from tidemark.operators.quality import NotNull, Relationship, Unique, null_rows, repeated_values, run_checks
 from tidemark.operators.ranking import global_rank, top_k
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import catalog
 from tidemark.sources.sinks import render_profiles
 
@@ -27,16 +27,15 @@ def _per_column(table: str, columns: list[str], body: str) -> str:
     return " UNION ALL ".join(body.format(c=c, t=table) for c in columns)
 
 
-_EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-_LABELLED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+_LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def labelled(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left").select(*_LABELLED)
 
 
-_LABELLED_SQL = "(SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
+_LABELLED_SQL = "(SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 
 
 @query(
@@ -55,51 +54,80 @@ def _profile_columns(t: Tables) -> DataFrame:
     return basics.join(distinct, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint")))
 
 
-_RANGES = {
-    "customer": ["c_custkey", "c_nationkey"],
-    "events": ["event_id", "user_id", "ts"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderdate"],
-}
+# Columns with a range; None stands for one without.
+_KINDS = {
+    "customer": {"c_custkey": "bigint", "c_name": None, "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": None},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": None, "value": "double", "props": None},
+    "orders": {
+        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": None, "o_totalprice": "double",
+        "o_orderdate": "timestamp_ntz", "o_orderpriority": None,
+    },
+}
+
+
+def _shown(kind: str | None, value: str) -> str:
+    """The text of a value, in SQL; NULL for a kind without a range."""
+    if kind is None:
+        return "CAST(NULL AS VARCHAR)"
+    return f"strftime({value}, '%Y-%m-%d %H:%M:%S')" if kind == "timestamp_ntz" else f"CAST({value} AS VARCHAR)"
+
+
+def _range_sql(table: str, column: str, kind: str | None) -> str:
+    ends = []
+    for end in ("min", "max"):
+        real = kind == "double"
+        ends.append(f"{_shown(None if real else kind, f'{end}({column})')} AS {end}_value, {f'{end}({column})' if real else 'CAST(NULL AS DOUBLE)'} AS {end}_real")
+    rows = table if kind else f"(SELECT count(*) FROM {table})"
+    return f"SELECT '{table}' AS table_name, '{column}' AS column_name, {', '.join(ends)} FROM {rows}"
 
 
 @query(
     "profile_minmax",
-    " UNION ALL ".join(
-        f"""SELECT '{table}' AS table_name, '{c}' AS column_name,
-        {'strftime' if c in ('ts', 'o_orderdate') else 'CAST'}(min({c}){", '%Y-%m-%d %H:%M:%S'" if c in ('ts', 'o_orderdate') else " AS VARCHAR"}) AS min_value,
-        {'strftime' if c in ('ts', 'o_orderdate') else 'CAST'}(max({c}){", '%Y-%m-%d %H:%M:%S'" if c in ('ts', 'o_orderdate') else " AS VARCHAR"}) AS max_value
-        FROM {table}"""
-        for table, columns in _RANGES.items()
-        for c in columns
-    ),
+    " UNION ALL ".join(_range_sql(table, c, kind) for table, columns in _KINDS.items() for c, kind in columns.items()),
 )
 def _profile_minmax(t: Tables) -> DataFrame:
+    """All columns; the ends of float columns are compared as numbers."""
     parts = []
-    for table, columns in _RANGES.items():
-        basics = pr.column_basics(getattr(t, table).select(*columns))
-        parts.append(
-            basics.select(
-                F.lit(table).alias("table_name"),
-                "column_name",
-                F.regexp_replace("min_value", r"\.\d+$", "").alias("min_value"),
-                F.regexp_replace("max_value", r"\.\d+$", "").alias("max_value"),
-            )
-        )
+    for table in _KINDS:
+        real = F.col("data_type") == "double"
+        ends = {f"{end}_value": F.when(~real, F.regexp_replace(f"{end}_value", r"\.\d+$", "")) for end in ("min", "max")}
+        reals = {f"{end}_real": F.when(real, F.col(f"{end}_value").try_cast("double")) for end in ("min", "max")}
+        basics = pr.column_basics(getattr(t, table)).withColumns({**ends, **reals})
+        parts.append(basics.select(F.lit(table).alias("table_name"), "column_name", *ends, *reals))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(
-    "profile_top_values",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, CAST(rn AS INTEGER) AS value_rank, value, n FROM (
-        SELECT CAST(value AS VARCHAR) AS value, n, row_number() OVER (ORDER BY n DESC, value) AS rn FROM (
-          SELECT {c} AS value, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY ALL)) WHERE rn <= 5"""
-        for table, columns in (("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),)
-        for c in columns
-    ),
-)
+def _top_sql(table: str, column: str, kind: str | None = "text") -> str:
+    """The most common values of a column, ties by value."""
+    return f"""SELECT '{column}' AS column_name, CAST(rn AS INTEGER) AS value_rank, {_shown(kind or "text", "value")} AS value, n FROM (
+        SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS rn FROM (
+          SELECT {column} AS value, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY ALL)) WHERE rn <= 5"""
+
+
+def _samples_sql(table: str, kinds: dict) -> str:
+    tops = " UNION ALL ".join(_top_sql(table, c, kind) for c, kind in kinds.items())
+    return f"SELECT column_name, string_agg(value, ',' ORDER BY value_rank) AS sample_values FROM ({tops}) GROUP BY column_name"
+
+
+def _full_profile_sql(table: str, kinds: dict) -> str:
+    """Everything a column profile holds; ``kinds`` gives each column's type and whether it has a range."""
+    columns = " UNION ALL ".join(
+        f"""SELECT '{table}' AS table_name, CAST({i + 1} AS INTEGER) AS ordinal, '{c}' AS column_name, '{kind or "string"}' AS data_type, TRUE AS nullable,
+        count(*) AS row_count, count(DISTINCT {c}) AS distinct_count, 100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_percentage,
+        100.0 - 100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS completeness,
+        {_shown(kind, f"min({c})")} AS min_value, {_shown(kind, f"max({c})")} AS max_value FROM {table}"""
+        for i, (c, kind) in enumerate(kinds.items())
+    )
+    return f"SELECT b.*, s.sample_values FROM ({columns}) b LEFT JOIN ({_samples_sql(table, kinds)}) s USING (column_name)"
+
+
+def full_profile(df: DataFrame, name: str) -> DataFrame:
+    return pr.column_profile(df, name).withColumn("sample_values", F.array_join("sample_values", ","))
+
+
+@query("profile_top_values", " UNION ALL ".join(_top_sql("orders", c, kind) for c, kind in _KINDS["orders"].items()))
 def _profile_top_values(t: Tables) -> DataFrame:
-    return pr.most_common_values(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return pr.most_common_values(t.orders)
 
 
 @query(
@@ -113,67 +141,28 @@ def _profile_time_range(t: Tables) -> DataFrame:
     return found.withColumns({c: F.substring(c, 1, 16) for c in ("min_date", "max_date")})
 
 
-@query(
-    "column_profile",
-    _per_column(
-        "orders",
-        _ORDERS,
-        """SELECT 'orders' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count,
-        100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_percentage,
-        100.0 - 100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS completeness FROM {t}""",
-    ),
-)
+@query("column_profile", _full_profile_sql("orders", _KINDS["orders"]))
 def _column_profile(t: Tables) -> DataFrame:
-    profile = pr.column_profile(t.orders, "orders")
-    return profile.select("table_name", "column_name", "row_count", "distinct_count", "null_percentage", "completeness")
+    return full_profile(t.orders, "orders")
 
 
-@query(
-    "column_samples",
-    """SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM (
-    SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, number, value) AS rn FROM (
-      SELECT 'source' AS column_name, source AS value, 0 AS number, count(*) AS n FROM documents GROUP BY ALL
-      UNION ALL SELECT 'lang', lang, 0, count(*) FROM documents GROUP BY ALL
-      UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR), n_chars, count(*) FROM documents GROUP BY ALL)) WHERE rn <= 5 GROUP BY column_name""",
-)
+@query("column_samples", _samples_sql("documents", {"doc_id": "bigint", "text": None, "lang": None, "source": None, "n_chars": "bigint"}))
 def _column_samples(t: Tables) -> DataFrame:
-    profile = pr.column_profile(t.documents.select("source", "lang", "n_chars"), "documents")
-    return profile.select("column_name", F.array_join("sample_values", ",").alias("sample_values"))
+    """All columns, whole texts among them."""
+    return full_profile(t.documents, "documents").select("column_name", "sample_values")
 
 
-_LINES = [
-    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-]
-_TEXT_SAFE = ["l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+_LINES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": None, "l_linestatus": None,
+    "l_shipdate": "timestamp_ntz",
+}
 
 
-@query(
-    "lineitem_profile",
-    "SELECT b.*, s.sample_values FROM ("
-    + _per_column(
-        "lineitem",
-        _LINES,
-        """SELECT 'lineitem' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count,
-        100.0 * CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_percentage FROM {t}""",
-    )
-    + ") b LEFT JOIN (SELECT column_name, string_agg(value, ',' ORDER BY rn) AS sample_values FROM ("
-    + _per_column(
-        "lineitem",
-        _TEXT_SAFE,
-        """(SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY n DESC, {c}) AS rn
-        FROM (SELECT {c}, count(*) AS n FROM {t} GROUP BY ALL) QUALIFY rn <= 5)""",
-    )
-    + ") GROUP BY column_name) s ON s.column_name = b.column_name",
-)
+@query("lineitem_profile", _full_profile_sql("lineitem", _LINES))
 def _lineitem_profile(t: Tables) -> DataFrame:
-    """All columns of the largest table; samples are shown where both engines write
-    a value alike, which excludes floats and times."""
-    profile = pr.column_profile(t.lineitem, "lineitem")
-    shown = F.when(F.col("column_name").isin(*_TEXT_SAFE), F.array_join("sample_values", ","))
-    return profile.select(
-        "table_name", "column_name", "row_count", "distinct_count", "null_percentage", shown.alias("sample_values")
-    )
+    """All columns of the largest table."""
+    return full_profile(t.lineitem, "lineitem")
 
 
 @query(
@@ -209,22 +198,30 @@ def _profile_documents(t: Tables) -> DataFrame:
 @query(
     "column_inventory",
     """SELECT c.table_name, CAST(row_number() OVER (PARTITION BY c.table_name ORDER BY c.column_index) AS INTEGER) AS ordinal,
-    c.column_name, r.row_count FROM duckdb_columns() c JOIN ("""
+    c.column_name, CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+      WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' WHEN 'FLOAT[]' THEN 'array<float>' ELSE c.data_type END AS data_type,
+    c.is_nullable AS nullable, CASE c.column_name WHEN 'doc_id' THEN 'key of ' || c.table_name END AS description, r.row_count
+    FROM duckdb_columns() c JOIN ("""
     + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in ALL)
     + ") r ON r.table_name = c.table_name WHERE NOT c.internal",
 )
 def _column_inventory(t: Tables) -> DataFrame:
+    """All columns of all tables, one of them described."""
     tables = {n: getattr(t, n) for n in ALL}
-    inventory = catalog.column_inventory(t.spark, tables)
-    return inventory.join(catalog.row_counts(tables), "table_name").select("table_name", "ordinal", "column_name", "row_count")
+    tables = {n: catalog.describe(df, {"doc_id": f"key of {n}"} if "doc_id" in df.columns else {}) for n, df in tables.items()}
+    return catalog.column_inventory(t.spark, tables).join(catalog.row_counts(tables), "table_name")
 
 
-@query("table_size")
+@query(
+    "table_size",
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count, TRUE AS has_files, TRUE AS has_bytes FROM {n}" for n in ALL),
+)
 def _table_size(t: Tables) -> DataFrame:
-    """Rows, bytes and files of all tables."""
+    """Rows of all tables, and whether their files were found; SQL cannot see files, so tests compare the bytes."""
     counts = catalog.row_counts({n: getattr(t, n) for n in ALL})
     sizes = catalog.table_sizes(t.spark, {n: t.path(n) for n in ALL})
-    return counts.join(sizes, "table_name")
+    found = sizes.select("table_name", (F.col("file_count") > 0).alias("has_files"), (F.col("size_bytes") > 0).alias("has_bytes"))
+    return counts.join(found, "table_name")
 
 
 @query(
@@ -382,6 +379,43 @@ def _change_detect(t: Tables) -> DataFrame:
     return change_flags(t)
 
 
+_PROFILED = ("2024-03-01 00:00:00", "2024-04-01 00:00:00")
+_REPROFILED = "lang = 'en' OR (lang != 'fr' AND (coalesce(quality = 1, FALSE) OR n_chars > 1000))"
+
+
+@query(
+    "fingerprint_store",
+    f"""SELECT doc_id, lang AS table_name, sha256(lang) AS schema_hash,
+    sha256(text || chr(31) || 'lang' || chr(30) || lang || chr(29) || 'source' || chr(30)
+      || CASE WHEN lang != 'fr' AND quality = 1 THEN 'changed' ELSE coalesce(source, '') END) AS documentation_hash,
+    sha256('select ' || lower(lang) || ' from t' || CAST(n_chars AS VARCHAR) || CASE WHEN lang != 'fr' AND n_chars > 1000 THEN ' where 1=1' ELSE '' END) AS logic_hash,
+    CASE WHEN {_REPROFILED} THEN TIMESTAMP '{_PROFILED[1]}' ELSE TIMESTAMP '{_PROFILED[0]}' END AS last_profiled_at
+    FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def _fingerprint_store(t: Tables) -> DataFrame:
+    """Two snapshots as for ``change_detect``, each compared with the stored fingerprints; the store's end state."""
+    code = code_texts(t).join(t.documents.select("doc_id", "text"), "doc_id").join(t.labels, "doc_id", "left")
+    changed = code.withColumns(
+        {
+            "source": F.when(F.col("quality") == 1, F.lit("changed")).otherwise(F.col("source")),
+            "code": F.when(F.col("n_chars") > 1000, F.concat("code", F.lit(" where 1=1"))).otherwise(F.col("code")),
+        }
+    )
+
+    def prints(rows: DataFrame) -> DataFrame:
+        described = [F.struct(F.lit(c).alias("name"), F.col(c).alias("description")) for c in ("source", "lang")]
+        return rows.select(
+            "doc_id", F.col("lang").alias("table_name"), F.sha2("lang", 256).alias("schema_hash"),
+            fp.doc_fingerprint(F.col("text"), fp.listed_columns(F.array(*described))).alias("documentation_hash"),
+            fp.text_fingerprint(F.col("code")).alias("logic_hash"),
+        )
+
+    path = scratch_path(t.spark, "fingerprints")
+    for rows, at in zip((code.where("lang != 'en'"), changed.where("lang != 'fr'")), _PROFILED):
+        fp.store_fingerprints(path, prints(rows), "doc_id", F.lit(at).cast("timestamp_ntz"))
+    return fp.stored_fingerprints(t.spark, path)
+
+
 @query(
     "global_rank",
     """SELECT o_custkey, total, row_number() OVER (ORDER BY total DESC, o_custkey) AS spend_rank

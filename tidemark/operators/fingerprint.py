@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalise_sql
+from tidemark.operators.incremental import read_target, upsert
 
 HASHES = ("schema_hash", "documentation_hash", "logic_hash")
 
@@ -36,6 +37,16 @@ def doc_fingerprint(description: Column, *details: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def listed_columns(columns: Column) -> Column:
+    """The columns of a documentation as one text, for ``doc_fingerprint``.
+
+    ``columns`` is an array of (name, description) structs; their order does not count, NULL
+    descriptions count as empty ones, and separators keep names and descriptions apart.
+    """
+    lines = F.transform(columns, lambda c: F.concat(c["name"], F.lit("\x1e"), F.coalesce(c["description"], F.lit(""))))
+    return F.array_join(F.array_sort(lines), "\x1d")
+
+
 def detect_changes(
     current: DataFrame, cached: DataFrame, key: str, hashes: Sequence[str] = HASHES
 ) -> DataFrame:
@@ -57,3 +68,25 @@ def detect_changes(
     for name in list(changed)[1:]:
         again = again | F.col(name)
     return flags.withColumn("should_reprofile", again)
+
+
+def store_fingerprints(path: str, current: DataFrame, key: str, profiled_at: Column, hashes: Sequence[str] = HASHES) -> DataFrame:
+    """Keep the fingerprints of what was profiled anew, and give the changes that called for it.
+
+    ``current`` holds the key, the hashes and further details (such as the table profiled). Rows that are new or
+    changed are upserted with ``profiled_at`` as their last-profiled time; unchanged ones keep theirs,
+    and so do removed ones. Rows without a key are left out. The changes are those against the
+    store as it was before.
+    """
+    spark = current.sparkSession
+    current = current.dropna(subset=[key])
+    cached = read_target(spark, path)
+    changes = detect_changes(current, current.limit(0) if cached is None else cached, key, hashes)
+    anew = changes.where("should_reprofile").select(key)
+    upsert(path, current.join(anew, key, "left_semi").withColumn("last_profiled_at", profiled_at), key)
+    return changes
+
+
+def stored_fingerprints(spark: SparkSession, path: str) -> DataFrame | None:
+    """Fingerprints with their last-profiled time; None before the first are stored."""
+    return read_target(spark, path)

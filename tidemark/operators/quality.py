@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.joins import orphan_keys
 from tidemark.operators.profile import value_histogram
@@ -52,11 +53,33 @@ def required_rows(df: DataFrame, columns: Sequence[str], not_blank: Sequence[str
 
 
 def repeated_values(df: DataFrame, column: str) -> DataFrame:
-    """Non-null values that occur more than once, with their count."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
+    """Non-null values that occur more than once, with their count.
+
+    Texts are counted by digest; only rows of a repeated digest are then grouped by their text, each
+    task's copies as one, so that texts that occur once are not shuffled where the digests fit a filter.
+    """
+    known = df.where(F.col(column).isNotNull()).select(column)
+    if isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType)):
+        key = short_value(df.schema[column])
+        repeated = known.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+        known = known.withColumn("_key", key).join(repeated, "_key", "left_semi").drop("_key")
+    counts = known.groupBy(column).agg(F.count("*").alias("n_rows"))
     return counts.where(F.col("n_rows") > 1)
 
 
+def short_value(field: T.StructField) -> Column:
+    """A value that is equal exactly where the column is, and no longer than a digest.
+
+    A text of up to 32 characters is itself, a longer one its SHA-256, which has 64.
+    """
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return F.when(F.length(column) > 32, F.sha2(column.cast("binary"), 256)).otherwise(column)
+    if isinstance(field.dataType, T.BinaryType):
+        return F.sha2(column, 256)
+    return column
+
+
 def _report_row(check: Check, kind: str, failures: Column) -> list[Column]:
     return [
         F.lit(check.table).alias("table_name"),
@@ -83,7 +106,8 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
         parts.append(counted.select(F.inline(F.array(*rows))))
     for table in dict.fromkeys(c.table for c in checks if isinstance(c, Unique)):
         wanted = [c for c in checks if isinstance(c, Unique) and c.table == table]
-        df = tables[table]
+        schema = tables[table].schema
+        df = tables[table].select(*[short_value(f).alias(f.name) for f in schema])
         repeated = value_histogram(df, [c.column for c in wanted]).where(F.col("n") > 1)
         place = {name: i + 1 for i, name in enumerate(df.columns)}
         counted = repeated.agg(
