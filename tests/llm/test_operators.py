@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from samples import SMALL, documents, nothing, odd, texts  # noqa: F401  (fixtures)
 
 from tidemark.llm import boosted_quality, kd_shards, metric_join, order_minhash, overlap_tokens, pareto_mix, pseudo_likelihood, repeat_spans, simhash_ball, tier_packing
@@ -322,6 +323,26 @@ def test_vectors_in_many_cells(spark, monkeypatch):
     check_vectors(spark, rows)
 
 
+def test_vectors_of_one_dense_cell(spark, monkeypatch):
+    """No group that one task joins holds more than a part and a block, however many vectors sit in one place."""
+    for name, value in (("CELL", 50), ("PART", 20), ("AGAINST", 30)):
+        monkeypatch.setattr(metric_join, name, value)
+    real, most = metric_join.deal, []
+
+    def watched(copied, grid):
+        dealt = real(copied, grid)
+        groups = dealt.groupBy("label", "d", "cell", "part", "block").agg(F.count_if("home").alias("home"), F.count_if("other").alias("other"))
+        most.append(groups.agg(F.max("home"), F.max("other"), F.count("*")).first())
+        return dealt
+
+    monkeypatch.setattr(metric_join, "deal", watched)
+    rng = np.random.default_rng(2)
+    dense = [(k, (np.ones(8) + rng.normal(size=8) * 0.05).astype(np.float32).tolist(), 0) for k in range(300)]
+    check_vectors(spark, dense + [(1000 + i, v, label) for i, v, label in clusters(200)] + [(2000, dense[7][1], 0), (2001, dense[7][1], 0)])
+    home, other, groups = most[0]
+    assert home <= 2 * metric_join.PART and other <= 3 * metric_join.AGAINST and groups > 20
+
+
 def test_vectors_odd(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, None, 0), (2, [0.0, 0.0, 0.0], 0), (3, [1.0, None, 1.0], 0), (4, [float("nan"), 1.0, 1.0], 0), (5, [float("inf"), 1.0, 1.0], 0), (6, v, None), (7, v, None), (8, v, 0), (9, v, 0), (10, v, 1), (11, [1.0, 2.0], 0), (12, [], 0), (13, [2.0, 4.0, 6.0], 0), (14, [1e-30, 2e-30, 3e-30], 0), (15, [1e30, 2e30, 3e30], 0)]
@@ -561,6 +582,16 @@ def test_trees_fit_and_flatten():
     assert np.allclose(slow, trees.score(x[:50]))
 
 
+def test_quality_counts_an_id_once(spark, monkeypatch):
+    """Documents that repeat an id do not grow what is gathered for training."""
+    fitted = []
+    monkeypatch.setattr(boosted_quality, "fit", lambda x, y: fitted.append(len(y)))
+    docs = spark.createDataFrame([(k % 6, f"text {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, quality int")
+    boosted_quality.train(docs, labels)
+    assert fitted == [sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(6))]
+
+
 def test_quality_odd(spark, odd, nothing):
     labels = spark.createDataFrame([(6, 1), (8, 0), (9, 0), (9, 1), (None, 1), (4, None), (12, 1), (11, 0)], "doc_id long, quality int")
     trees = boosted_quality.train(odd, labels)

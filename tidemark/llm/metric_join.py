@@ -14,8 +14,10 @@ from tidemark.llm.common import Scratch, components, narrow
 
 THRESHOLD = 0.93
 #: Vectors a cell aims at, pivots of a label and of all labels at most (further vectors make cells
-#: larger, never lose links), vectors whose links one task finds at a time.
-CELL, LABEL_PIVOTS, ALL_PIVOTS, PART = 1024, 1024, 8192, 1024
+#: larger, never lose links).
+CELL, LABEL_PIVOTS, ALL_PIVOTS = 1024, 1024, 8192
+#: Vectors whose links one task finds at a time, and vectors that it compares them with.
+PART, AGAINST = 1024, 16384
 #: Rounding that distances to pivots may carry.
 SLACK = 1e-6
 
@@ -48,23 +50,28 @@ class Cells:
         return home, visits
 
 
-def link_within(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, home: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the home rows to all rows, and a component label for all rows, in blocks of rows.
+def link_within(
+    x: np.ndarray, ids: np.ndarray, weights: np.ndarray, home: np.ndarray, other: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the ``home`` rows to the ``other`` rows, and a component label for all rows, in blocks of rows.
 
-    Components join by the links found here: rows of a block take the least label among their links, and labels that
-    meet are merged.
+    A row may be both; it then counts its copies. Components join by the links found here: rows of a block
+    take the least label among their links, and labels that meet are merged.
     """
-    at = np.flatnonzero(home)
+    mine, theirs = np.flatnonzero(home), np.flatnonzero(other)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     links, root = np.zeros(len(x), np.int64), np.arange(len(x))
-    step = max(1, (1 << 22) // max(1, len(x)))
-    for k in range(0, len(at), step):
-        rows = at[k : k + step]
-        linked = (x[rows] @ x.T) / (norm[rows][:, None] * norm) >= threshold
-        linked[np.arange(len(rows)), rows] = True  # a vector and its copies, whatever the rounding
-        links[rows] = linked @ weights - 1
-        for row, mine in zip(rows, linked):
-            met = np.unique(root[mine])
+    place = np.full(len(x), -1)
+    place[theirs] = np.arange(len(theirs))
+    step = max(1, (1 << 22) // max(1, len(theirs)))
+    for k in range(0, len(mine), step):
+        rows = mine[k : k + step]
+        linked = (x[rows] @ x[theirs].T) / (norm[rows][:, None] * norm[theirs]) >= threshold
+        both = np.flatnonzero(place[rows] >= 0)
+        linked[both, place[rows[both]]] = True  # a vector and its copies, whatever the rounding
+        links[rows] = linked @ weights[theirs] - other[rows]
+        for row, found in zip(rows, linked):
+            met = np.unique(np.append(root[theirs[found]], root[row]))
             if len(met) > 1:
                 root[np.isin(root, met)] = met[0]
     least = np.full(len(x), np.iinfo(np.int64).max)
@@ -72,13 +79,29 @@ def link_within(x: np.ndarray, ids: np.ndarray, weights: np.ndarray, home: np.nd
     return links, least[root]
 
 
+def deal(copied: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every visit of a vector to a cell, once per (part, block) of the cell that the vector is needed in.
+
+    In its block a vector meets all parts (``other``); in its part, if it is at home, it is compared with all blocks (``home``).
+    """
+    placed = copied.join(grid, ["label", "d", "cell"]).withColumns(
+        {"own": F.pmod(F.xxhash64("class", F.lit(11)), F.col("parts")).cast("int"), "block": F.pmod(F.xxhash64("class", F.lit(13)), F.col("blocks")).cast("int")}
+    )
+    across = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("p"), F.col("block").alias("b"), (F.col("home") & (p == F.col("own"))).alias("h"), F.lit(True).alias("o")))
+    along = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own").alias("p"), b.alias("b"), F.lit(True).alias("h"), F.lit(False).alias("o")))
+    along = F.filter(along, lambda at: F.col("home") & (at["b"] != F.col("block")))
+    dealt = placed.withColumn("at", F.explode(F.concat(across, along)))
+    return dealt.select("label", "d", "cell", F.col("at.p").alias("part"), F.col("at.b").alias("block"), "class", "weight", "v", F.col("at.h").alias("home"), F.col("at.o").alias("other"))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, ``n_links``, ``component_id``, ``kept``.
 
     Rows of one label (not null) whose cosine is at least the threshold are linked. Copies of a vector are one class with
     a weight, reduced before the shuffle. Groups of more than two cells' worth get pivots: a hash-ordered sample of
     their vectors, bounded by LABEL_PIVOTS and ALL_PIVOTS; these are all that is sent to tasks. A vector's links are
-    all found in its home cell, to which every vector within reach is copied; big cells are dealt in parts.
+    all found in its home cell, to which every vector within reach is copied. A cell's own vectors are dealt in parts and all that
+    are there in blocks; each part meets each block in a group of its own, so that no group grows with the data.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, not even copies; so do
     rows with a null label and vectors of different length. Repeated rows are copies of each other, and a null id is never
@@ -121,10 +144,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             x = np.stack(part["v"].to_numpy()).astype(np.float64)
             yield part, *sent.value.place(group, _unit(x))
 
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, home, _ in groups(batch):
-                yield pd.DataFrame({"label": part["label"], "d": part["d"], "cell": home})
+            for part, home, visits in groups(batch):
+                row, cell = np.nonzero(visits)
+                yield part[["label", "d"]].iloc[row].assign(cell=cell, home=(cell == home[row]))
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,29 +159,31 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     kind = dict(classes.dtypes)["label"]
     slim = classes.select("label", "d", "class", "weight", "v")
-    # A cell's parts: each finds the links of its share of the cell's own vectors, against all that are there.
-    count = slim.mapInPandas(homes, f"label {kind}, d int, cell bigint").groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    parts = scratch.table(count, "parts")
+    seen = slim.select("label", "d", "v").mapInPandas(visited, f"label {kind}, d int, cell bigint, home boolean").groupBy("label", "d", "cell")
+    count = seen.agg(F.ceil(F.count_if("home") / PART).cast("int").alias("parts"), F.ceil(F.count("*") / AGAINST).cast("int").alias("blocks"))
+    # A cell that only guests visit has nobody to find links for.
+    grid = scratch.table(count.where("parts > 0"), "grid")
     copied = slim.mapInPandas(copies, f"label {kind}, d int, class bigint, weight bigint, v array<double>, cell bigint, home boolean")
-    dealt = copied.join(parts, ["label", "d", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = F.col("home") & (F.pmod(F.xxhash64("class", F.lit(11)), F.col("parts")) == F.col("part"))
-    dealt = dealt.select("label", "d", "cell", "part", "class", "weight", "v", own.alias("home"))
+    dealt = deal(copied, grid)
 
     def joined(cell: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(cell["v"].to_numpy()).astype(np.float64)
         # Scaling by a power of two changes no cosine and keeps squares of extreme components finite.
         x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
-        links, root = link_within(x, cell["class"].to_numpy(), cell["weight"].to_numpy(), cell["home"].to_numpy(), threshold)
-        return pd.DataFrame({"class": cell["class"], "links": np.where(cell["home"], links, -1), "root": root})
+        ids, home = cell["class"].to_numpy(), cell["home"].to_numpy()
+        links, root = link_within(x, ids, cell["weight"].to_numpy(), home, cell["other"].to_numpy(), threshold)
+        told = home | (root != ids)
+        return pd.DataFrame({"class": ids[told], "links": np.where(home, links, -1)[told], "root": root[told]})
 
-    pairs = scratch.table(dealt.groupBy("label", "d", "cell", "part").applyInPandas(joined, "class bigint, links bigint, root bigint"), "pairs")
+    pairs = scratch.table(dealt.groupBy("label", "d", "cell", "part", "block").applyInPandas(joined, "class bigint, links bigint, root bigint"), "pairs")
     linked = components(pairs.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")).distinct(), scratch)
-    counts = pairs.where("links >= 0").select("class", "links")
+    counts = pairs.where("links >= 0").groupBy("class").agg(F.sum("links").alias("links"))
     rooted = scratch.table(
         classes.select("class", "id").join(counts, "class").join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "id", "links", F.coalesce("root", "class").alias("root")), "rooted"
     )
     least = scratch.table(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = scratch.table(rooted.join(least, "root").select("class", "links", "component_id"), "named")
+    scratch.drop("classes", "grid", "pairs", "parents", "rooted", "least")
     keyed = rows.select("id", F.when(F.col("valid"), F.xxhash64("label", "v")).alias("class"))
     # Rows outside any class get keys of their own, so that they do not meet in one task.
     loose = keyed.where("class IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
