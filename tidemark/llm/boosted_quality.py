@@ -147,18 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is drawn from the labels alone (smallest id hashes), so it is broadcast within that bound; only its
     documents' texts leave the scan, and only their figures reach the driver. A label that is null, or given twice
-    with two values, is left out.
+    with two values, is left out; of documents that share an id one counts.
     """
     one = narrow(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z"))
     sample = one.where((F.col("y") == F.col("z")) & (remainder(F.col("id")) != held)).orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "y")
-    chosen = narrow(docs, id=id_col, text=whole(f"`{text_col}`")).join(F.broadcast(sample), "id").select("text", F.col("y").cast("double").alias("y"))
+    chosen = narrow(docs, id=id_col, text=whole(f"`{text_col}`")).join(F.broadcast(sample), "id").select("id", "text", F.col("y").cast("double").alias("y"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": list(feature_matrix(batch["text"]))})
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": list(feature_matrix(batch["text"]))})
 
     small_batches(docs.sparkSession)
-    got = chosen.mapInPandas(features, "y double, x array<float>").toPandas()
+    kind = dict(sample.dtypes)["id"]
+    each = chosen.mapInPandas(features, f"id {kind}, y double, x array<float>")
+    # One row per id, so that documents which repeat an id cannot outgrow the sample.
+    got = each.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas()
     x = np.array(got["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, got["y"].to_numpy()])  # the same trees whatever order rows arrive in
     return fit(x[order], got["y"].to_numpy()[order])
