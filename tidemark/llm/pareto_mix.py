@@ -128,6 +128,7 @@ def mix_sources(
     # The document at the limit is taken if that comes nearer to it.
     limits = state.select("_key", (F.col("prefix") + F.when(F.col("left") * 2 >= F.col("words"), 1).otherwise(0)).alias("_limit"))
     figures = scratch.table(params.join(limits, "_key", "left"), "figures")
+    scratch.drop("sizes", "octaves", "targets", "params", "ranks", *(f"limit{level}" for level in range(LEVELS + 1)))
 
     taken = ranked(rows, figures.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}))
     copies = (F.floor("_e") + F.when((F.col("_f") > 0) & (F.col("_rank") < F.col("_limit")), 1).otherwise(0)).cast("int")

@@ -68,6 +68,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = scratch.table(distinct.join(found, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "named")
+    scratch.drop("distinct", "parents", "rooted", "least")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
