@@ -106,6 +106,19 @@ def test_documents(spark):
     assert stored.first()[0].strip() == page.document.strip()
 
 
+def test_document_sections(spark):
+    columns = pr.column_profile(spark.createDataFrame([(1, "a")], "n int, t string"), "things").unionByName(pr.column_profile(spark.range(2), "bare"))
+    models = spark.createDataFrame(
+        [("things", {"tags": "daily"}, ["up", "up", "over"], [("raw", "t")]), ("other", {}, [], [])],
+        "name string, config map<string,string>, refs array<string>, sources array<struct<source_name: string, table_name: string>>",
+    )
+    described = spark.createDataFrame([("things", 2, "t", "a text", None), ("things", 1, "n", "", ["unique"])], "table_name string, ordinal int, column_name string, description string, tests array<string>")
+    pages = {r.table_name: r.document for r in render_profiles(columns, pr.table_profile(columns), models=models, described=described).collect()}
+    assert "- **Materialization**: view\n- **Tags**: daily\n\n**Upstream Dependencies:**\n- `up`\n- `over`\n\n**Sources:**\n- `raw.t`\n\n" in pages["things"]
+    assert "## Column Descriptions\n\n### t\n\na text\n\n## Example Query" in pages["things"]
+    assert "Model Metadata" not in pages["bare"] and "Column Descriptions" not in pages["bare"]
+
+
 def test_catalog(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS shelf")
     spark.sql("DROP TABLE IF EXISTS shelf.things")

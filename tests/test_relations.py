@@ -186,7 +186,7 @@ def test_hot_keys_are_found_and_spread(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
         lookup = spark.createDataFrame([(1, "one")], "k bigint, name string")
-        joined = joins.spread_join(df, lookup, "k")
+        joined = joins.spread_join(df, lookup, "k", hot=joins.hot_keys(df, "k"))
         sizes = joined.where("k = 1").groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 6668
     finally:
@@ -209,6 +209,27 @@ def test_copies_of_one_row_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", True)
 
 
+def test_joins_are_built_without_jobs(spark):
+    context = spark.sparkContext
+    edges = spark.createDataFrame([("m", "model.a"), ("m", "model.gone")], "dst string, src string")
+    nodes = spark.createDataFrame([("model.a", "a")], "id string, name string")
+    context.setJobGroup("building joins", "none")
+    try:
+        include_exclude(edges, "src", nodes.select(F.col("id").alias("src")), None)
+        lookup_by_any_name(edges, "src", nodes, ["id", "name"], "id")
+        joined = resolve_edges(edges, "src", nodes, "id", "name")
+        assert list(context.statusTracker().getJobIdsForGroup("building joins")) == []
+        joined.collect()
+        assert context.statusTracker().getJobIdsForGroup("building joins")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_items_by_directory(spark):
+    models = spark.createDataFrame([("b/x.sql", "x"), ("a/z.sql", "z"), ("a/y.sql", "y"), ("top.sql", "top"), ("a/b/w.sql", "w")], "path string, name string")
+    assert rows(graph.items_by_directory(models), "directory", "position") == [(".", 1, "top"), ("a", 1, "y"), ("a", 2, "z"), ("a/b", 1, "w"), ("b", 1, "x")]
+
+
 def test_dangling_edges(spark):
     edges = spark.createDataFrame([("m", "model.a"), ("m", "model.gone")], "dst string, src string")
     nodes = spark.createDataFrame([("model.a", "a")], "id string, name string")

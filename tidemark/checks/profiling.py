@@ -176,8 +176,7 @@ def _table_profile(t: Tables) -> DataFrame:
     return pr.table_profile(columns)
 
 
-@query(
-    "profile_documents",
+_PAGE_START = (
     """SELECT 'public' AS schema_name, 'orders' AS table_name, '# public.orders' || chr(10) || chr(10) || '## Table Information' || chr(10) || chr(10)
     || '- **Database**: public' || chr(10) || '- **Table**: orders' || chr(10) || '- **Row Count**: ' || format('{:,}', count(*)) || chr(10)
     || '- **Time Range**: ' || strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')
@@ -186,15 +185,43 @@ def _table_profile(t: Tables) -> DataFrame:
         f"'| {c} | {kind} | Yes | ' || format('{{:,}}', count(DISTINCT {c})) || ' | 0.0% |'"
         for c, kind in zip(_ORDERS, ["bigint", "bigint", "string", "double", "timestamp_ntz", "string"])
     )
-    + """ || chr(10) || chr(10) || '## Example Query' || chr(10) || chr(10) || '```sql' || chr(10) || 'SELECT *' || chr(10) || 'FROM public.orders'
-    || chr(10) || 'LIMIT 10;' || chr(10) || '```' || chr(10) AS document FROM orders""",
 )
+_PAGE_END = """ || chr(10) || chr(10) || '## Example Query' || chr(10) || chr(10) || '```sql' || chr(10) || 'SELECT *' || chr(10) || 'FROM public.orders'
+    || chr(10) || 'LIMIT 10;' || chr(10) || '```' || chr(10) AS document FROM orders"""
+
+
+@query("profile_documents", _PAGE_START + _PAGE_END)
 def _profile_documents(t: Tables) -> DataFrame:
     """One rendered page per profiled table."""
     columns = cut_lineage(pr.column_profile(t.orders, "orders"))
     return render_profiles(columns, pr.table_profile(columns))
 
 
+_MODEL_SECTIONS = """ || chr(10) || chr(10) || '## dbt Model Metadata' || chr(10) || chr(10) || '- **Materialization**: table' || chr(10) || '- **Tags**: ' || min(o_orderstatus)
+    || chr(10) || '- **Description**: all orders' || chr(10) || chr(10) || '**Upstream Dependencies:**' || chr(10)
+    || (SELECT string_agg('- `' || o_orderpriority || '`', chr(10) ORDER BY o_orderpriority) FROM (SELECT DISTINCT o_orderpriority FROM orders))
+    || chr(10) || chr(10) || '**Sources:**' || chr(10)
+    || (SELECT string_agg('- `raw.' || o_orderstatus || '`', chr(10) ORDER BY o_orderstatus) FROM (SELECT DISTINCT o_orderstatus FROM orders))
+    || chr(10) || chr(10) || '## Column Descriptions' || chr(10) || chr(10) || '### o_orderkey' || chr(10) || chr(10) || 'the key' || chr(10) || chr(10)
+    || '**Tests**: not_null, unique' || chr(10) || chr(10) || '### o_orderdate' || chr(10) || chr(10) || 'day of the order'"""
+
+
+@query("model_documents", _PAGE_START + _MODEL_SECTIONS + _PAGE_END)
+def _model_documents(t: Tables) -> DataFrame:
+    """A page with its model's metadata, dependencies and column descriptions; both lists hold one entry per status or priority."""
+    columns = cut_lineage(pr.column_profile(t.orders, "orders"))
+    source = F.transform(F.sort_array(F.collect_set("o_orderstatus")), lambda s: F.struct(F.lit("raw").alias("source_name"), s.alias("table_name")))
+    model = t.orders.agg(
+        F.lit("orders").alias("name"), F.lit("all orders").alias("description"), F.sort_array(F.collect_set("o_orderpriority")).alias("refs"),
+        source.alias("sources"), F.create_map(F.lit("materialized"), F.lit("table"), F.lit("tags"), F.min("o_orderstatus")).alias("config"),
+    )
+    described = t.spark.createDataFrame(
+        [("orders", 5, "o_orderdate", "day of the order", []), ("orders", 1, "o_orderkey", "the key", ["not_null", "unique"]), ("orders", 2, "o_custkey", None, ["not_null"])],
+        "table_name string, ordinal int, column_name string, description string, tests array<string>",
+    )
+    return render_profiles(columns, pr.table_profile(columns), models=cut_lineage(model), described=described)
+
+
 @query(
     "column_inventory",
     """SELECT c.table_name, CAST(row_number() OVER (PARTITION BY c.table_name ORDER BY c.column_index) AS INTEGER) AS ordinal,

@@ -156,6 +156,15 @@ def _models_by_directory(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "items_by_directory",
+    """SELECT directory, row_number() OVER (PARTITION BY directory ORDER BY path) AS position, name FROM
+    (SELECT 'marts/' || o_orderstatus AS directory, 'order_' || CAST(o_orderkey AS VARCHAR) AS name, directory || '/' || name || '.sql' AS path FROM orders)""",
+)
+def _items_by_directory(t: Tables) -> DataFrame:
+    return graph.items_by_directory(graph.scan_models(model_texts(t)))
+
+
 @query(
     "select_nodes",
     f"""WITH RECURSIVE {_EDGES}, reached AS (SELECT 'turn_3_2' AS node UNION SELECT e.dst FROM edges e JOIN reached r ON e.src = r.node)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.checks.profiling import _CODE, code_texts
 from tidemark.checks.registry import Tables, query
-from tidemark.functions.text import comments, excerpt, html_to_text
+from tidemark.functions.text import comments, excerpt, first_of, html_to_text, normalise_sql, options_map
 from tidemark.operators import textmine as tm
+from tidemark.operators.fingerprint import text_fingerprint
 
 _WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _TEXT = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'),
@@ -147,6 +148,53 @@ def _comments(t: Tables) -> DataFrame:
     return code_texts(t).select("doc_id", F.explode(comments(F.col("code"))).alias("comment"))
 
 
+_IN_LINE = r"[^\n\r\x{2028}\x{2029}]"
+
+
+@query(
+    "page_comments",
+    rf"""SELECT page_id, unnest(list_concat(regexp_extract_all(html, '--{_WS}*({_IN_LINE}+)', 1),
+    regexp_extract_all(html, '(?s)/\*{_WS}*(.*?){_WS}*\*/', 1))) AS comment FROM pages""",
+)
+def _page_comments(t: Tables) -> DataFrame:
+    """Comment bodies of whole pages, as they would be found in code."""
+    return t.pages.select("page_id", F.explode(comments(F.col("html"))).alias("comment"))
+
+
+_PLAIN = rf"""lower(trim(regexp_replace(regexp_replace(regexp_replace(body, '--{_IN_LINE}*', '', 'g'), '(?s)/\*.*?\*/', '', 'g'), '{_WS}+', ' ', 'g')))"""
+
+
+@query(
+    "body_hashes",
+    f"""SELECT kind, id, length({_PLAIN}) AS n_chars, sha256({_PLAIN}) AS body_hash FROM
+    (SELECT 'document' AS kind, doc_id AS id, text AS body FROM documents UNION ALL SELECT 'page', page_id, html FROM pages)""",
+)
+def _body_hashes(t: Tables) -> DataFrame:
+    """Fingerprints of whole document texts and pages."""
+    documents = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    bodies = documents.union(t.pages.select(F.lit("page"), "page_id", "html"))
+    n_chars = F.length(normalise_sql(F.col("body"))).cast("bigint").alias("n_chars")
+    return bodies.select("kind", "id", n_chars, text_fingerprint(F.col("body")).alias("body_hash"))
+
+
+@query(
+    "page_options",
+    rf"""WITH parts AS (SELECT page_id, unnest(string_split(html, ',')) AS part, generate_subscripts(string_split(html, ','), 1) AS n FROM pages),
+    pairs AS (SELECT page_id, n, regexp_extract(part, '(?s)(\w+)\s*=\s*(.+)', 1) AS key, regexp_extract(part, '(?s)(\w+)\s*=\s*(.+)', 2) AS value FROM parts)
+    SELECT page_id, key, arg_max(regexp_replace(regexp_replace(value, '{_WS}+$', ''), '(?s)^[''"](.*).$', '\1'), n) AS value
+    FROM pairs WHERE key != '' GROUP BY page_id, key""",
+)
+def _page_options(t: Tables) -> DataFrame:
+    """Whatever reads as ``key = value`` in whole pages."""
+    return t.pages.select("page_id", F.explode(options_map(F.col("html"))))
+
+
+@query("first_words", """SELECT doc_id, array_to_string(string_split(text, ' ')[1:10], '|') AS words FROM documents""")
+def _first_words(t: Tables) -> DataFrame:
+    """A list excerpt: the first ten words of a text."""
+    return t.documents.select("doc_id", F.array_join(first_of(F.split("text", " "), 10), "|").alias("words"))
+
+
 @query(
     "comment_terms",
     f"""SELECT doc_id, unnest(CASE WHEN lang IN ('en', 'de') THEN ['Net Revenue', 'This Table', 'Gross Margin', 'The Data'] ELSE ['Net Revenue', 'This Table'] END) AS term FROM documents""",

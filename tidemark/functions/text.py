@@ -74,6 +74,11 @@ def html_to_text(html: Column, cap: int | None = None) -> Column:
     return excerpt(text, cap) if cap else text
 
 
+def first_of(items: Column, n: int) -> Column:
+    """The first ``n`` items of a list, in its order."""
+    return F.slice(items, 1, n)
+
+
 # Comment forms of SQL text.
 IN_LINE = r"[^\n\r\x{2028}\x{2029}]"
 LINE_COMMENT = rf"--{IN_LINE}*"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import options_map
+from tidemark.operators.ranking import global_rank
 from tidemark.session import broadcast_if_small, cut_lineage
 
 # How a code text names the tables it reads, and its option block.
@@ -75,6 +76,19 @@ def directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
 
 
+def items_by_directory(models: DataFrame, item: str = "name", path: str = "path") -> DataFrame:
+    """(directory, position, item): each directory's items by path, numbered from 1.
+
+    Positions come from one global order of all paths less the first one of the
+    directory, so a directory of any size is never gathered or sorted by one task.
+    """
+    listed = models.select(directory(F.col(path)).alias("directory"), F.col(path).alias("_path"), F.col(item).alias(item))
+    ranked = global_rank(listed, [F.col("directory"), F.col("_path"), F.col(item)], "_rank", listed.count())
+    first = ranked.groupBy("directory").agg(F.min("_rank").alias("_first"))
+    position = (F.col("_rank") - F.col("_first") + 1).alias("position")
+    return ranked.join(first, "directory").select("directory", position, item)
+
+
 def layer_counts(models: DataFrame, layers: Sequence[str] = ("staging", "intermediate", "marts")) -> DataFrame:
     """Models per layer, by a word in the path; a path may count twice."""
     return models.agg(*[F.count_if(F.col("path").contains(layer)).alias(layer) for layer in layers])

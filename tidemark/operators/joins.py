@@ -23,7 +23,7 @@ _SALT = "_salt"
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold a large share of the rows, judged by a sample.
+    """Keys that hold a large share of the rows, judged by a sample; runs a job.
 
     The list only routes rows in ``spread_join``; no result depends on it.
     """
@@ -41,10 +41,12 @@ def spread_join(
     Rows of a hot key are spread over ``salts`` tasks by a hash of the whole row
     and of the input partition, which tells copies of a row apart and is the same
     when a task runs again; the lookup's row of that key is repeated for each.
-    NULL keys, which match nothing, are spread as well.  Without ``hot`` the keys
-    are found by a sample.
+    NULL keys, which match nothing, are spread as well.  Hot keys are those the
+    caller names, by knowledge or by ``hot_keys``; skew of any other key is left to
+    adaptive execution, which splits large partitions of ``rows``.  No job runs
+    while the join is built.
     """
-    hot = hot_keys(rows, key) if hot is None else list(hot)
+    hot = list(hot or ())
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id())
     piece = F.pmod(hashed, F.lit(salts).cast("bigint")).cast("int")
@@ -54,9 +56,10 @@ def spread_join(
     return salted.join(repeated, [key, _SALT], how).drop(_SALT)
 
 
-def include_exclude(df: DataFrame, key: str, include: DataFrame | None, exclude: DataFrame | None) -> DataFrame:
+def include_exclude(
+    df: DataFrame, key: str, include: DataFrame | None, exclude: DataFrame | None, hot: Sequence | None = None
+) -> DataFrame:
     """Rows whose key is in ``include`` (if given) and not in ``exclude`` (if given)."""
-    hot = hot_keys(df, key)
     if include is not None:
         df = spread_join(df, include.select(key).distinct(), key, "left_semi", hot)
     if exclude is not None:
@@ -76,7 +79,7 @@ def orphan_keys(child: DataFrame, foreign_key: str, parent: DataFrame, primary_k
 
 
 def lookup_by_any_name(
-    asked: DataFrame, asked_name: str, nodes: DataFrame, names: Sequence[str], node_id: str
+    asked: DataFrame, asked_name: str, nodes: DataFrame, names: Sequence[str], node_id: str, hot: Sequence | None = None
 ) -> DataFrame:
     """Nodes whose name or alias equals the asked name, as one equi-join.
 
@@ -87,11 +90,11 @@ def lookup_by_any_name(
     aliases = F.explode(F.array_distinct(F.array_compact(F.array(*names))))
     listed = nodes.select(aliases.alias(asked_name), F.struct(node_id, *[c for c in nodes.columns if c != node_id]).alias("_node"))
     best = listed.groupBy(asked_name).agg(F.min_by("_node", F.col(f"_node.{node_id}")).alias("_node"))
-    return spread_join(asked, best, asked_name).select(*asked.columns, *[F.col(f"_node.{c}").alias(c) for c in nodes.columns])
+    return spread_join(asked, best, asked_name, hot=hot).select(*asked.columns, *[F.col(f"_node.{c}").alias(c) for c in nodes.columns])
 
 
 def resolve_edges(
-    edges: DataFrame, target: str, nodes: DataFrame, node_id: str, name: str, missing: Column | None = None
+    edges: DataFrame, target: str, nodes: DataFrame, node_id: str, name: str, missing: Column | None = None, hot: Sequence | None = None
 ) -> DataFrame:
     """Replace an edge's target id by the node's name; a dangling id stays as it is.
 
@@ -99,7 +102,7 @@ def resolve_edges(
     """
     named = nodes.select(F.col(node_id).alias(target), F.col(name).alias("_name"))
     fallback = F.col(target) if missing is None else missing
-    joined = spread_join(edges, named, target)
+    joined = spread_join(edges, named, target, hot=hot)
     return joined.withColumn(target, F.coalesce("_name", fallback)).drop("_name").select(*edges.columns)
 
 

@@ -15,7 +15,11 @@ SESSION_DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A skewed join is split even if that costs a later operator its layout.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Checkpoints that no table needs any more are removed from the shared folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # The JVM never compiles methods beyond this size; a wide JSON projection is
     # faster as many small methods than as one large interpreted one.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -28,10 +28,53 @@ def _bullet(title: str, value: Column) -> Column:
     return F.concat(F.lit(f"- **{title}**: "), value.cast("string"))
 
 
-def render_profiles(columns: DataFrame, tables: DataFrame, schema: str = "public") -> DataFrame:
+def _titled(title: str, lines: Column) -> Column:
+    """A titled block of lines; nothing at all without lines."""
+    return F.when(F.size(lines) > 0, F.concat(F.lit(title), F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise(F.lit(""))
+
+
+def model_section(models: DataFrame) -> DataFrame:
+    """(table_name, _model): metadata and dependencies of models as ``graph.scan_models`` finds them.
+
+    A ``description`` column is shown if there is one.
+    """
+    described = F.col("description") if "description" in models.columns else F.lit(None).cast("string")
+    facts = F.array_compact(
+        F.array(
+            _bullet("Materialization", F.coalesce(F.col("config")["materialized"], F.lit("view"))),
+            _bullet("Tags", F.nullif(F.col("config")["tags"], F.lit(""))),
+            _bullet("Description", F.nullif(described, F.lit(""))),
+        )
+    )
+    upstream = F.transform(F.array_distinct("refs"), lambda r: F.concat(F.lit("- `"), r, F.lit("`")))
+    sources = F.transform(
+        F.array_distinct("sources"), lambda s: F.concat(F.lit("- `"), s["source_name"], F.lit("."), s["table_name"], F.lit("`"))
+    )
+    # The headings.
+    section = F.concat(
+        _titled("## dbt Model Metadata\n\n", facts), _titled("**Upstream Dependencies:**\n", upstream), _titled("**Sources:**\n", sources)
+    )
+    return models.select(F.col("name").alias("table_name"), section.alias("_model"))
+
+
+def description_section(described: DataFrame) -> DataFrame:
+    """(table_name, _described): the described columns of ``(table_name, ordinal, column_name, description, tests)``."""
+    tests = F.when(F.size("tests") > 0, F.concat(F.lit("**Tests**: "), F.array_join("tests", ", "), F.lit("\n\n"))).otherwise(F.lit(""))
+    entry = F.concat(F.lit("### "), "column_name", F.lit("\n\n"), "description", F.lit("\n\n"), tests)
+    told = described.where(F.length("description") > 0).select("table_name", F.struct("ordinal", entry.alias("entry")).alias("_entry"))
+    listed = told.groupBy("table_name").agg(F.sort_array(F.collect_list("_entry")).alias("_entries"))
+    text = F.concat(F.lit("## Column Descriptions\n\n"), F.array_join(F.transform("_entries", lambda e: e["entry"]), ""))
+    return listed.select("table_name", text.alias("_described"))
+
+
+def render_profiles(
+    columns: DataFrame, tables: DataFrame, schema: str = "public", models: DataFrame | None = None, described: DataFrame | None = None
+) -> DataFrame:
     """(schema_name, table_name, document): one Markdown page per profiled table.
 
-    The lines that are gathered are a table's columns, which its schema bounds.
+    ``models`` and ``described`` add the sections of ``model_section`` and
+    ``description_section`` to the tables they name.  The lines that are gathered
+    are a table's columns, which its schema bounds.
     """
     yes_no = F.when(F.col("nullable"), F.lit("Yes")).otherwise(F.lit("No"))
     line = F.concat(
@@ -62,12 +105,15 @@ def render_profiles(columns: DataFrame, tables: DataFrame, schema: str = "public
     page = F.concat(
         F.lit("# "), title, F.lit("\n\n## Table Information\n\n"), F.array_join(facts, "\n"),
         F.lit("\n\n## Schema\n\n| Column | Type | Nullable | Distinct | Null % |\n|---|---|---|---|---|\n"),
-        F.array_join("_lines", "\n"),
-        F.lit("\n\n## Example Query\n\n```sql\nSELECT *\nFROM "), title, F.lit("\nLIMIT 10;\n```\n"),
+        F.array_join("_lines", "\n"), F.lit("\n\n"), F.coalesce("_model", F.lit("")), F.coalesce("_described", F.lit("")),
+        F.lit("## Example Query\n\n```sql\nSELECT *\nFROM "), title, F.lit("\nLIMIT 10;\n```\n"),
     )
     if "size_bytes" not in tables.columns:
         tables = tables.withColumn("size_bytes", F.lit(None).cast("bigint"))
-    return tables.join(lines, "table_name").select(F.lit(schema).alias("schema_name"), "table_name", page.alias("document"))
+    pages = tables.join(lines, "table_name")
+    pages = pages.join(model_section(models), "table_name", "left") if models is not None else pages.withColumn("_model", F.lit(""))
+    pages = pages.join(description_section(described), "table_name", "left") if described is not None else pages.withColumn("_described", F.lit(""))
+    return pages.select(F.lit(schema).alias("schema_name"), "table_name", page.alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
