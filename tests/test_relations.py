@@ -43,6 +43,25 @@ def test_closure_depths_and_limit(spark):
     assert names(graph.downstream(chain, seed(spark, "n0"), max_depth=3)) == {"n0", "n1", "n2", "n3"}
 
 
+def test_selectors_share_one_copy_of_the_edges(spark, monkeypatch):
+    real, copies = graph.cut_lineage, []
+
+    def watched(df):
+        if df.columns == ["src", "dst"]:
+            copies.append(df)
+        return real(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", watched)
+    edges = edges_of(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
+    nodes = spark.createDataFrame([(f"n{i}", f"p/n{i}", []) for i in range(7)], "name string, path string, tags array<string>")
+    found = graph.select_nodes(
+        nodes, edges, [Selector(name="n2", with_upstream=True, with_downstream=True), Selector(name="n5", with_downstream=True)],
+        [Selector(name="n1", with_upstream=True)],
+    )
+    assert sorted(r.name for r in found.collect()) == ["n2", "n3", "n4", "n5", "n6"]
+    assert len(copies) == 1
+
+
 def test_closure_through_a_hub(spark):
     hub = spark.range(3000).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"))
     back = spark.range(3000).select(F.col("id").cast("string").alias("src"), F.lit("sink").alias("dst"))

@@ -94,19 +94,32 @@ def layer_counts(models: DataFrame, layers: Sequence[str] = ("staging", "interme
     return models.agg(*[F.count_if(F.col("path").contains(layer)).alias(layer) for layer in layers])
 
 
-def closure(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_depth: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class EdgeCopy:
+    """Distinct (src, dst) edges, written once: closures in either direction and from any seeds share it.
+
+    They lie in the layout of their own exchange, by both ends, which spreads a hub's edges over all tasks.
+    """
+
+    pairs: DataFrame
+
+    @staticmethod
+    def of(edges: DataFrame | EdgeCopy) -> EdgeCopy:
+        return edges if isinstance(edges, EdgeCopy) else EdgeCopy(cut_lineage(edges.select("src", "dst").distinct()))
+
+
+def closure(edges: DataFrame | EdgeCopy, seeds: DataFrame, upstream: bool = False, max_depth: int | None = None) -> DataFrame:
     """(node, depth): the seeds and all they lead to along (src, dst) edges.
 
     Breadth-first: one join of the newest level per round, minus what is known,
-    so cycles end by themselves.  The distinct edges are kept in the layout of
-    their own exchange, by both ends, which spreads a hub's edges over all tasks.
-    A level that is measured to be small is broadcast to them; a larger one is a
+    so cycles end by themselves.  The edges are copied once, or not at all if an
+    ``EdgeCopy`` is given.  A level that is measured to be small is broadcast to them; a larger one is a
     shuffled join whose skewed partitions adaptive execution splits.  Reached
     nodes are combined before their exchange, so a hub that many edges point to
     is one row per task.
     """
     near, far = ("dst", "src") if upstream else ("src", "dst")
-    steps = cut_lineage(edges.select(F.col(near).alias("node"), F.col(far).alias("_next")).distinct())
+    steps = EdgeCopy.of(edges).pairs.select(F.col(near).alias("node"), F.col(far).alias("_next"))
     level = cut_lineage(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
     levels = [level.withColumn("depth", F.lit(0))]
     depth = 0
@@ -124,16 +137,17 @@ def closure(edges: DataFrame, seeds: DataFrame, upstream: bool = False, max_dept
     return reduce(DataFrame.unionByName, levels)
 
 
-def upstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def upstream(edges: DataFrame | EdgeCopy, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edges, seeds, True, max_depth)
 
 
-def downstream(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def downstream(edges: DataFrame | EdgeCopy, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edges, seeds, False, max_depth)
 
 
-def both_directions(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def both_directions(edges: DataFrame | EdgeCopy, seeds: DataFrame) -> DataFrame:
     """Upstream and downstream of the seeds; not the closure of either."""
+    edges = EdgeCopy.of(edges)
     found = upstream(edges, seeds).select("node").unionByName(downstream(edges, seeds).select("node"))
     return found.distinct()
 
@@ -164,7 +178,7 @@ def _pattern(text: str) -> str:
     return text.replace("*", ".*")
 
 
-def matching_nodes(nodes: DataFrame, edges: DataFrame, s: Selector) -> DataFrame:
+def matching_nodes(nodes: DataFrame, edges: DataFrame | EdgeCopy, s: Selector) -> DataFrame:
     """Names of nodes (name, path, tags) the selector picks, with their upstream or downstream if it asks for them."""
     if s.tag is not None:
         found = nodes.where(F.array_contains("tags", s.tag))
@@ -191,7 +205,12 @@ def matching_nodes(nodes: DataFrame, edges: DataFrame, s: Selector) -> DataFrame
 def select_nodes(
     nodes: DataFrame, edges: DataFrame, include: Sequence[Selector] = (), exclude: Sequence[Selector] = ()
 ) -> DataFrame:
-    """Nodes that match any ``include`` (all nodes without one) and no ``exclude``."""
+    """Nodes that match any ``include`` (all nodes without one) and no ``exclude``.
+
+    All selectors share one copy of the edges, made if one of them follows any.
+    """
+    if any(s.with_upstream or s.with_downstream for s in (*include, *exclude)):
+        edges = EdgeCopy.of(edges)
 
     def union(selectors: Sequence[Selector]) -> DataFrame:
         return reduce(DataFrame.unionByName, [matching_nodes(nodes, edges, s) for s in selectors]).distinct()
