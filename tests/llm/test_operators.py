@@ -87,6 +87,27 @@ def test_pseudo_likelihood_is_a_distribution_and_its_sum(spark, odd, nothing):
     assert pseudo_likelihood.score(odd, None).count() == odd.count()
 
 
+def test_pseudo_likelihood_parts_the_buckets(spark, documents):
+    """Words outside the vocabulary get their share of a bucket: invented ones, counted or not, score below ordinary texts."""
+    rng = np.random.default_rng(2)
+    invented = " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(300))
+    gibberish = spark.createDataFrame([(-1, invented)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text")
+    for seen in (docs.union(gibberish), docs):
+        words, network = pseudo_likelihood.train(seen)
+        means = {r["doc_id"]: r["mean_log_likelihood"] for r in pseudo_likelihood.score(docs.union(gibberish), (words, network)).collect()}
+        assert means[-1] < np.median([m for i, m in means.items() if i >= 0 and m is not None]) - 3
+        shares, spelled = np.zeros(pseudo_likelihood.MEMBERS), 0.0
+        for r in words.shares.collect():
+            shares[zlib.crc32(r["word"]) % pseudo_likelihood.MEMBERS] += np.exp(r["share"])
+        assert shares + words.left == pytest.approx(1)
+        every = {w for _, t in texts(seen) for w in pseudo_likelihood.words_of(t)}
+        assert {bytes(r["word"]) for r in words.shares.collect()} == every - set(words) and every > set(words)
+        for w in every:
+            spelled += np.exp(sum(words.spelling[a, b] for a, b in zip(b" " + w, w + b" ")))
+        assert words.unseen == pytest.approx(np.log(1 - spelled))
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------
 
 

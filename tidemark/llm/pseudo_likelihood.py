@@ -33,7 +33,21 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Word to token; a word outside falls into one of the last class's buckets by its checksum."""
+    """Word to token; a word outside falls into one of the last class's buckets by its checksum.
+
+    A bucket's probability is parted among its words: ``shares`` is a table (word, share) of the counted words outside,
+    each with the logarithm of its share; ``left`` is what each bucket leaves to words that were never counted. Those part
+    the sum of all that is left by their spelling: ``spelling`` holds the log-probability of each byte after
+    another, a space standing at both ends, and ``unseen`` the logarithm of what the counted words take of it.
+    """
+
+    shares: DataFrame
+    left: np.ndarray  # (MEMBERS,)
+    spelling: np.ndarray  # (256, 256)
+    unseen: float
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "shares"}
 
     def __missing__(self, word: bytes) -> int:
         from zlib import crc32
@@ -41,9 +55,33 @@ class Vocabulary(dict):
         return KNOWN + crc32(word) % MEMBERS
 
     def tokens(self, text: str) -> np.ndarray:
-        words = words_of(text)
+        return self.tokens_of(words_of(text))
+
+    def tokens_of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def weighed(self, words: list[bytes], gaps: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct ones of a text's words outside, how often each occurs, and what each adds if it was never counted.
+
+        ``gaps``: by how much the log-probability of any uncounted word exceeds that of the word's bucket.
+        """
+        found: dict[bytes, int] = {}
+        index = np.fromiter((found.setdefault(w, len(found)) for w in words), np.int64, len(words))
+        if not found:
+            return [], np.zeros(0, np.int64), np.zeros(0)
+        times = np.bincount(index)
+        return list(found), times, np.bincount(index, gaps) + times * (_spelled(self.spelling, list(found)) - self.unseen)
+
+
+def _bytes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
+
+
+def _spelled(spelling: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Log-probability of each word among all that can be spelled."""
+    run = _bytes(words)
+    return np.add.reduceat(spelling[run[:-1], run[1:]], np.cumsum([0, *(len(w) + 1 for w in words[:-1])]))
+
 
 def _tall(a: np.ndarray) -> np.ndarray:
     """Softmax along the last axis as log-probabilities."""
@@ -84,17 +122,23 @@ class Network:
         total = self.bias + sum(self.places[k][near[:, k]] for k in range(2 * SIDE))
         return np.concatenate([np.tanh(total), np.ones((len(near), 1), np.float32)], 1)
 
-    def log_probability(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target token, given its neighbours."""
+    def log_probability(self, near: np.ndarray, target: np.ndarray, left: np.ndarray | None = None):
+        """Of each target token, given its neighbours.
+
+        With ``left`` also that of any uncounted word in the place of each bucket.
+        """
         h, kind, member = self.hidden(near), target // MEMBERS, target % MEMBERS
         rows = np.arange(len(target))
-        out = _tall(h @ self.classes)[rows, kind].astype(np.float64)
+        out, other = _tall(h @ self.classes)[rows, kind].astype(np.float64), np.zeros(len(target))
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             at = order[bounds[c] : bounds[c + 1]]
-            out[at] += _tall(h[at] @ self.members[c])[np.arange(len(at)), member[at]]
-        return out
+            tall = _tall(h[at] @ self.members[c])
+            if left is not None and c == CLASSES - 1:
+                other[at] = out[at] + np.log(np.exp(tall) @ left)
+            out[at] += tall[np.arange(len(at)), member[at]]
+        return out if left is None else (out, other)
 
     def step(self, near: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step down the batch's mean loss; steps of the look-up tables are per token, as each is seen seldom."""
@@ -142,13 +186,55 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
 
 
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        if len(batch):
+            run = _bytes(batch["word"].tolist()).astype(np.int64)
+            total += np.bincount(run[:-1] << 8 | run[1:], minlength=1 << 16)
+    seen = np.flatnonzero(total)
+    yield pd.DataFrame({"pair": seen, "n": total[seen]})
+
+
+def _part(words: Vocabulary, counts: DataFrame, last) -> None:
+    """Parts the buckets among the counted words that come after ``last`` in the vocabulary's order, all others if None.
+
+    As many tokens as there are distinct words outside are set aside for uncounted ones (Witten and Bell's rule). What is
+    collected are sums of 64 buckets, of pairs of bytes, and of the counted words' spellings.
+    """
+    outside = counts.where(F.lit(False))
+    if last is not None:
+        outside = counts.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > F.lit(bytes(last["word"])))))
+    bucket = (F.crc32("word") % MEMBERS).cast("int")
+    tokens, kinds = np.zeros(MEMBERS), 0
+    for r in outside.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        tokens[r["bucket"]], kinds = r["n"], kinds + r["kinds"]
+    aside = (kinds + 1) / (tokens.sum() + kinds + 2)
+    words.left = np.where(tokens > 0, aside, 1.0)
+    scale = F.array(*(F.lit(float(x)) for x in np.log1p(-aside) - np.log(np.maximum(tokens, 1))))
+    words.shares = outside.select("word", (F.log("n") + scale[bucket]).alias("share"))
+
+    pairs = np.full((256, 256), 0.5)
+    pairs[:, list(b"\t\n\v\f\r")] = pairs[ord(" "), ord(" ")] = 0  # no word holds them, none is empty
+    for r in counts.mapInPandas(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[divmod(r["pair"], 256)] += r["n"]
+    with np.errstate(divide="ignore"):
+        words.spelling = spelling = np.log(pairs / pairs.sum(1, keepdims=True))
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"p": [float(sum(np.exp(_spelled(spelling, b["word"].tolist())).sum() for b in batches if len(b)))]})
+
+    words.unseen = float(np.log(max(1 - counts.mapInPandas(spelled, "p double").agg(F.sum("p")).first()[0], 1e-12)))
+
+
 def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tuple[Vocabulary, Network] | None:
     """The vocabulary (the corpus's most frequent words) and the network, fitted on all documents.
 
     Word counts are combined by shuffle and the top KNOWN words reach the driver. In an epoch each partition starts from the
     same network, steps through the masked places of all its documents, and gives its network and how many
     tokens it saw; their weighted mean, summed by shuffle in pieces, starts the next epoch. The network's size
-    is fixed, so what the driver holds is bounded; what is gathered grows with the corpus. None without any word.
+    is fixed, so what the driver holds is bounded; what is gathered grows with the corpus. All other words keep
+    their counts in a table, by which they part the probability of their bucket. None without any word.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
@@ -164,6 +250,7 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
     frequency[: len(top)] = [r["n"] for r in top]
     frequency[KNOWN:] = (total - frequency.sum()) / MEMBERS
     network = Network.fresh(frequency)
+    _part(words, counts, top[-1] if len(top) == KNOWN else None)
     for epoch in range(epochs):
         start = spark.sparkContext.broadcast((words, network.vector()))
         rate = RATE * 0.5**epoch
@@ -219,26 +306,34 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
     """One row per input row: id, ``n_tokens``, ``log_likelihood`` (sum over all tokens), ``mean_log_likelihood``.
 
     Null and blank texts have no tokens, a sum of 0 and a null mean; repeated rows score alike; texts of any length
-    are predicted whole, a block of tokens at a time; an empty table gives no rows.
+    are predicted whole, a block of tokens at a time; an empty table gives no rows. Words outside the vocabulary
+    get the probability of their bucket there, and by a join with the counted words their share of it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (model[0], model[1].vector()))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(None if model is None else (model[0], model[1].vector()))
     loaded: dict = {}
 
     def scored(texts: list[str]) -> list[list]:
         if sent.value is None:
-            return [[0] * len(texts), [0.0] * len(texts)]
+            return [[0] * len(texts), [0.0] * len(texts), *([[]] * len(texts) for _ in range(3))]
         if "network" not in loaded:
             loaded["words"], loaded["network"] = sent.value[0], Network.of(sent.value[1])
-        tokens = [loaded["words"].tokens(t) for t in texts]
-        sizes = [len(t) for t in tokens]
+        known = loaded["words"]
+        sizes, outside, gaps = [], [], [np.zeros(0)]
         sums, near, target, owner, held = np.zeros(len(texts)), [], [], [], 0
 
         def flush() -> None:
             if held:
-                p = loaded["network"].log_probability(np.concatenate(near), np.concatenate(target))
+                y = np.concatenate(target)
+                p, other = loaded["network"].log_probability(np.concatenate(near), y, known.left)
                 np.add.at(sums, np.concatenate(owner), p)
+                gaps.append((other - p)[y >= KNOWN])
 
-        for k, t in enumerate(tokens):
+        for k, text in enumerate(texts):
+            said = words_of(text)
+            t = known.tokens_of(said)
+            sizes.append(len(t))
+            outside.append([said[i] for i in np.flatnonzero(t >= KNOWN).tolist()])
             for a in range(0, len(t), BLOCK):
                 at = np.arange(a, min(a + BLOCK, len(t)))
                 near.append(neighbours(t, at))
@@ -249,9 +344,20 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
                     flush()
                     near, target, owner, held = [], [], [], 0
         flush()
-        return [sizes, sums.tolist()]
+        each = np.split(np.concatenate(gaps), np.cumsum([len(w) for w in outside])[:-1])
+        return [sizes, sums.tolist(), *zip(*map(known.weighed, outside, each))]
 
     source = narrow(docs, id=id_col, text=whole(f"`{text_col}`"))
-    out = computed(source, ["text"], "n_tokens bigint, log_likelihood double", scored)
+    out = computed(source, ["text"], "n_tokens bigint, log_likelihood double, word array<binary>, times array<bigint>, unseen array<double>", scored)
+    if model is None:
+        out = out.drop("word", "times", "unseen")
+    else:
+        base = Scratch(spark, "likelihood").table(out.withColumn("row", F.monotonically_increasing_id()), "base")
+        pairs = base.select("row", F.inline(F.arrays_zip("word", "times", "unseen"))).join(model[0].shares, "word", "left")
+        # Sums of whole numbers come out alike in any order.
+        more = F.round(F.coalesce(F.col("times") * F.col("share"), F.col("unseen")) * (1 << 30)).cast("bigint")
+        parted = pairs.groupBy("row").agg((F.sum(more) / (1 << 30)).alias("more"))
+        whole_sum = F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))
+        out = base.join(parted, "row", "left").select("id", "n_tokens", whole_sum.alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.withColumn("mean_log_likelihood", mean).withColumnRenamed("id", id_col)
