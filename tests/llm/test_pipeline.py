@@ -83,3 +83,10 @@ def test_run_equals_its_stages(spark, staged):
     key = lambda df: Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert sum(r["length"] for r in pipeline.run(spark, SMALL).collect()) == sum(r["length"] for r in staged[-1].collect())
     assert key(staged[-1])
+
+
+def test_groups_without_or_under_one_id_keep_a_document_each(spark):
+    other = [" ".join(f"{word}{k * j % 97}" for k in range(80)) for j, word in enumerate(("oak", "elm", "ash", "fir", "yew"), 1)]
+    rows = [(None, t, "en", "a", 1) for t in other[:3] * 2] + [(7, other[3], "en", "a", 1), (7, other[4], "en", "a", 1), (7, other[4], "en", "a", 1), (7, PROSE, "en", "a", 1), (2, PROSE, "en", "a", 1)]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, t) for t in other[:3]] + [(7, other[3]), (7, other[4]), (2, PROSE)])

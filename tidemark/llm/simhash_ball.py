@@ -36,9 +36,11 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), root_col: str | None = None) -> DataFrame:
     """One row per input row: its id, ``fingerprint`` (16 hex digits), ``component_id`` and the carried columns.
 
+    ``root_col`` names a further column: a fingerprint of the component, which tells components apart where ids are null or repeat.
+
     Fingerprints that differ in at most two bits are linked. Each distinct fingerprint is sent
     to all 65 values at most one bit away; two linked ones meet at a value half way. Whatever
     meets lies within two bits of each other, so a group holds 65 fingerprints at most and the
@@ -67,11 +69,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links, scratch).select(F.col("node").alias("fp"), "root")
     rooted = scratch.table(distinct.join(found, "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    named = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = scratch.table(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     scratch.drop("distinct", "parents", "rooted", "least")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         *(F.col(n).alias(c) for n, c in kept.items()),
+        *([F.col("root").alias(root_col)] if root_col else []),
     )
