@@ -174,6 +174,17 @@ def test_order_minhash_sees_order(spark):
     assert near["same"] == 1 and 0.2 < near["n"] < 0.8  # the grams are nearly all the same, their order is not
 
 
+def test_order_minhash_of_unspaced_text(spark):
+    """One character more at the front or inside leaves most places alike, beyond the basic plane too."""
+    rng = np.random.default_rng(3)
+    for first, n in ((0x4E00, 5000), (0x20000, 5000), (ord("a"), 26)):
+        text = "".join(map(chr, first + rng.integers(0, n, 1200)))
+        rows = [(text, x + text[:600] + y + text[600:]) for x, y in (("", ""), (text[5], ""), ("", text[5]), (text[5], text[7]))]
+        near = spark.createDataFrame(rows, "a string, b string").select(order_minhash.signature("a").alias("x"), order_minhash.signature("b").alias("y"))
+        got = [r["n"] for r in near.select(order_minhash.likeness("x", "y").alias("n")).collect()]
+        assert got[0] == 1 and min(got) > 0.8
+
+
 def test_order_minhash_odd(spark, odd, nothing):
     rows = order_minhash.fingerprint_edits(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in rows)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import narrow, whole
 
 SKETCHES, TUPLE, GRAM = 64, 2, 3
-#: Words of the text; longer runs of letters count as several.
-PIECE = r"[^\x20\x09-\x0D]{1,12}"
+_LETTER = r"[^\x20\x09-\x0D]"
+_WORD = rf"(?<!{_LETTER}){_LETTER}{{1,12}}(?!{_LETTER})"
+#: Words of the text, in the only group; of longer runs every stretch of 12 characters, so that an edit leaves those beyond it alone.
+PIECE = rf"(?=({_WORD}|{_LETTER}{{12}}))(?:{_WORD}|{_LETTER})"
 
 # Values used more than once are bound as a lambda's variable, ``transform(array(value), v -> ...)[0]``:
 # Spark would else work out the whole array again for each element.
@@ -67,7 +69,7 @@ def signature(text: str, sketches: int = SKETCHES, size: int = TUPLE, gram: int
     passages lower the likeness although the grams stay. Equal texts have equal signatures; a null or blank
     text has the signature of the empty one, which agrees with no other.
     """
-    words = f"regexp_extract_all(coalesce({text}, ''), '{PIECE}', 0)".replace("\\", "\\\\")
+    words = f"regexp_extract_all(coalesce({text}, ''), '{PIECE}', 1)".replace("\\", "\\\\")
     return F.expr(_signature(_numbered(_grams(words, gram)), sketches, size))
 
 
