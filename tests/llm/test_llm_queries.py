@@ -20,8 +20,9 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SMALL)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     connection = connect(SMALL)
-    source = "embeddings" if name.startswith("op5_") else "documents"
-    rows = connection.sql(f"SELECT count(*) FROM {source}").fetchall()[0][0]
+    source = {"op5": "embeddings", "op12": "embeddings", "op13": "conversations"}.get(name.split("_")[0], "documents")
+    rows = connection.sql(f"SELECT count({'DISTINCT conv_id' if name.startswith('op13_') else '*'}) FROM {source}").fetchall()[0][0]
+    rows = 4 * rows if name.startswith("op12_") else rows + 1 if name.startswith("op13_") else rows
     assert len(got) >= rows if name.startswith("op8_") else len(got) == rows
     if name in SQL:
         relation = connection.sql(SQL[name])

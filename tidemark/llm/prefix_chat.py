@@ -168,9 +168,9 @@ def merge_turns(
     ends = steps.groupBy("path").agg(F.first("conv").alias("conv"), F.max_by("key", "k").alias("key"))
 
     nodes = scratch.table(steps.groupBy("key").agg(F.min("path").alias("owner"), F.first("parent").alias("parent")), "nodes")
-    parting = nodes.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent", F.lit(True).alias("parts"))
-    branch = F.coalesce("parts", F.octet_length("parent") == 0).alias("branch")
-    known = nodes.join(parting, "parent", "left").select("key", "owner", branch)
+    # Siblings part where a node is not its parent's only child; roots always part.
+    only = nodes.where(F.octet_length("parent") > 0).groupBy("parent").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    known = nodes.join(only.select("key", F.lit(False).alias("parts")), "key", "left").select("key", "owner", F.coalesce("parts", F.lit(True)).alias("branch"))
     # A node's way is read along one conversation, its owner; copies of a conversation own nothing.
     owned = steps.join(nodes.select(F.col("owner").alias("path")).distinct(), "path", "left_semi")
     ways = scratch.table(owned.select("path", "k", "key", "turn").join(known, "key"), "ways")
