@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as inc
-from tidemark.session import scratch_path
+from tidemark.session import path_exists, scratch_path
 from tidemark.sources.readers import Sources, query, read_landing, sample_rows
 from tidemark.streaming.upsert import stream_upsert
 
@@ -92,11 +93,131 @@ def test_deltas_are_folded_and_old_folders_go(spark, path):
     assert len(content["deltas"]) <= inc.MOST_DELTAS
     assert inc.read_target(spark, path).count() == 12
     inc.compact(spark, path)
-    inc.vacuum(spark, path, keep=1)
+    inc.vacuum(spark, path, keep=1, least_age=timedelta(0))
     fs, folder = inc.storage_path(spark, path)
     assert sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()) == inc._folders(inc.manifest(spark, path))
 
 
+def ranged(spark, path, n=20_000, **options):
+    inc.upsert(path, wide_rows(spark, n), "key", rows_per_range=1000, **options)
+    return inc.manifest(spark, path)
+
+
+def test_a_read_joins_only_touched_ranges(spark, path):
+    """A thousandth of the keys, all near one another: one or two of twenty ranges are joined, the others are read as they are."""
+    first = ranged(spark, path)
+    assert 15 <= len(first["ranges"]) <= 25 and sum(r["rows"] for r in first["ranges"]) == 20_000
+    change = wide_rows(spark, 20_000).where("key BETWEEN 7000 AND 7019").withColumn("event", F.lit(9))
+    inc.upsert(path, change, "key")
+    content = inc.manifest(spark, path)
+    hit, fell = inc.touched_ranges(content)
+    assert 1 <= len(hit) <= 2 and hit == fell
+    joined = inc._read_ranges(spark, path, content, hit)
+    assert len(joined.inputFiles()) <= 4 < len(inc._read_ranges(spark, path, content, range(len(content["ranges"]))).inputFiles())
+    assert joined.count() <= 2 * 2000
+    got = inc.read_target(spark, path)
+    assert got.count() == 20_000 and rows(got.where("event = 9").selectExpr("min(key)", "max(key)", "count(*)")) == [(7000, 7019, 20)]
+
+
+def test_new_keys_touch_no_range(spark, path):
+    """Keys between the others: the filters know that no range holds them, so nothing is joined."""
+    inc.upsert(path, wide_rows(spark, 20_000).withColumn("key", F.col("key") * 2), "key", rows_per_range=1000)
+    added = wide_rows(spark, 20_000).where("key % 4000 = 1").withColumn("key", F.col("key") * 2 + 1).withColumn("event", F.lit(9))
+    inc.upsert(path, added, "key")
+    hit, fell = inc.touched_ranges(inc.manifest(spark, path))
+    assert len(fell) == 5 and len(hit) <= 2
+    got = inc.read_target(spark, path)
+    assert got.count() == 20_005 and got.where("event = 9 AND key % 2 = 1").count() == 5
+
+
+def test_folding_rewrites_only_touched_ranges(spark, path):
+    first = ranged(spark, path)
+    inc.upsert(path, wide_rows(spark, 20_000).where("key IN (3, 19990)").withColumn("event", F.lit(9)), "key")
+    inc.compact(spark, path)
+    after = inc.manifest(spark, path)
+    same = {r["folder"] for r in first["ranges"]} & {r["folder"] for r in after["ranges"]}
+    assert len(after["ranges"]) == len(first["ranges"]) and len(same) == len(first["ranges"]) - 2 and not after["deltas"]
+    # Every range still holds its own keys, sorted from its bound on.
+    lows = [r["key"] for r in inc._bounds(spark, path, after).orderBy("position").collect()]
+    for k, (low, high) in enumerate(zip([-1, *lows], [*lows, 10**9])):
+        got = inc._read_ranges(spark, path, after, [k]).agg(F.min("key"), F.max("key")).first()
+        assert low <= got[0] and got[1] < high
+    assert rows(inc.read_target(spark, path).where("event = 9").select("key").orderBy("key")) == [(3,), (19990,)]
+
+
+def test_a_range_that_grows_is_cut(spark, path, monkeypatch):
+    """Rising keys: only the last range grows and is cut, all others keep their files; random later changes still match."""
+    monkeypatch.setattr(inc, "MOST_DELTAS", 2)
+    first = ranged(spark, path, 5000)
+    for k in range(5, 9):
+        inc.upsert(path, wide_rows(spark, 1000 * (k + 1)).where(F.col("key") >= 1000 * k), "key")
+    inc.compact(spark, path)
+    after = inc.manifest(spark, path)
+    assert len(after["ranges"]) > len(first["ranges"]) and max(r["rows"] for r in after["ranges"]) <= 2000
+    assert [r["folder"] for r in after["ranges"]][: len(first["ranges"]) - 1] == [r["folder"] for r in first["ranges"]][:-1]
+    inc.upsert(path, wide_rows(spark, 9000).where("key % 977 = 5").withColumn("event", F.lit(9)), "key")
+    got = inc.read_target(spark, path)
+    assert got.count() == got.select("key").distinct().count() == 9000 and got.where("event = 9").count() == 10
+
+
+def test_ranges_of_composite_text_keys_equal_a_plain_merge(spark, path):
+    """Many random batches with repeats, older rows and new keys against merges of whole tables."""
+    ddl = "a string, b int, event int, v int"
+    def batch(seed, n):
+        r = F.xxhash64("id", F.lit(seed))
+        return spark.range(n).select(F.concat(F.lit("k"), (F.pmod(r, F.lit(40))).cast("string")).alias("a"), F.pmod(F.shiftright(r, 9), F.lit(60)).cast("int").alias("b"), F.pmod(F.shiftright(r, 20), F.lit(50)).cast("int").alias("event"), F.lit(seed).alias("v")).dropDuplicates(["a", "b"])
+    want = None
+    for seed, n in enumerate((1500, 30, 200, 1)):
+        new = spark.createDataFrame(rows(batch(seed, n)), ddl)
+        inc.upsert(path, new, ["a", "b"], newer_by="event", rows_per_range=100)
+        want = new if want is None else spark.createDataFrame(rows(inc.merge_rows(want, new, ["a", "b"], "event")), ddl)
+        assert sorted(rows(inc.read_target(spark, path))) == sorted(rows(want))
+        if seed == 1:
+            inc.compact(spark, path)
+            assert sorted(rows(inc.read_target(spark, path))) == sorted(rows(want))
+    assert len(inc.manifest(spark, path)["ranges"]) > 5
+
+
+def test_of_two_writers_one_publishes(spark, path):
+    inc.upsert(path, table(spark, FIRST), "key")
+    content = {**inc.manifest(spark, path), "version": 2}
+    outcomes = []
+    def publish(k):
+        try:
+            inc._publish(spark, path, {**content, "marks": {"writer": ["plain", k]}})
+            outcomes.append(k)
+        except RuntimeError:
+            pass
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(publish, range(4)))
+    assert len(outcomes) == 1 and inc.manifest(spark, path)["marks"]["writer"] == ["plain", outcomes[0]]
+
+
+def test_half_a_manifest_is_none(spark, path):
+    """A writer at work is left alone; one that died is passed over."""
+    inc.upsert(path, table(spark, FIRST), "key")
+    fs, file = inc.storage_path(spark, inc._manifest_path(path, 2))
+    stream = fs.create(file, False)
+    stream.write(bytearray(b'{"version": 2, "sch'))
+    stream.close()
+    assert sorted(rows(inc.read_target(spark, path))) == FIRST
+    with pytest.raises(RuntimeError, match="another writer"):
+        inc.upsert(path, table(spark, BATCH[:1]), "key")
+    fs.setTimes(file, 0, -1)
+    inc.upsert(path, table(spark, BATCH[:1]), "key")
+    assert inc.manifest(spark, path)["version"] >= 3 and inc.read_target(spark, path).count() == 2
+
+
+def test_young_folders_stay(spark, path):
+    inc.upsert(path, table(spark, FIRST), "key")
+    spark.range(3).write.parquet(f"{path}/delta-unpublished")
+    inc.upsert(path, table(spark, BATCH[:2]), "key", full_refresh=True)
+    inc.vacuum(spark, path, keep=1)
+    assert path_exists(spark, f"{path}/delta-unpublished")
+    inc.vacuum(spark, path, keep=1, least_age=timedelta(0))
+    assert not path_exists(spark, f"{path}/delta-unpublished")
+
+
 def test_null_keys_are_left_out_and_a_replay_adds_nothing(spark, path):
     batch = table(spark, [(None, 1, 1), (None, 2, 2), (1, 1, 1)])
     for _ in range(3):

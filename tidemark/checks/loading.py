@@ -60,6 +60,24 @@ def _incremental_upsert(t: Tables) -> DataFrame:
     return read_target(t.spark, path).select("user_id", "event_id", "ts", "ingested_at", "value")
 
 
+@query(
+    "ranged_upsert",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 100 = 1 THEN 'Z' WHEN q = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+    o_totalprice FROM (SELECT *, CASE WHEN o_orderkey > (SELECT max(o_orderkey) * 0.9 FROM orders) THEN 1
+        WHEN o_orderkey BETWEEN (SELECT max(o_orderkey) * 0.4 FROM orders) AND (SELECT max(o_orderkey) * 0.41 FROM orders) THEN 2 END AS q FROM orders)""",
+)
+def _ranged_upsert(t: Tables) -> DataFrame:
+    """A base in many key ranges: new keys behind it, changed keys near one another, and some all over it."""
+    path, orders = scratch_path(t.spark, "ranges"), t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    count, last = orders.agg(F.count("*"), F.max("o_orderkey")).first()
+    changed = orders.where(F.col("o_orderkey").between(0.4 * last, 0.41 * last)).withColumn("o_orderstatus", F.lit("X"))
+    scattered = orders.where("o_custkey % 100 = 1").withColumn("o_orderstatus", F.lit("Z"))
+    batches = (orders.where(F.col("o_orderkey") <= 0.9 * last), orders.where(F.col("o_orderkey") > 0.9 * last), changed, scattered)
+    for batch in batches:
+        upsert(path, batch, "o_orderkey", rows_per_range=max(1, count // 40))
+    return read_target(t.spark, path)
+
+
 @query(
     "incremental_event_time",
     f"""WITH s AS (SELECT *, {_LATE} AS ingested_at FROM events),

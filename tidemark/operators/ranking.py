@@ -14,6 +14,9 @@ from tidemark.session import cut_lineage
 # Rows of a range at most; a smaller table is split over the session's partitions.
 ROWS_PER_RANGE = 1_000_000
 
+# Rows of a block whose values one task adds up.
+BLOCK_BITS = 16
+
 _POSITION = "_position"
 _RANGE = "_range"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row within its partition there
@@ -47,6 +50,20 @@ def global_rank(
     )
 
 
+def running_total(ranked: DataFrame, rank: str, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` from the first row of a dense ``rank`` up to each row, in the order of the rank.
+
+    Values are added up within blocks of the order, and block sums over blocks: no task holds more than a block,
+    but for one row per block.
+    """
+    blocked = ranked.withColumn("_block", F.shiftright(rank, BLOCK_BITS))
+    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = sums.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(value).over(W.partitionBy("_block").orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return blocked.withColumn("_within", within).join(blocks, "_block").withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows in order: TakeOrderedAndProject, k rows per task."""
     return df.orderBy(*order).limit(k)
