@@ -169,3 +169,18 @@ def test_group_mode_ties(spark):
 def test_top_values(spark):
     df = spark.createDataFrame([(1, v) for v in "aabbcdee"] + [(1, None)], "k int, v string")
     assert rows(agg.top_values(df, "k", "v", 3), "value_rank") == [(1, "a", 2, 1), (1, "b", 2, 2), (1, "e", 2, 3)]
+
+
+def test_distinct_counts_equal_plain_ones(spark):
+    """Null keys, null values, conditions that never hold, negative numbers, days, instants, floats and texts of any length."""
+    df = spark.sql(
+        """SELECT IF(id % 7 = 0, NULL, id % 3) AS k, IF(id % 5 = 0, NULL, id * 37 % 191 - 90) AS n, date_add(DATE'1969-10-01', CAST(id * 11 % 150 AS INT)) AS d,
+        timestamp_micros(id * 13 % 97 - 50) AS at, CAST(id % 11 AS DOUBLE) / IF(id % 11 = 0, IF(id % 2 = 0, -1, 1), 3) AS x, repeat('text', CAST(id % 13 AS INT)) AS s,
+        CAST(id % 17 AS DECIMAL(9, 2)) AS c, id % 2 = 0 AS even FROM range(800) UNION ALL SELECT 9, NULL, NULL, NULL, NULL, NULL, NULL, true"""
+    ).repartition(5)
+    names = ["n", "d", "at", "x", "s", "c"]
+    conditions = {"": F.lit(True), "_even": F.col("even"), "_never": F.lit(False), "_unknown": F.lit(None).cast("boolean")}
+    got = agg.distinct_counts(df, ["k"], {n + c: (F.col(n), condition) for n in names for c, condition in conditions.items()} | {"plain": F.col("n")})
+    want = df.groupBy("k").agg(*[F.count_distinct(F.when(condition, F.col(n))).alias(n + c) for n in names for c, condition in conditions.items()], F.count_distinct("n").alias("plain"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+    assert "Expand" not in plan(got)

@@ -56,6 +56,24 @@ def test_more_than_five_values(spark):
     assert profile_of(df, k=2)["s"].sample_values == ["a", "b"]
 
 
+def test_long_texts_show_the_right_ones(spark, monkeypatch):
+    """Equally common texts that share their start, more of them than are read at once, and copies of some."""
+    monkeypatch.setattr(pr, "SETTLED_AT_ONCE", 3)
+    monkeypatch.setattr(pr, "NEXT_CHARACTERS", 4)
+    monkeypatch.setattr(pr, "MORE", 2)
+    start = "a start that all of these texts share, "
+    texts = [start + "x" * 40 + f"{i:03d}" for i in range(30)] + [start + c for c in "\uffff\U0001f600"] + ["short", start[:32], start[:33]]
+    data = texts + [start + "twice", start + "x" * 40 + "twice", start + "twice", start + "x" * 40 + "twice"]
+    df = spark.createDataFrame([(t, bytearray(t.encode()), [t]) for t in data], "s string, b binary, a array<string>").repartition(5)
+    got = pr.column_profile(df, "t", k=8).collect()
+    want = [start + "twice", start + "x" * 40 + "twice"] + sorted(texts, key=str.encode)[:6]
+    assert got[0].sample_values == want and {r.distinct_count for r in got} == {len(texts) + 2}
+    assert got[1].sample_values == [t.encode().hex().upper() for t in want]
+    assert pr.most_common_values(df, ["s"], 100).count() == len(texts) + 2
+    longest = pr.value_histogram(df).agg(F.max(F.length("text")), F.max(F.length("digest"))).first()
+    assert tuple(longest) == (pr.SHORT_TEXT, 32)
+
+
 def test_approximate_is_near(spark):
     df = spark.range(5000)
     assert abs(profile_of(df, approximate=True)["id"].distinct_count - 5000) < 500

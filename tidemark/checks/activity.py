@@ -143,7 +143,27 @@ def _multi_distinct(t: Tables) -> DataFrame:
         {
             "parts": F.col("l_partkey"),
             "orders": F.col("l_orderkey"),
-            "returned_orders": F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")),
+            "returned_orders": (F.col("l_orderkey"), F.col("l_returnflag") == "R"),
+        },
+    )
+
+
+@query(
+    "typed_distincts",
+    """SELECT l_returnflag, l_linestatus, count(DISTINCT l_extendedprice) AS prices, count(DISTINCT l_shipdate) AS moments, count(DISTINCT CAST(l_shipdate AS DATE)) AS days,
+    count(DISTINCT CASE WHEN l_quantity < 10 THEN CAST(l_shipdate AS DATE) END) AS small_days, count(DISTINCT 'supplier ' || l_suppkey || ' of the part ' || l_partkey) AS labels,
+    count(DISTINCT CASE WHEN l_quantity < 0 THEN l_orderkey END) AS none, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+def _typed_distincts(t: Tables) -> DataFrame:
+    """Values of every kind; long texts count by digest, and few keys hold all rows."""
+    day = F.col("l_shipdate").cast("date")
+    label = F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"), F.lit(" of the part "), F.col("l_partkey").cast("string"))
+    return agg.distinct_counts(
+        t.lineitem,
+        ["l_returnflag", "l_linestatus"],
+        {
+            "none": (F.col("l_orderkey"), F.col("l_quantity") < 0), "orders": F.col("l_orderkey"), "prices": F.col("l_extendedprice"), "moments": F.col("l_shipdate"),
+            "days": day, "small_days": (day, F.col("l_quantity") < 10), "labels": label,
         },
     )
 

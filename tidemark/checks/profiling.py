@@ -475,3 +475,18 @@ def _preview(t: Tables) -> DataFrame:
 )
 def _total_order(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey")
+
+
+_DOCUMENTS = {"doc_id": "bigint", "text": None, "lang": None, "source": None, "n_chars": "bigint"}
+
+
+@query("documents_profile", _full_profile_sql("documents", _DOCUMENTS))
+def _documents_profile(t: Tables) -> DataFrame:
+    """Whole texts are told apart by digests; only the five that are shown are read."""
+    return full_profile(t.documents.select(*_DOCUMENTS), "documents")
+
+
+@query("pages_top_texts", " UNION ALL ".join(_top_sql("pages", c) for c in ("url", "html")))
+def _pages_top_texts(t: Tables) -> DataFrame:
+    """Pages all differ and start alike: the order of equally common long texts is settled piece by piece."""
+    return pr.most_common_values(t.pages, ["url", "html"])

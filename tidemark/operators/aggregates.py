@@ -10,10 +10,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.calendar import days_before, utc_wall_time, whole_days
 from tidemark.functions.measures import count_where
 from tidemark.operators.dedupe import latest_rows, top_rows
+from tidemark.operators.profile import SHORT_TEXT, SLOTS, value_slot
 
 # Recency windows in days, weekend days (1 = Sunday) and office hours.
 RECENT_ROW_DAYS = (30, 90, 180, 365)
@@ -40,9 +42,47 @@ def conditional_counts(df: DataFrame, keys: Sequence[str], conditions: Mapping[s
     return df.groupBy(*keys).agg(*[count_where(c).alias(n) for n, c in conditions.items()])
 
 
-def distinct_counts(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Exact distinct non-null values; Catalyst first groups by key and value."""
-    return df.groupBy(*keys).agg(*[F.count_distinct(c).alias(n) for n, c in values.items()])
+def distinct_counts(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """Exact distinct non-null values per key; a pair counts the values of rows where its condition holds.
+
+    Measures of one value share a row per key and value. Whole numbers, days and instants go 64 to a row, as bits of a word, one
+    word per measure: words are united on the map side and their bits counted, so that neither rows are
+    repeated per measure nor near values cost a row each. Other values are a row each, long texts by digest.
+    """
+    measures = {n: v if isinstance(v, tuple) else (v, F.lit(True)) for n, v in values.items()}
+    texts = {n: str(v) for n, (v, _) in measures.items()}
+    groups = list(dict.fromkeys(texts.values()))
+    width = max(sum(t == g for t in texts.values()) for g in groups)
+    value_of = {t: measures[n][0] for n, t in texts.items()}
+    slotted = {g: _distinct_slot(df.select(value_of[g].alias("v")).schema["v"], value_of[g]) for g in groups}
+    slots = {s: kind for s, kind in {"word": "bigint", **SLOTS}.items() if s in {slot for slot, _, _ in slotted.values()}}
+    entries, place = [], {}
+    for number, group in enumerate(groups):
+        members = [n for n, t in texts.items() if t == group]
+        value, (slot, held, bit) = value_of[group], slotted[group]
+        words = [F.when(value.isNotNull() & measures[n][1], bit) for n in members] + [F.lit(None).cast("bigint")] * (width - len(members))
+        place.update({n: (number, f"_w{i}") for i, n in enumerate(members)})
+        cells = [(held if s == slot else F.lit(None).cast(kind)).alias(f"_{s}") for s, kind in slots.items()]
+        entries.append(F.struct(F.lit(number).alias("_group"), *cells, *(w.alias(f"_w{i}") for i, w in enumerate(words))))
+    rows = df.select(*keys, F.inline(F.array(*entries)))
+    # The first group keeps rows without a value, so that every key has a row.
+    filled = rows.where((F.col("_group") == 0) | F.coalesce(*[F.col(f"_w{i}") for i in range(width)]).isNotNull())
+    united = filled.groupBy(*keys, "_group", *(f"_{s}" for s in slots)).agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(width)])
+    return united.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_group") == g, F.bit_count(w))), F.lit(0)).cast("bigint").alias(n) for n, (g, w) in ((n, place[n]) for n in measures)]
+    )
+
+
+def _distinct_slot(field: T.StructField, value: Column) -> tuple[str, Column, Column]:
+    """Slot of a value, what is held there, and its bit in a word."""
+    if isinstance(field.dataType, (T.IntegralType, T.DateType, T.TimestampType)):
+        days = F.unix_date(value) if isinstance(field.dataType, T.DateType) else value
+        whole = (F.unix_micros(value) if isinstance(field.dataType, T.TimestampType) else days).cast("bigint")
+        return "word", F.shiftright(whole, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), whole.bitwiseAND(F.lit(63)).cast("int"))
+    slot, held = value_slot(T.StructField("v", field.dataType), value)
+    if slot == "text":
+        held = F.when(F.char_length(held) > SHORT_TEXT, F.sha2(held.cast("binary"), 256)).otherwise(held)
+    return slot, held, F.lit(1).cast("bigint")
 
 
 def any_true(df: DataFrame, keys: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:

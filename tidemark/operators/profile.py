@@ -2,7 +2,8 @@
 
 Two scans per table, whatever its number of columns: one typed aggregate for row
 counts, null counts, minima and maxima, and one long-form histogram for distinct
-counts and the most common values.
+counts and the most common values. A long text is in the histogram by its digest and its
+first characters; only texts that are shown are read again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ from tidemark.operators.dedupe import ROW_RANK, top_rows
 
 # Fixed value: how many of the most common values a profile shows.
 SAMPLE_VALUES = 5
+# Characters of a text that the histogram holds; a longer one is told apart by its SHA-256.
+SHORT_TEXT = 32
+# Texts that are read at a time to settle which of equally common ones come first, and by how much more
+# of them is compared when they share what was.
+SETTLED_AT_ONCE = 64
+NEXT_CHARACTERS, MORE = 256, 8
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
@@ -43,12 +50,13 @@ def first_temporal(schema: T.StructType) -> str | None:
 SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
 
 
-def value_slot(field: T.StructField) -> tuple[str, Column]:
-    """Slot of a column and its value there; equal exactly when the values are equal.
+def value_slot(field: T.StructField, column: Column | None = None) -> tuple[str, Column]:
+    """Slot of a column, or of another expression of its type, and its value there; equal exactly when the values are equal.
 
     Grouping treats -0.0 and 0.0 as one number already.
     """
-    column, kind = F.col(f"`{field.name}`"), field.dataType
+    kind = field.dataType
+    column = F.col(f"`{field.name}`") if column is None else column
     if isinstance(kind, T.IntegralType):
         return "whole", column.cast("bigint")
     if isinstance(kind, T.TimestampType):
@@ -118,18 +126,26 @@ def _chosen(df: DataFrame, columns: Iterable[str] | None) -> list[tuple[int, T.S
 
 
 def value_histogram(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(ordinal, slots, n) for every distinct non-null value of every column.
+    """(ordinal, slots, digest, n) for every distinct non-null value of every column.
 
     NULLs are dropped before the exchange and equal values are counted on the map
-    side, so neither a sparse column nor a dominant value makes a hot task.
+    side, so neither a sparse column nor a dominant value makes a hot task.  The text slot
+    holds a long text's start only, and ``digest`` its SHA-256: no exchange holds whole texts.
     """
     entries = []
     for ordinal, field in _chosen(df, columns):
         filled, value = value_slot(field)
-        slots = [(value if s == filled else F.lit(None).cast(kind)).alias(s) for s, kind in SLOTS.items()]
-        entries.append(F.struct(F.lit(ordinal).alias("ordinal"), *slots))
+        is_long = F.char_length(value) > SHORT_TEXT if may_be_long(field) else F.lit(False)
+        held = F.when(is_long, F.substring(value, 1, SHORT_TEXT)).otherwise(value) if may_be_long(field) else value
+        slots = [(held if s == filled else F.lit(None).cast(kind)).alias(s) for s, kind in SLOTS.items()]
+        digest = F.when(is_long, F.unhex(F.sha2(value.cast("binary"), 256))) if may_be_long(field) else F.lit(None).cast("binary")
+        entries.append(F.struct(F.lit(ordinal).alias("ordinal"), *slots, digest.alias("digest")))
     values = df.select(F.inline(F.array(*entries))).where(" OR ".join(f"{s} IS NOT NULL" for s in SLOTS))
-    return values.groupBy("ordinal", *SLOTS).agg(F.count("*").alias("n"))
+    return values.groupBy("ordinal", *SLOTS, "digest").agg(F.count("*").alias("n"))
+
+
+def may_be_long(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.StringType, T.BinaryType, *NESTED))
 
 
 def _by_ordinal(df: DataFrame, columns: Iterable[str] | None, expression: Callable[[T.StructField], Column]) -> Column:
@@ -159,17 +175,71 @@ def approximate_distinct_values(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
+def _ranked(df: DataFrame, columns: Iterable[str] | None, k: int) -> DataFrame:
+    """The k most common values per column, ties by value; equally common long texts that start alike are in no order yet."""
+    order = [F.desc("n"), *[F.asc(slot) for slot in SLOTS], F.asc("digest")]
+    return top_rows(value_histogram(df, columns), ["ordinal"], order, k)
+
+
+def _smallest_texts(df: DataFrame, field: T.StructField, n: int, start: str, wanted: int) -> list[str]:
+    """The first ``wanted`` texts in order, among the long ones that begin with ``start`` and occur ``n`` times.
+
+    Digests are counted with a next piece of their text; whole texts are read for a bounded number of digests. Where
+    more than that share the piece, the next one is compared, several times as long.
+    """
+    rows = df.select(value_slot(field)[1].alias("t")).where((F.char_length("t") > SHORT_TEXT) & F.startswith("t", F.lit(start)))
+    digest, at_once, length, out = F.sha2(F.col("t").cast("binary"), 256), max(SETTLED_AT_ONCE, 2 * wanted), NEXT_CHARACTERS, []
+
+    def read(digests: list[str]) -> list[str]:
+        texts = rows.where(digest.isin(digests)).groupBy(digest.alias("digest")).agg(F.first("t").alias("t")) if digests else None
+        return sorted((r["t"] for r in texts.collect()), key=str.encode) if digests else []
+
+    while len(out) < wanted:
+        pieces = rows.groupBy(digest.alias("digest"), F.substring("t", len(start) + 1, length).alias("piece")).agg(F.count("*").alias("n"))
+        found = [(r["piece"].encode(), r["digest"]) for r in pieces.where(F.col("n") == n).orderBy("piece", "digest").limit(at_once).collect()]
+        edge = found[wanted - len(out) - 1][0]
+        if len(found) < at_once or found[-1][0] > edge:
+            return (out + read([d for piece, d in found if piece <= edge]))[:wanted]
+        out += read([d for piece, d in found if piece < edge])
+        start, length = start + edge.decode(), length * MORE
+        rows = rows.where(F.startswith("t", F.lit(start)))
+    return out
+
+
+def _settled(df: DataFrame, columns: Iterable[str] | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct counts and most common values as small tables: one job over the histogram, and few more for long texts shown."""
+    fields = dict(_chosen(df, columns))
+    shown = _by_ordinal(df, columns, shown_value)
+    # Every n is positive; asking for it keeps the histogram the same, so that both read one exchange.
+    counts = value_histogram(df, columns).groupBy("ordinal").agg(F.count_if(F.col("n") > 0).alias("n")).withColumn(ROW_RANK, F.lit(0))
+    parts = _ranked(df, columns, k).select("ordinal", "n", ROW_RANK, shown.alias("value"), F.col("text").alias("start"), F.col("digest").isNotNull().alias("is_long"))
+    distinct, top, unsettled = [], [], {}
+    for r in sorted(counts.unionByName(parts, allowMissingColumns=True).collect(), key=lambda r: (r["ordinal"], r[ROW_RANK])):
+        name = fields[r["ordinal"]].name
+        if r[ROW_RANK] == 0:
+            distinct.append((name, r["n"]))
+        else:
+            top.append([name, r[ROW_RANK], r["value"], r["n"]])
+            if r["is_long"]:
+                unsettled.setdefault((r["ordinal"], r["n"], r["start"]), []).append(top[-1])
+    for (ordinal, n, start), entries in unsettled.items():
+        for entry, text in zip(entries, _smallest_texts(df, fields[ordinal], n, start, len(entries)), strict=True):
+            entry[2] = text
+    create = df.sparkSession.createDataFrame
+    return create(distinct, "column_name string, distinct_count bigint"), create(top, "column_name string, value_rank int, value string, n bigint")
+
+
 def most_common_values(
     df: DataFrame, columns: Iterable[str] | None = None, k: int = SAMPLE_VALUES
 ) -> DataFrame:
     """(column_name, value_rank, value, n): the k most common values per column.
 
     Ties go to the smaller value.  Only k rows per column and task are shuffled,
-    and only what is left gets a text.
+    and only what is left gets a text.  Columns that may hold long texts run jobs at once.
     """
-    order = [F.desc("n"), *[F.asc(slot) for slot in SLOTS]]
-    ranked = top_rows(value_histogram(df, columns), ["ordinal"], order, k)
-    return ranked.select(
+    if any(may_be_long(f) for _, f in _chosen(df, columns)):
+        return _settled(df, columns, k)[1]
+    return _ranked(df, columns, k).select(
         _by_ordinal(df, columns, lambda f: F.lit(f.name)).alias("column_name"),
         F.col(ROW_RANK).alias("value_rank"),
         _by_ordinal(df, columns, shown_value).alias("value"),
@@ -182,8 +252,12 @@ def column_profile(
 ) -> DataFrame:
     """One row per column, as ``COLUMN_PROFILE`` describes."""
     basics = column_basics(df)
-    distinct = approximate_distinct_values(df) if approximate else distinct_values(df)
-    samples = most_common_values(df, k=k).groupBy("column_name").agg(
+    if any(map(may_be_long, df.schema)):
+        distinct, top = _settled(df, None, k)
+    else:
+        distinct, top = distinct_values(df), most_common_values(df, k=k)
+    distinct = approximate_distinct_values(df) if approximate else distinct
+    samples = top.groupBy("column_name").agg(
         # at most k entries per column
         F.transform(F.sort_array(F.collect_list(F.struct("value_rank", "value"))), lambda s: s["value"]).alias(
             "sample_values"
