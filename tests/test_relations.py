@@ -74,6 +74,37 @@ def test_both_is_not_a_closure_of_closures(spark):
     assert names(graph.both_directions(edges, seed(spark, "x"))) == {"up", "x", "down"}
 
 
+def test_selectors_share_one_traversal(spark, monkeypatch):
+    """Seventy directed selectors, more than a word has bits, on chains, a fork and a cycle: as many scans as the longest way has steps, and one more."""
+    chains = [(f"a{k}", f"a{k + 1}") for k in range(9)] + [("a4", "b0"), ("b0", "b1"), ("b1", "b0")] + [(f"c{k}", f"c{k + 1}") for k in range(3)]
+    edges = spark.createDataFrame(chains, "src string, dst string")
+    every = sorted({n for e in chains for n in e})
+    nodes = spark.createDataFrame([(n, f"d/{n}", ["x"] if n < "b" else []) for n in every], "name string, path string, tags array<string>")
+
+    def walk(start, up):
+        seen, todo = set(start), list(start)
+        while todo:
+            n = todo.pop()
+            for a, b in chains:
+                near, far = (b, a) if up else (a, b)
+                if near == n and far not in seen:
+                    seen.add(far)
+                    todo.append(far)
+        return seen
+
+    scans, advance = [], graph._advance
+    monkeypatch.setattr(graph, "_advance", lambda *args: scans.append(1) or advance(*args))
+    ups = [Selector(name="nowhere", with_upstream=True)] * 66 + [Selector(path="d/c1", with_upstream=True), Selector(name="b1", with_upstream=True)]
+    got = graph.select_nodes(nodes, edges, [*ups, Selector(name="a3", with_downstream=True)], [Selector(name="b0", with_downstream=True), Selector(tag="x"), Selector(name="c0")])
+    want = (walk({"c1"}, True) | walk({"b1"}, True) | walk({"a3"}, False)) - walk({"b0"}, False) - {n for n in every if n < "b"} - {"c0"}
+    assert {r["name"] for r in got.collect()} == want == {"c1"}
+    assert len(scans) == 7  # a3 is six steps from a9
+    scans.clear()
+    both = graph.select_nodes(nodes, edges, [Selector(tag="x", with_upstream=True, with_downstream=True), Selector(name="c3", with_upstream=True)], [Selector(name="a7", with_downstream=True)])
+    assert {r["name"] for r in both.collect()} == (walk({n for n in every if n < "b"}, False) | walk({"c3"}, True)) - walk({"a7"}, False)
+    assert len(scans) == 4
+
+
 def test_selection(spark):
     nodes = spark.createDataFrame(
         [("stg_a", "staging/stg_a.sql", ["raw"]), ("stg_b", "staging/stg_b.sql", []), ("fct_a", "marts/fct_a.sql", ["raw", "core"])],

@@ -145,11 +145,50 @@ def downstream(edges: DataFrame | EdgeCopy, seeds: DataFrame, max_depth: int | N
     return closure(edges, seeds, False, max_depth)
 
 
+# Seed sets that share a word of bits.
+SETS_PER_WORD = 63
+# Directions a set spreads in.
+DOWN, UP = 0, 1
+
+
+def _advance(steps: DataFrame, fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """One scan of the edges: bits that arrive at a node and are not known there."""
+    keys = ["way", "node", "word"]
+    arrived = steps.join(fresh, ["way", "node"]).select("way", F.col("_next").alias("node"), "word", F.col("bits").alias("_new"), F.lit(0).cast("bigint").alias("_old"))
+    held = known.select(*keys, F.lit(0).cast("bigint").alias("_new"), F.col("bits").alias("_old"))
+    met = arrived.unionByName(held).groupBy(*keys).agg(F.bit_or("_new").alias("_new"), F.bit_or("_old").alias("_old"))
+    return met.select(*keys, F.col("_new").bitwiseAND(F.bitwise_not("_old")).alias("bits")).where("bits <> 0")
+
+
+def reach(edges: DataFrame | EdgeCopy, seeds: DataFrame) -> DataFrame:
+    """(node, word, bits): which seed sets reach each node, from seeds (way, node, word, bits), way ``DOWN`` or ``UP``.
+
+    One breadth-first traversal for all sets and both ways: a node carries a bit per set, and only bits that are new
+    at a node go on, so an edge is passed once per round however many sets meet on it, and cycles end by themselves.
+    There are as many scans of the edges as the farthest node of any set is steps away, and one more.
+    """
+    pairs = EdgeCopy.of(edges).pairs
+    both = F.array(*(F.struct(F.lit(w).alias("way"), F.col(a).alias("node"), F.col(b).alias("_next")) for w, a, b in ((DOWN, "src", "dst"), (UP, "dst", "src"))))
+    steps = pairs.select(F.inline(both))
+    keys = ["way", "node", "word"]
+    fresh = cut_lineage(seeds.groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
+    levels = [fresh]
+    while True:
+        frontier, rows = broadcast_if_small(fresh, "node")
+        if rows == 0:
+            break
+        fresh = cut_lineage(_advance(steps, frontier, reduce(DataFrame.unionByName, levels)))
+        levels.append(fresh)
+        if len(levels) > LEVELS_PER_MERGE:
+            levels = [cut_lineage(reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.bit_or("bits").alias("bits")))]
+    return reduce(DataFrame.unionByName, levels).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+
+
 def both_directions(edges: DataFrame | EdgeCopy, seeds: DataFrame) -> DataFrame:
     """Upstream and downstream of the seeds; not the closure of either."""
-    edges = EdgeCopy.of(edges)
-    found = upstream(edges, seeds).select("node").unionByName(downstream(edges, seeds).select("node"))
-    return found.distinct()
+    each = F.explode(F.array(F.lit(DOWN), F.lit(UP))).alias("way")
+    marked = seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(0).alias("word"), F.lit(1).cast("bigint").alias("bits")).select("*", each)
+    return reach(edges, marked).select("node")
 
 
 def changed_and_downstream(edges: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -178,45 +217,67 @@ def _pattern(text: str) -> str:
     return text.replace("*", ".*")
 
 
-def matching_nodes(nodes: DataFrame, edges: DataFrame | EdgeCopy, s: Selector) -> DataFrame:
-    """Names of nodes (name, path, tags) the selector picks, with their upstream or downstream if it asks for them."""
+def _matches(s: Selector) -> Column:
+    """Whether a node (name, path, tags) meets the selector itself; false if that is unknown."""
     if s.tag is not None:
-        found = nodes.where(F.array_contains("tags", s.tag))
+        met = F.array_contains("tags", s.tag)
     elif s.path is not None:
-        found = nodes.where(F.col("path").rlike(_pattern(s.path)))
+        met = F.col("path").rlike(_pattern(s.path))
     elif "*" in s.name:
-        found = nodes.where(F.col("name").rlike(f"^{_pattern(s.name)}$"))
+        met = F.col("name").rlike(f"^{_pattern(s.name)}$")
     else:
-        found = nodes.where(F.col("name") == s.name)
-    found = found.select("name")
-    if not (s.with_upstream or s.with_downstream):
-        return found
-    if s.name is not None and "*" not in s.name:
-        # A name that is no node of the table may still have neighbours in it.
-        found = nodes.sparkSession.createDataFrame([(s.name,)], "name string")
-    seed = found.select(F.col("name").alias("node"))
-    if s.with_upstream and s.with_downstream:
-        reached = both_directions(edges, seed)
-    else:
-        reached = closure(edges, seed, s.with_upstream).select("node")
-    return reached.select(F.col("node").alias("name")).join(nodes.select("name"), "name", "left_semi")
+        met = F.col("name") == s.name
+    return F.coalesce(met, F.lit(False))
+
+
+def _seeds(nodes: DataFrame, selectors: Sequence[tuple[int, Selector]]) -> DataFrame:
+    """(way, node, word, bits) of all directed selectors, by one scan of the nodes."""
+    marks, named = [], []
+    for number, s in selectors:
+        word, bits = divmod(number, SETS_PER_WORD)
+        ways = [w for w, wanted in ((DOWN, s.with_downstream), (UP, s.with_upstream)) if wanted]
+        if s.name is not None and "*" not in s.name:
+            # A name that is no node of the table may still have neighbours in it.
+            named += [(w, s.name, word, 1 << bits) for w in ways]
+        else:
+            marks += [F.when(_matches(s), F.struct(F.lit(w).alias("way"), F.lit(word).alias("word"), F.lit(1 << bits).cast("bigint").alias("bits"))) for w in ways]
+    found = nodes.sparkSession.createDataFrame(named, "way int, node string, word int, bits bigint")
+    if marks:
+        found = found.unionByName(nodes.select(F.col("name").alias("node"), F.inline(F.array_compact(F.array(*marks)))))
+    return found.where(F.col("node").isNotNull())
+
+
+def matching_nodes(nodes: DataFrame, edges: DataFrame | EdgeCopy, s: Selector) -> DataFrame:
+    """Names of nodes the selector picks, with their upstream or downstream if it asks for them."""
+    return select_nodes(nodes, edges, [s]).select("name")
 
 
 def select_nodes(
-    nodes: DataFrame, edges: DataFrame, include: Sequence[Selector] = (), exclude: Sequence[Selector] = ()
+    nodes: DataFrame, edges: DataFrame | EdgeCopy, include: Sequence[Selector] = (), exclude: Sequence[Selector] = ()
 ) -> DataFrame:
     """Nodes that match any ``include`` (all nodes without one) and no ``exclude``.
 
-    All selectors share one copy of the edges, made if one of them follows any.
+    All selectors are tried in one scan of the nodes, and all that follow edges, in either direction,
+    share one traversal.
     """
-    if any(s.with_upstream or s.with_downstream for s in (*include, *exclude)):
-        edges = EdgeCopy.of(edges)
-
-    def union(selectors: Sequence[Selector]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [matching_nodes(nodes, edges, s) for s in selectors]).distinct()
-
-    if include:
-        nodes = nodes.join(union(include), "name", "left_semi")
-    if exclude:
-        nodes = nodes.join(union(exclude), "name", "left_anti")
-    return nodes
+    numbered = list(enumerate((*include, *exclude)))
+    plain = {i: _matches(s) for i, s in numbered if not (s.with_upstream or s.with_downstream)}
+    directed = [(i, s) for i, s in numbered if i not in plain]
+
+    def any_plain(wanted: range) -> Column:
+        return reduce(Column.__or__, [plain[i] for i in wanted if i in plain], F.lit(False))
+
+    parts = {"_in": range(len(include)), "_out": range(len(include), len(numbered))}
+    chosen = nodes
+    if directed:
+        words = range(len(numbered) // SETS_PER_WORD + 1)
+
+        def any_bit(wanted: range) -> Column:
+            masks = [sum(1 << i % SETS_PER_WORD for i, _ in directed if i in wanted and i // SETS_PER_WORD == w) for w in words]
+            mask = F.element_at(F.array(*(F.lit(m).cast("bigint") for m in masks)), F.col("word") + 1)
+            return F.max(F.col("bits").bitwiseAND(mask) != 0)
+
+        reached = reach(edges, _seeds(nodes, directed)).groupBy(F.col("node").alias("name")).agg(*[any_bit(r).alias(n) for n, r in parts.items()])
+        chosen = nodes.join(reached, "name", "left")
+    met = {n: any_plain(r) | (F.coalesce(n, F.lit(False)) if directed else F.lit(False)) for n, r in parts.items()}
+    return chosen.where((met["_in"] if include else F.lit(True)) & ~met["_out"]).select(*nodes.columns)
