@@ -8,9 +8,12 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
+from tidemark.operators import activity_state as state
 from tidemark.operators import aggregates as agg
+from tidemark.operators import incremental as inc
 from tidemark.operators.activity import Activity, activity_mart, activity_metrics
 from tidemark.operators.ranking import global_rank
+from tidemark.session import scratch_path
 
 NOW = dt.datetime(2024, 6, 1, 12)
 DDL = "actor bigint, ts timestamp_ntz, kind string, flag boolean, id bigint"
@@ -184,3 +187,33 @@ def test_distinct_counts_equal_plain_ones(spark):
     want = df.groupBy("k").agg(*[F.count_distinct(F.when(condition, F.col(n))).alias(n + c) for n in names for c, condition in conditions.items()], F.count_distinct("n").alias("plain"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
     assert "Expand" not in plan(got)
+
+
+def test_states_add_up_to_the_mart(spark, monkeypatch):
+    """Loads of any size, folded now and then, with late rows, ties, null actors, times and values, give the mart of all rows; nothing is read twice."""
+    monkeypatch.setattr(state, "MOST_FOLDERS", 2)
+    rng = random.Random(5)
+    def moment():
+        return None if rng.random() < 0.05 else NOW - dt.timedelta(days=rng.choice([0, 29, 30, 31, 89, 90, 91, 180, 365, 366, 400]), seconds=rng.choice([-1, 0, 1, 3600]))
+    data = [(rng.choice([1, 1, 1, 2, 3, None]), moment(), rng.choice(["a", "b", None]), rng.random() < 0.3, i, i // 40) for i in range(200)]
+    source = spark.createDataFrame(data, DDL + ", arrived int").repartition(4)
+    a, path, as_of = spec(), scratch_path(spark, "states"), F.lit(NOW).cast("timestamp_ntz")
+    for upto in (0, 2, 2, 3, 9):
+        state.load_activity(path, source.where(F.col("arrived") <= upto), a, "arrived")
+    assert inc.decode_mark(inc.manifest(spark, path)["mark"]) == 4 and len(inc.manifest(spark, path)["folders"]) <= 2
+    got = state.stored_activity_mart(spark, path, source, a, as_of)
+    want = activity_mart(source, a, as_of)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 3
+
+
+def test_a_load_of_states_that_dies_counts_nothing(spark, monkeypatch):
+    source, a, path = spark.createDataFrame([(1, NOW, "a", True, 1)], DDL), spec(), scratch_path(spark, "states")
+    with monkeypatch.context() as m:
+        m.setattr(state, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            state.load_activity(path, source, a, "id")
+    for _ in range(2):
+        state.load_activity(path, source, a, "id")
+    assert [r[f"total_{a.noun}"] for r in state.stored_activity_mart(spark, path, source, a, F.lit(NOW)).collect()] == [1]

@@ -184,7 +184,7 @@ def test_of_two_writers_one_publishes(spark, path):
     outcomes = []
     def publish(k):
         try:
-            inc._publish(spark, path, {**content, "marks": {"writer": ["plain", k]}})
+            inc.publish(spark, path, {**content, "marks": {"writer": ["plain", k]}})
             outcomes.append(k)
         except RuntimeError:
             pass
@@ -272,7 +272,7 @@ def test_the_mark_is_kept_and_survives_compaction(spark, path):
     assert inc.manifest(spark, path)["marks"] == {"ingest": ["plain", 104]}
     at = spark.createDataFrame([(1, datetime(2024, 1, 2, 3, 4, 5, 6))], "key int, at timestamp_ntz")
     inc.load_increment(path + "-t", at, "key", "at", [F.desc("at")])
-    assert inc._decode(inc.manifest(spark, path + "-t")["marks"]["at"]) == datetime(2024, 1, 2, 3, 4, 5, 6)
+    assert inc.decode_mark(inc.manifest(spark, path + "-t")["marks"]["at"]) == datetime(2024, 1, 2, 3, 4, 5, 6)
 
 
 def test_readers_keep_their_version(spark, path):
@@ -295,7 +295,7 @@ def test_newer_only(spark):
 def test_a_load_that_dies_changes_nothing(spark, path, monkeypatch, refresh):
     load(spark, path, FIRST, "ingest")
     with monkeypatch.context() as m:
-        m.setattr(inc, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        m.setattr(inc, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
         with pytest.raises(RuntimeError):
             inc.upsert(path, table(spark, [(2, 50, 200)]), "key", full_refresh=refresh)
     assert sorted(rows(inc.read_target(spark, path))) == FIRST
@@ -306,7 +306,7 @@ def test_a_load_that_dies_changes_nothing(spark, path, monkeypatch, refresh):
 def test_a_second_writer_is_refused(spark, path):
     inc.upsert(path, table(spark, FIRST), "key")
     with pytest.raises(RuntimeError, match="another writer"):
-        inc._publish(spark, path, inc.manifest(spark, path))
+        inc.publish(spark, path, inc.manifest(spark, path))
 
 
 def test_composite_key(spark, path):

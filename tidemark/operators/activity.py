@@ -86,12 +86,19 @@ def _row_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
         *_as({"first_at": "min(_at)", "last_at": "max(_at)"}),
     )
 
+    return with_busiest(per_actor)
+
+
+def with_busiest(per_actor: DataFrame) -> DataFrame:
+    """Most active hour and weekday from the sums of all of them, which are dropped."""
+
     def busiest(slots: Iterable[str], first: int) -> Column:
         # Rows without a time are a slot of their own, in front of all others.
         counts = F.array("_undated", *slots)
         place = F.array_position(counts, F.array_max(counts))
         return F.when(place > 1, (place - 2 + first).cast("bigint"))
 
+    hours, days = [f"_h{h}" for h in range(24)], [f"_d{d}" for d in range(1, 8)]
     return per_actor.withColumns(
         {"most_active_hour": busiest(hours, 0), "most_active_day_of_week": busiest(days, 1)}
     ).drop("_undated", *hours, *days)
@@ -125,12 +132,10 @@ def _day_measures(df: DataFrame, a: Activity, as_of: Column) -> DataFrame:
     )
 
 
-def _value_measures(df: DataFrame, a: Activity) -> DataFrame:
-    """Distinct counts and modes, from one scan in long form.
+def value_counts(df: DataFrame, a: Activity) -> DataFrame:
+    """(_actor, measure, slots, _n): rows per actor, measure and value, from one scan in long form.
 
-    One row per (actor, measure, value) after the first aggregate, which spreads a
-    hot actor by its values.  Values are held in the slot of their type: 0.0 and -0.0 are
-    one value, ties of numbers go to the smaller number, and a mode keeps its type.
+    Values are held in the slot of their type: 0.0 and -0.0 are one value.
     """
     wanted = {**a.distincts, **a.modes}
     place = {name: i for i, name in enumerate(wanted)}
@@ -145,7 +150,23 @@ def _value_measures(df: DataFrame, a: Activity) -> DataFrame:
         return F.struct(F.lit(place[name]).alias("measure"), *values)
 
     pairs = rows.select("_actor", F.inline(F.array(*map(entry, wanted)))).where(" OR ".join(f"{s} IS NOT NULL" for s in used))
-    counted = pairs.groupBy("_actor", "measure", *used).agg(F.count("*").alias("_n"))
+    return pairs.groupBy("_actor", "measure", *used).agg(F.count("*").alias("_n"))
+
+
+def _value_measures(df: DataFrame, a: Activity) -> DataFrame:
+    """Distinct counts and modes: one row per (actor, measure, value) after the first aggregate spreads a hot actor by its values."""
+    return value_summary(value_counts(df, a), df, a)
+
+
+def value_summary(counted: DataFrame, like: DataFrame, a: Activity) -> DataFrame:
+    """Distinct counts and modes per actor from counted values; ``like`` has the columns that the measures are made of.
+
+    Ties of numbers go to the smaller number, and a mode keeps its type.
+    """
+    wanted = {**a.distincts, **a.modes}
+    place = {name: i for i, name in enumerate(wanted)}
+    fields = {name: like.select(c.alias("v")).schema["v"] for name, c in wanted.items()}
+    slot = {name: value_slot(f)[0] for name, f in fields.items()}
     measures = [F.count_if(F.col("measure") == place[name]).alias(name) for name in a.distincts]
     for name in a.modes:
         candidate = F.struct((-F.col("_n")).alias("less"), F.col(slot[name]).alias("value"))
@@ -177,7 +198,11 @@ def activity_metrics(df: DataFrame, a: Activity, as_of: Column | None = None) ->
         mart = mart.join(_value_measures(df, a), a.actor, "left").fillna(0, subset=list(a.distincts))
     if a.latest:
         mart = mart.join(_latest_profile(df, a), a.actor, "left")
+    return with_derived(mart, a, as_of)
+
 
+def with_derived(mart: DataFrame, a: Activity, as_of: Column) -> DataFrame:
+    """Spans, tiers, ratios and percentages from the measures beside them."""
     total = F.col(f"total_{a.noun}")
     tiers = [(F.col(f"{a.noun}_last_{n}_days") > 0, name) for n, name in ACTIVITY_TIERS]
     span = whole_days(F.col("first_at"), F.col("last_at"))
@@ -202,7 +227,11 @@ def activity_mart(
     The metrics are materialised once, since the ranks need the number of actors
     to size their sort.
     """
-    metrics = cut_lineage(activity_metrics(df, a, as_of))
+    return with_ranks(cut_lineage(activity_metrics(df, a, as_of)), a, rows_per_range)
+
+
+def with_ranks(metrics: DataFrame, a: Activity, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Stored metrics with both global ranks."""
     actors = metrics.count()
     recent = f"{a.noun}_last_90_days"
     ranked = global_rank(

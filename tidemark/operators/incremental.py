@@ -114,7 +114,7 @@ def _age(status) -> timedelta:
     return datetime.now() - datetime.fromtimestamp(status.getModificationTime() / 1000)
 
 
-def _next_version(spark: SparkSession, path: str, before: dict | None) -> int:
+def next_version(spark: SparkSession, path: str, before: dict | None) -> int:
     """The version after the newest; a fresh one that cannot be read yet belongs to a writer at work."""
     versions = _manifests(spark, path)
     newest = versions[-1] if versions else 0
@@ -125,7 +125,7 @@ def _next_version(spark: SparkSession, path: str, before: dict | None) -> int:
     return newest + 1
 
 
-def _publish(spark: SparkSession, path: str, content: dict) -> None:
+def publish(spark: SparkSession, path: str, content: dict) -> None:
     """One manifest, created only if no other writer has created that version; half a text is no manifest."""
     fs, final = storage_path(spark, _manifest_path(path, content["version"]))
     # Stores create a file without overwriting in one step; a local disk only by a call of its own.
@@ -261,14 +261,16 @@ def conform(batch: DataFrame, schema: T.StructType) -> DataFrame:
     return batch.select(*(stored(f) for f in schema))
 
 
-def _encode(value) -> list | None:
-    """A mark for the manifest; its kind tells how to read it."""
+def encode_mark(value, kind: T.DataType | None = None) -> list | None:
+    """A mark for the manifest; its kind tells how to read it. An instant is kept as such, whatever the driver's zone."""
+    if value is not None and isinstance(kind, T.TimestampType):
+        value = value.astimezone(timezone.utc)
     if value is None:
         return None
     return ["datetime", value.isoformat()] if isinstance(value, datetime) else ["date", value.isoformat()] if isinstance(value, date) else ["plain", value]
 
 
-def _decode(mark: list | None):
+def decode_mark(mark: list | None):
     if mark is None:
         return None
     kind, value = mark
@@ -285,8 +287,8 @@ def _marks(added: DataFrame, columns: Sequence[str], before: dict) -> dict:
         new = found[c]
         if new is not None and isinstance(schema[c].dataType, T.TimestampType):
             new = new.astimezone(timezone.utc)  # an instant, whatever the driver's zone
-        values = [v for v in (new, _decode(before.get(c))) if v is not None]
-        out[c] = _encode(max(values)) if values else None
+        values = [v for v in (new, decode_mark(before.get(c))) if v is not None]
+        out[c] = encode_mark(max(values)) if values else None
     return out
 
 
@@ -400,7 +402,7 @@ def upsert(
     spark = batch.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
     before = manifest(spark, path)
-    version = _next_version(spark, path, before)
+    version = next_version(spark, path, before)
     if before is not None and not full_refresh:
         if before["keys"] != keys or before["newer_by"] != newer_by:
             raise ValueError(f"the table is keyed by {before['keys']} and newer by {before['newer_by']}")
@@ -431,7 +433,7 @@ def upsert(
             return
         content = {**before, "version": version, "deltas": [*before["deltas"], delta]}
         content["marks"] = _marks(spark.read.schema(_schema(before)).parquet(f"{path}/{delta['name']}"), marks, before["marks"])
-    _publish(spark, path, content)
+    publish(spark, path, content)
     grown = sum(n for d in content["deltas"] for n in d["rows"].values())
     if len(content["deltas"]) > MOST_DELTAS or grown > DELTA_PART * sum(r["rows"] for r in content["ranges"]):
         compact(spark, path)
@@ -454,7 +456,7 @@ def compact(spark: SparkSession, path: str) -> None:
     merged = merge_rows(held[0], newest.select(*held[0].columns), content["keys"], content["newer_by"])
     sizes = {k: content["ranges"][k]["rows"] + sum(d["rows"].get(str(k), 0) for d in content["deltas"]) for k in fell}
     after = _write_base(spark, path, content, merged, sizes)
-    _publish(spark, path, {**after, "version": _next_version(spark, path, content), "deltas": []})
+    publish(spark, path, {**after, "version": next_version(spark, path, content), "deltas": []})
     vacuum(spark, path)
 
 
@@ -467,7 +469,7 @@ def loaded_mark(spark: SparkSession, path: str, column: str):
     if content is None:
         return None
     if column in content["marks"]:
-        return _decode(content["marks"][column])
+        return decode_mark(content["marks"][column])
     return high_water(_folded(spark, path, content), column)
 
 
