@@ -31,6 +31,7 @@ from tidemark.sources.catalog import describe
 from tidemark.sources.readers import query as sql_query
 from tidemark.sources.readers import read_json_lines, read_texts
 from tidemark.sources.sinks import publish_view, write_landing, write_table
+from tidemark.streaming.state import newest_changes, read_stream, upsert_changes, window_counts
 from tidemark.streaming.upsert import stream_upsert
 
 CUT = "2024-01-15 00:00:00"
@@ -162,6 +163,37 @@ def _stream_upsert(t: Tables) -> DataFrame:
     return read_target(t.spark, target).select("user_id", "event_type", "event_id", "ts", "value")
 
 
+def _landed(t: Tables, *parts: Column) -> str:
+    """Events landed part by part, so that files of a later part have later names and times."""
+    landing = scratch_path(t.spark, "landing")
+    for part in parts:
+        t.events.where(part).coalesce(2).write.mode("append").parquet(landing)
+    return landing
+
+
+@query("stream_newest", SQL["stream_upsert"])
+def _stream_newest(t: Tables) -> DataFrame:
+    """State per key over micro-batches, newest events first: what arrives late changes nothing, and the end is that of a batch."""
+    landing, target, events = _landed(t, F.col("ts") > cut(), F.col("ts") <= cut()), scratch_path(t.spark, "newest"), t.events
+    keys = ["user_id", "event_type"]
+    changes = newest_changes(read_stream(t.spark, landing, events.schema, files_per_batch=2), keys, ["ts", "event_id"])
+    upsert_changes(changes, target, keys, scratch_path(t.spark, "offsets")).awaitTermination()
+    return read_target(t.spark, target).select("user_id", "event_type", "event_id", "ts", "value")
+
+
+@query(
+    "stream_window_counts",
+    "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+)
+def _stream_window_counts(t: Tables) -> DataFrame:
+    """Events per day and type; errors arrive in a later micro-batch, but before the watermark gives their days up."""
+    error = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    landing, target = _landed(t, (F.col("ts") <= cut()) & ~error, (F.col("ts") <= cut()) & error, F.col("ts") > cut()), scratch_path(t.spark, "windows")
+    counts = window_counts(read_stream(t.spark, landing, t.events.schema, files_per_batch=2), "ts", "1 day", "40 days", ["event_type"])
+    upsert_changes(counts, target, ["window_start", "event_type"], scratch_path(t.spark, "offsets")).awaitTermination()
+    return read_target(t.spark, target).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query(
     "landing_round_trip",
     "SELECT conv_id, turn, role, text FROM conversations",
