@@ -25,11 +25,12 @@ from tidemark.operators.incremental import (
 )
 from tidemark.operators.dedupe import latest_rows
 from tidemark.operators.quality import run_checks
+from tidemark.operators.snapshot import snapshot_changes, write_snapshot
 from tidemark.plans import show_catalog
 from tidemark.session import scratch_path
 from tidemark.sources.catalog import describe
 from tidemark.sources.readers import query as sql_query
-from tidemark.sources.readers import read_json_lines, read_texts
+from tidemark.sources.readers import read_json_lines, read_texts, sample_n
 from tidemark.sources.sinks import publish_view, write_landing, write_table
 from tidemark.streaming.state import newest_changes, read_stream, upsert_changes, window_counts
 from tidemark.streaming.upsert import stream_upsert
@@ -375,3 +376,38 @@ def _catalog_check_report(t: Tables) -> DataFrame:
         "character_status": show_catalog.character_status(people),
     }
     return run_checks(tables, show_catalog.catalog_checks())
+
+
+_DRAWN = "md5('7|=' || l_orderkey || '|=' || l_linenumber)"
+
+
+@query("sample_rows_n", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY {_DRAWN} LIMIT 1000")
+def _sample_rows_n(t: Tables) -> DataFrame:
+    """Exactly a thousand rows, the same in any partitioning."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition(13)
+    return sample_n(rows, 1000, ["l_orderkey", "l_linenumber"], seed=7)
+
+
+@query(
+    "sample_per_stratum",
+    f"""SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (
+    PARTITION BY l_returnflag, l_linestatus ORDER BY {_DRAWN}) AS rn FROM lineitem) WHERE rn <= 50""",
+)
+def _sample_per_stratum(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber")
+    return sample_n(rows, 50, ["l_orderkey", "l_linenumber"], seed=7, by=["l_returnflag", "l_linestatus"])
+
+
+@query(
+    "snapshot_changes",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 1 THEN 'added' WHEN o_orderkey % 991 = 2 THEN 'removed' ELSE 'changed' END AS change
+    FROM orders WHERE (o_orderkey % 997 = 1) <> (o_orderkey % 991 = 2)
+      OR (o_orderkey % 997 <> 1 AND o_orderkey % 991 <> 2 AND o_orderkey % 983 = 3)""",
+)
+def _snapshot_changes(t: Tables) -> DataFrame:
+    """Two states of orders that differ in few rows: one added, one removed and one changed in about a thousand."""
+    old, new, orders = scratch_path(t.spark, "snapshot"), scratch_path(t.spark, "snapshot"), t.orders
+    write_snapshot(orders.where("o_orderkey % 997 <> 1"), old, ["o_orderkey"], range_bits=6)
+    status = F.when(F.col("o_orderkey") % 983 == 3, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    write_snapshot(orders.where("o_orderkey % 991 <> 2").withColumn("o_orderstatus", status), new, ["o_orderkey"], range_bits=6)
+    return snapshot_changes(t.spark, old, new)

@@ -12,6 +12,7 @@ from tidemark.operators import profile as pr
 from tidemark.operators.joins import column_lookup, orphan_keys
 from tidemark.operators.quality import NotNull, Relationship, Unique, null_rows, repeated_values, run_checks
 from tidemark.operators.ranking import global_rank, top_k
+from tidemark.plans.profile_sync import sync_profiles
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import catalog
 from tidemark.sources.sinks import render_profiles
@@ -490,3 +491,45 @@ def _documents_profile(t: Tables) -> DataFrame:
 def _pages_top_texts(t: Tables) -> DataFrame:
     """Pages all differ and start alike: the order of equally common long texts is settled piece by piece."""
     return pr.most_common_values(t.pages, ["url", "html"])
+
+
+@query(
+    "profile_footers",
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, min({c}) AS low, max({c}) AS high FROM {table}"
+        for table, columns in _KINDS.items() for c, kind in columns.items() if kind in ("bigint", "int")
+    ),
+)
+def _profile_footers(t: Tables) -> DataFrame:
+    """Rows, nulls and ends of whole numbers, as the files' statistics give them."""
+    parts = [pr.stored_basics(t.spark, t.path(table)).withColumn("table_name", F.lit(table)) for table in _KINDS]
+    whole = F.col("data_type").isin("bigint", "int")
+    ends = [F.col(f"{end}_value").try_cast("bigint").alias(name) for end, name in (("min", "low"), ("max", "high"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(whole).select("table_name", "column_name", "row_count", "null_count", *ends)
+
+
+_SYNCED = {"customer": (False, True, False), "nation": (False, False, True), "orders": (True, True, False), "supplier": (True, True, True)}
+
+
+@query(
+    "profile_sync",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS table_name, {n == "supplier"} AS is_new, {s} AS schema_changed, {d} AS documentation_changed, {code} AS logic_changed, 'successful' AS status,
+        count(*) AS row_count, TRUE AS has_page, TIMESTAMP '2024-04-01 00:00:00' AS last_profiled_at FROM {n}"""
+        for n, (s, d, code) in _SYNCED.items()
+    )
+    + """ UNION ALL SELECT 'part', FALSE, FALSE, FALSE, FALSE, NULL, count(*), TRUE, TIMESTAMP '2024-03-01 00:00:00' FROM part""",
+)
+def _profile_sync(t: Tables) -> DataFrame:
+    """Two runs: a column, a comment, a code text and a table are new in the second, which reads and rewrites only these four tables."""
+    store, out = scratch_path(t.spark, "store"), scratch_path(t.spark, "profiles")
+    logic = t.region.limit(1).select(F.lit("nation").alias("table_name"), F.lit("SELECT 1").alias("text"))
+    before = {"orders": lambda: t.orders.drop("o_orderpriority"), "customer": lambda: t.customer, "nation": lambda: t.nation, "part": lambda: t.part}
+    after = {**before, "orders": lambda: t.orders, "customer": lambda: catalog.describe(t.customer, {"c_name": "a name"}), "supplier": lambda: t.supplier}
+    sync_profiles(t.spark, before, store, out, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+    changes = sync_profiles(t.spark, after, store, out, F.lit("2024-04-01 00:00:00").cast("timestamp_ntz"), logic)
+    rows = t.spark.read.parquet(f"{out}/profiles").groupBy(F.col("table").alias("table_name")).agg(F.max("row_count").alias("row_count"))
+    pages = t.spark.read.text(f"{out}/pages", wholetext=True).select("table_name", F.col("value").startswith("# public.").alias("has_page"))
+    stored = fp.stored_fingerprints(t.spark, store).select("table_name", "last_profiled_at")
+    flags = changes.select("table_name", "is_new", "schema_changed", "documentation_changed", "logic_changed", "status")
+    return flags.join(rows, "table_name").join(pages, "table_name").join(stored, "table_name")

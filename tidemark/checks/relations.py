@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.checks.registry import Tables, query
 from tidemark.operators import graph
 from tidemark.operators.graph import Selector
-from tidemark.operators.joins import include_exclude, lookup_by_any_name, resolve_edges, spread_join
+from tidemark.operators.joins import hot_keys, include_exclude, lookup_by_any_name, resolve_edges, spread_join
 from tidemark.operators.usage import price_table, run_errors, run_summary, usage_cost
 
 
@@ -266,6 +266,19 @@ def _left_dimension_join(t: Tables) -> DataFrame:
     return spread_join(t.orders.select("o_orderkey", "o_custkey"), dimension, "o_custkey")
 
 
+@query(
+    "skewed_join",
+    """SELECT doc_id, l_orderkey, l_linenumber, c_name FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_partkey END AS doc_id FROM lineitem)
+    LEFT JOIN (SELECT c_custkey, c_name FROM customer) ON c_custkey = doc_id""",
+)
+def _skewed_join(t: Tables) -> DataFrame:
+    """A quarter of all rows and more on one key, which the sketch finds and the join spreads."""
+    key = F.when(F.col("l_linenumber") == 1, F.lit(1).cast("bigint")).otherwise(F.col("l_partkey"))
+    rows = t.lineitem.select(key.alias("doc_id"), "l_orderkey", "l_linenumber")
+    limit = rows.count() // 10
+    return spread_join(rows, t.customer.select(F.col("c_custkey").alias("doc_id"), "c_name"), "doc_id", hot=hot_keys(rows, "doc_id", limit))
+
+
 _MODEL = """CASE role WHEN 'user' THEN 'claude-3-5-sonnet-20241022' WHEN 'assistant' THEN 'gpt-4o-mini' ELSE 'unknown-model' END"""
 
 

@@ -7,30 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import top_k
-
 
 # At most this many keys are treated as hot: the largest ones.
 HOT_KEYS = 1000
-# How much of a table is looked at to find its hot keys.
-HOT_SAMPLE = 0.01
-# A key with fewer sampled rows needs no care.
-HOT_ROWS = 100_000
+# A key with fewer rows needs no care.
+HOT_ROWS = 10_000_000
+# Keys that a task's sketch keeps: counts are off by four rows in this many at most.
+HOT_TRACKED = 65_536
 # Pieces a hot key is split into.
 SALTS = 64
 
 _SALT = "_salt"
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold a large share of the rows, judged by a sample; runs a job.
+def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
+    """Keys that hold more than ``rows`` rows, by default ``HOT_ROWS``; runs a job over the key column alone.
 
+    Each task counts frequent keys in a sketch of bounded size, and sketches are merged: no row is
+    shuffled, and no such key is missed while ``rows`` exceeds a sketch's error.
     The list only routes rows in ``spread_join``; no result depends on it.
     """
-    sampled = df.where(F.col(key).isNotNull()).select(key).sample(HOT_SAMPLE, seed=1)
-    counts = sampled.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
-    large = top_k(counts, [F.desc("n"), F.asc(key)], HOT_KEYS)
-    return [row[0] for row in large.collect()]
+    sketch = F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {HOT_TRACKED})")
+    found = df.where(F.col(key).isNotNull()).agg(sketch.alias("top")).first()["top"]
+    return [item["item"] for item in found or [] if item["count"] > (HOT_ROWS if rows is None else rows)]
 
 
 def spread_join(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.dedupe import ROW_RANK, top_rows
+
 # A landed record is one JSON payload and six extraction columns.
 EXTRACTION_COLUMNS = [
     "_sdc_extracted_at", "_sdc_received_at", "_sdc_batched_at",
@@ -88,3 +90,22 @@ def query(spark: SparkSession, text: str, *values: object, **named: object) -> D
 def sample_rows(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """An explicit sample; nothing in this package samples by itself."""
     return df.sample(fraction=fraction, seed=seed)
+
+
+def draw(key: Sequence[str], seed: int = 0) -> Column:
+    """A row's lot: a digest of its key and the seed, the same on every run and in any partitioning."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in key]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+
+
+def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """An explicit sample of exactly ``n`` rows, or of ``n`` per value of ``by``; all of them where there are fewer.
+
+    The rows of the least lots are taken, so every subset of ``n`` keys is as likely, a larger sample holds
+    a smaller one, and each task forwards ``n`` rows (per value) at most. ``key`` should tell rows apart: rows
+    that share it are drawn together, by a hash of the row.
+    """
+    order = [draw(key, seed), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    if not by:
+        return df.orderBy(*order).limit(n)
+    return top_rows(df, list(by), order, n).drop(ROW_RANK)

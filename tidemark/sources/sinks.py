@@ -116,6 +116,7 @@ def render_profiles(
     return pages.select(F.lit(schema).alias("schema_name"), "table_name", page.alias("document"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder per schema and table, one text file in each."""
-    documents.write.mode("overwrite").partitionBy("schema_name", "table_name").text(path)
+def write_documents(documents: DataFrame, path: str, keep_others: bool = False) -> None:
+    """One folder per schema and table, one text file in each; ``keep_others`` leaves tables that are not named as they are."""
+    mode = "dynamic" if keep_others else "static"
+    documents.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("schema_name", "table_name").text(path)
