@@ -216,15 +216,20 @@ def removed_runs(spans, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def text_key(raw: Column) -> Column:
+    """128 bits of the SHA-256 of a text: its identity."""
+    return F.substring(F.unhex(F.sha2(raw, 256)), 1, 16)
+
+
 def repeat_starts(docs: DataFrame, text: Column, length: int, scratch: Scratch) -> DataFrame:
-    """``(key, spans)``: by MD5 of the text, the runs ``(start, n)`` of starts whose string also starts elsewhere.
+    """``(key, spans)``: by key of the text, the runs ``(start, n)`` of starts whose string also starts elsewhere.
 
     Equal texts share a key and a row. Texts without such a start are absent. Counts are combined before each shuffle,
     so a passage found in any part of all documents is one row per task; lists are bounded by their own text.
     """
     raw = text.cast("binary")
     # Texts shorter than one string hold no start and match nothing.
-    bytes_ = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
+    bytes_ = docs.where(F.octet_length(text) >= length).select(text_key(raw).alias("key"), raw.alias("text"))
     grams = scratch.table(bytes_.mapInPandas(_grams(length), "key binary, gram bigint"), "grams")
     # Written, so that the join that follows has a plain shuffle on either side and its hot keys can be split.
     often = scratch.table(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
@@ -259,7 +264,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     found = scratch.table(repeat_starts(docs, text, length, scratch), "spans")
     scratch.drop("grams", "often", "blocks", "kinds", "strings", "twice")
     runs = found.mapInPandas(_runs(length), "_key binary, _runs array<struct<start: bigint, end: bigint>>")
-    keyed = docs.withColumn("_key", F.when(F.octet_length(text) >= length, F.unhex(F.md5(text.cast("binary")))))
+    keyed = docs.withColumn("_key", F.when(F.octet_length(text) >= length, text_key(text.cast("binary"))))
     long, short = keyed.where("_key IS NOT NULL"), keyed.where("_key IS NULL")
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     return long.join(runs, "_key", "left").withColumn("_runs", F.coalesce("_runs", none)).drop("_key").unionByName(short.drop("_key").withColumn("_runs", none))
@@ -283,19 +288,23 @@ def kept_bytes(raw: bytes, runs) -> bytes:
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; see drop_repeats."""
+    """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept_text``; see drop_repeats.
+
+    The digest is that of the kept bytes; in the text, a character that was cut in two is left out.
+    """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), whole(f"`{text_col}`").alias("text"))
     marked = drop_repeats(source, "text", length)
     touched = F.size("_runs") > 0
     # Texts that lose nothing stay in the JVM.
-    clean = marked.where(~touched).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    clean = marked.where(~touched).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
 
     def digest(texts, runs):
-        return [[hashlib.sha256(kept_bytes(t, r)).hexdigest() for t, r in zip(texts, runs)]]
+        kept = [kept_bytes(t, r) for t, r in zip(texts, runs)]
+        return [[hashlib.sha256(k).hexdigest() for k in kept], [k.decode("utf-8", "ignore") for k in kept]]
 
     lost = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     cut = marked.where(touched).select(
         "id", F.octet_length("text").cast("long").alias("n_bytes"), lost.alias("n_removed"), F.size("_runs").cast("long").alias("n_spans"), F.col("text").cast("binary").alias("text"), "_runs"
     )
-    done = computed(cut, ["text", "_runs"], "kept_sha256 string", digest)
+    done = computed(cut, ["text", "_runs"], "kept_sha256 string, kept_text string", digest)
     return clean.unionByName(done).withColumnRenamed("id", id_col)
