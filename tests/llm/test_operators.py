@@ -266,6 +266,22 @@ def test_pareto_inclusion_follows_the_preference(spark):
     assert long > short and long / short == pytest.approx(2.5 / 1.3, rel=0.25)
 
 
+@pytest.mark.parametrize("ids", [1, 0])
+def test_pareto_mix_of_repeated_rows(spark, monkeypatch, ids):
+    """Thousands of equal rows, with an id or a null one: each has its own draw, and the source comes within a document of its target."""
+    monkeypatch.setattr(pareto_mix, "COPIES_AT_ONCE", 300)
+    same = "a text of five words"
+    rows = [(7 if ids else None, same, "a")] * 1000 + [(k, same, "b") for k in range(1000)] + [(3, "two words", "b")] * 500 + [(None, None, "c")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = [pareto_mix.mix_sources(df, weights=(1, 3, 1), most=2).collect() for _ in range(2)]
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1])) and len(got[0]) == len(rows)
+    for source, largest in (("a", 5), ("b", 5)):
+        mine = [r for r in got[0] if r["source"] == source]
+        assert abs(sum(r["_size"] * r["_copies"] for r in mine) - mine[0]["_target"]) <= largest
+        assert 0 <= min(r["_copies"] for r in mine) <= max(r["_copies"] for r in mine) <= 2
+    assert len({r["_copies"] for r in got[0] if r["source"] == "a"}) == 2
+
+
 def test_pareto_mix_odd(spark, odd, nothing):
     got = pareto_mix.mix_sources(odd).collect()
     assert len(got) == odd.count() and all(r["id"] == "clash" for r in got)
@@ -404,7 +420,7 @@ def slow_repeats(rows, length):
     for (i, raw), gone in zip(raws, marked):
         kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
         spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
-        out[i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()] += 1
+        out[i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")] += 1
     return out
 
 
@@ -669,6 +685,14 @@ def test_shards_part_a_hot_group(spark):
     assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 8 and min(sizes.values()) > 0.97 * sum(sizes.values()) / 8
 
 
+def test_shards_part_repeated_rows(spark):
+    """Equal rows, and copies under a null id, beside others: sizes stay near equal and slots gapless."""
+    rows = [(1, "the same row " * 8)] * 2000 + [(None, "no id " * 20)] * 1500 + [(5000 + k, f"text {k} " * (k % 9)) for k in range(1500)]
+    sizes, _ = check_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24)
+    mean = sum(sizes.values()) / 24
+    assert len(sizes) == 24 and max(abs(s - mean) for s in sizes.values()) <= 0.03 * mean + 130
+
+
 def test_shards_odd(spark, odd, nothing):
     check_shards(odd)
     assert kd_shards.shard_documents(nothing).count() == 0

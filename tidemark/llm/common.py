@@ -7,7 +7,7 @@ import os
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -75,6 +75,27 @@ class Scratch:
         fs.delete(hadoop_path, True)
 
 
+#: Copies of a row that one task numbers or lists at a time.
+COPIES_AT_ONCE = 1 << 16
+
+
+def numbered_copies(copies: DataFrame, keys: list[str], part: str, name: str) -> DataFrame:
+    """Rows of equal ``keys`` numbered from 0, as ``name``; ``part`` is the task that wrote a row to a table.
+
+    A group is numbered part by part, and parts by how many rows of the group precede them: no task gets more of a
+    group than one part holds.
+    """
+    sizes = copies.groupBy(*keys, part).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(part)) - F.col("_n")
+    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(part).alias("_p"), before.alias("_before"))
+    same = copies[part] == offsets["_p"]
+    for i, k in enumerate(keys):
+        same &= copies[k].eqNullSafe(offsets[f"_k{i}"])
+    local = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.lit(1))) - 1
+    ranked = copies.withColumn("_local", local)
+    return ranked.join(offsets, same).withColumn(name, F.col("_before") + F.col("_local")).drop("_local", "_before", "_p", *(f"_k{i}" for i in range(len(keys))))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of links ``(a, b)``: ``(node, root)``, root the smallest node reached.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, whole
+from tidemark.llm.common import Scratch, numbered_copies, whole
 
 SHARDS = 24
 BINS = 1024
@@ -69,9 +69,26 @@ def _points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(1 - F.char_length(F.replace("text", F.lit(" "), F.lit(""))) / F.expr("nullif(chars, 0)"), F.lit(0.0)).alias("x2"),
         unit(F.xxhash64("text")).alias("tie0"),
         unit(F.xxhash64("id", F.lit(7))).alias("tie1"),
+        F.lit(0).cast("long").alias("copy"),
+        F.spark_partition_id().alias("part"),
     )
 
 
+def _parted(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """Points whose rows can all be told apart: equal rows are numbered, and the number counts in their last tie."""
+    same = ["id", "crc", "tie0", "size"]
+    copied = scratch.table(points.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"c_{c}") for c in same]), "copied")
+    if copied.isEmpty():
+        return points
+    meets = points["id"].eqNullSafe(copied["c_id"])
+    for c in same[1:]:
+        meets &= points[c] == copied[f"c_{c}"]
+    numbered = numbered_copies(points.join(copied, meets, "left_semi").drop("copy"), same, "part", "copy")
+    tie = F.shiftrightunsigned(F.xxhash64("id", F.lit(7), "copy"), 11).cast("double") / float(1 << 53)
+    singles = points.join(copied, meets, "left_anti")
+    return scratch.replace(singles.unionByName(numbered.withColumn("tie1", tie).select(*points.columns)), "points")
+
+
 def _splits(points: DataFrame, shards: int) -> Node:
     """The tree, a level at a time: all open nodes share each pass over the points.
 
@@ -151,13 +168,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     a cut falls into a group that outweighs ``SLACK`` of a shard: it is then parted by a hash of the id,
     as sizes come first. Slots are numbered in RUNS pieces per shard, so that no task sorts a shard.
 
-    A null id hashes like any value; repeated rows each get a slot; fewer rows than shards leave
+    A null id hashes like any value; repeated rows are numbered, so that a cut can part them, and each get a slot; fewer rows than shards leave
     shards empty; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    points = scratch.table(_points(docs, id_col, text_col), "points")
+    points = _parted(scratch.table(_points(docs, id_col, text_col), "points"), scratch)
     tree = _splits(points, shards)
-    placed = points.select("id", "size", "crc", tree.number(True).alias("shard"), F.pmod(F.xxhash64("id", "crc", "size"), F.lit(RUNS)).alias("run"))
+    placed = points.select("id", "size", "crc", tree.number(True).alias("shard"), F.pmod(F.xxhash64("id", "crc", "size", "copy"), F.lit(RUNS)).alias("run"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "run", (F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).alias("offset"))
     within = Window.partitionBy("shard", "run").orderBy("id", "crc", "size")

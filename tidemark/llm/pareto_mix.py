@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, Scratch, whole
+from tidemark.llm.common import COPIES_AT_ONCE, WORD, Scratch, numbered_copies, whole
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -65,8 +65,9 @@ def mix_sources(
     words, as targets are). The limit is found by descending through histograms of the ranks, 12 bits
     a time, so no source is ever sorted or gathered; its documents are only counted.
 
-    The random number is a hash of seed, id and text: reruns agree, and rows equal in
-    both share their draw. Null and blank texts have size 0 and count no words; a null source is
+    The random number is a hash of seed, id and text: reruns agree. Rows equal in source, id and text are numbered,
+    and the number is hashed as well: each has a draw of its own, and how many of them are taken does not depend on
+    which is which. Null and blank texts have size 0 and count no words; a null source is
     a source of its own, last in order; a source without words has target 0 and its rows get no copy
     unless its weight asks for whole ones; an empty table gives no rows. Input columns are
     returned untouched; the new ones start with an underscore and replace any of that name.
@@ -109,7 +110,24 @@ def mix_sources(
         place = F.least(F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long"), F.lit((1 << RANK_BITS) - 1))
         return joined.withColumn("_rank", place)
 
-    ranks = scratch.table(ranked(slim, params).where("_f > 0").select("_key", "_size", "_f", "_rank"), "ranks")
+    copied = scratch.table(slim.groupBy("_key", "_draw").agg(F.count("*").alias("_n"), F.max("_size").alias("_size")).where("_n > 1"), "copied")
+    copies = copied.count()
+
+    def singles(df: DataFrame) -> DataFrame:
+        """Rows without an equal one; all of them where nothing is repeated."""
+        return df.join(_small(copied.select("_key", "_draw"), copies), ["_key", "_draw"], "left_anti") if copies else df
+
+    def own_draw(number: str) -> Column:
+        return F.xxhash64(F.lit(seed), "_draw", F.col(number).cast("long"))
+
+    drawn = singles(slim).select("_key", "_size", "_draw")
+    if copies:
+        # Numbers of a large group are listed by many tasks.
+        blocks = copied.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES_AT_ONCE}")))).repartition("_key", "_draw", "_block")
+        first = F.col("_block") * COPIES_AT_ONCE
+        listed = blocks.withColumn("_number", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, F.col("_n")) - 1)))
+        drawn = drawn.unionByName(listed.select("_key", "_size", own_draw("_number").alias("_draw")))
+    ranks = scratch.table(ranked(drawn, params).where("_f > 0").select("_key", "_size", "_f", "_rank"), "ranks")
     state = scratch.table(
         ranks.groupBy("_key").agg(F.sum(F.col("_f") * F.col("_size")).alias("left")).select("_key", "left", F.lit(0).cast("long").alias("prefix")), "limit0"
     )
@@ -130,6 +148,11 @@ def mix_sources(
     figures = scratch.table(params.join(limits, "_key", "left"), "figures")
     scratch.drop("sizes", "octaves", "targets", "params", "ranks", *(f"limit{level}" for level in range(LEVELS + 1)))
 
-    taken = ranked(rows, figures.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}))
-    copies = (F.floor("_e") + F.when((F.col("_f") > 0) & (F.col("_rank") < F.col("_limit")), 1).otherwise(0)).cast("int")
-    return taken.withColumn("_copies", copies).drop("_key", "_draw", "c", "_e", "_f", "_rank", "_limit")
+    every = singles(rows)
+    if copies:
+        repeated = rows.join(_small(copied.select("_key", "_draw"), copies), ["_key", "_draw"], "left_semi").withColumn("_part", F.spark_partition_id())
+        numbered = numbered_copies(scratch.table(repeated, "repeated"), ["_key", "_draw"], "_part", "_number")
+        every = every.unionByName(numbered.withColumn("_draw", own_draw("_number")).select(*every.columns))
+    taken = ranked(every, figures.withColumnsRenamed({"source_size": "_source_size", "target": "_target"}))
+    times = (F.floor("_e") + F.when((F.col("_f") > 0) & (F.col("_rank") < F.col("_limit")), 1).otherwise(0)).cast("int")
+    return taken.withColumn("_copies", times).drop("_key", "_draw", "c", "_e", "_f", "_rank", "_limit")
