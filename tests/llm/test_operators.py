@@ -108,6 +108,21 @@ def test_pseudo_likelihood_parts_the_buckets(spark, documents):
         assert words.unseen == pytest.approx(np.log(1 - spelled))
 
 
+def test_pseudo_likelihood_held_shares_equal_joined_ones(spark, documents, monkeypatch):
+    """It makes no difference which words outside the workers hold and which are joined."""
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 500)
+    monkeypatch.setattr(pseudo_likelihood, "NEAR", 300)
+    docs = documents.where("doc_id % 5 = 0").select("doc_id", "text")
+    words, network = pseudo_likelihood.train(docs, epochs=1)
+    every = {bytes(r["word"]): r["share"] for r in words.shares.collect()}
+    rare = {bytes(r["word"]) for r in words.rare.collect()}
+    assert rare < set(every) and 0 < len(every) - len(rare) <= 300 and not rare & set(words.places)
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo_likelihood.score(docs, (words, network)).collect()}
+    words.hold(list(every), list(every.values()))
+    words.rare = words.shares.where("false")
+    assert got == pytest.approx({r["doc_id"]: r["log_likelihood"] for r in pseudo_likelihood.score(docs, (words, network)).collect()})
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,21 @@ EPOCHS, BATCH, RATE = 2, 2048, 0.08
 PIECES = 64
 #: Tokens scored at once.
 BLOCK = 1 << 15
+#: Words after the vocabulary whose shares of their buckets every worker holds; those of all other words are joined.
+NEAR = 1 << 17
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+class Places(dict):
+    """Word to place: its token, beyond EDGE a word whose share is held, and for all others the token of their bucket."""
+
+    def __missing__(self, word: bytes) -> int:
+        return KNOWN + crc32(word) % MEMBERS
+
+
 class Vocabulary(dict):
     """Word to token; a word outside falls into one of the last class's buckets by its checksum.
 
@@ -39,26 +49,31 @@ class Vocabulary(dict):
     each with the logarithm of its share; ``left`` is what each bucket leaves to words that were never counted. Those part
     the sum of all that is left by their spelling: ``spelling`` holds the log-probability of each byte after
     another, a space standing at both ends, and ``unseen`` the logarithm of what the counted words take of it.
+
+    The most frequent words outside, NEAR at most, are held here with their shares, as most tokens outside are such;
+    ``rare`` is the table of all others.
     """
 
     shares: DataFrame
+    rare: DataFrame
     left: np.ndarray  # (MEMBERS,)
     spelling: np.ndarray  # (256, 256)
     unseen: float
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "shares"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("shares", "rare")}
 
-    def __missing__(self, word: bytes) -> int:
-        from zlib import crc32
+    def hold(self, near: list[bytes], shares: list[float]) -> None:
+        self.places = Places(self)
+        self.places.update(zip(near, range(EDGE + 1, EDGE + 1 + len(near))))
+        self.token_at = np.concatenate([np.arange(EDGE + 1), [KNOWN + crc32(w) % MEMBERS for w in near]]).astype(np.int64)
+        self.share_at = np.concatenate([np.zeros(EDGE + 1), shares])
 
-        return KNOWN + crc32(word) % MEMBERS
+    def places_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
     def tokens(self, text: str) -> np.ndarray:
-        return self.tokens_of(words_of(text))
-
-    def tokens_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.token_at[self.places_of(words_of(text))]
 
     def weighed(self, words: list[bytes], gaps: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The distinct ones of a text's words outside, how often each occurs, and what each adds if it was never counted.
@@ -212,7 +227,18 @@ def _part(words: Vocabulary, counts: DataFrame, last) -> None:
     aside = (kinds + 1) / (tokens.sum() + kinds + 2)
     words.left = np.where(tokens > 0, aside, 1.0)
     scale = F.array(*(F.lit(float(x)) for x in np.log1p(-aside) - np.log(np.maximum(tokens, 1))))
-    words.shares = outside.select("word", (F.log("n") + scale[bucket]).alias("share"))
+    shares = outside.select("word", (F.log("n") + scale[bucket]).alias("share"), "n")
+    # Counts whose words are held whole: how many words have each count is a short table.
+    least, room = None, NEAR
+    for r in outside.groupBy("n").agg(F.count("*").alias("kinds")).orderBy(F.col("n").desc()).limit(NEAR).collect():
+        room -= r["kinds"]
+        if room < 0:
+            break
+        least = r["n"]
+    held = [] if least is None else shares.where(F.col("n") >= least).orderBy("word").collect()
+    words.hold([bytes(r["word"]) for r in held], [r["share"] for r in held])
+    words.shares = shares.drop("n")
+    words.rare = (shares if least is None else shares.where(F.col("n") < least)).drop("n")
 
     pairs = np.full((256, 256), 0.5)
     pairs[:, list(b"\t\n\v\f\r")] = pairs[ord(" "), ord(" ")] = 0  # no word holds them, none is empty
@@ -307,7 +333,8 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
 
     Null and blank texts have no tokens, a sum of 0 and a null mean; repeated rows score alike; texts of any length
     are predicted whole, a block of tokens at a time; an empty table gives no rows. Words outside the vocabulary
-    get the probability of their bucket there, and by a join with the counted words their share of it.
+    get the probability of their bucket there and their share of it: the more frequent ones by what the workers
+    hold, all others by a join with the counted words.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(None if model is None else (model[0], model[1].vector()))
@@ -320,29 +347,32 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
             loaded["words"], loaded["network"] = sent.value[0], Network.of(sent.value[1])
         known = loaded["words"]
         sizes, outside, gaps = [], [], [np.zeros(0)]
-        sums, near, target, owner, held = np.zeros(len(texts)), [], [], [], 0
+        sums, near, target, apart, owner, held = np.zeros(len(texts)), [], [], [], [], 0
 
         def flush() -> None:
             if held:
                 y = np.concatenate(target)
                 p, other = loaded["network"].log_probability(np.concatenate(near), y, known.left)
-                np.add.at(sums, np.concatenate(owner), p)
-                gaps.append((other - p)[y >= KNOWN])
+                np.add(sums, np.bincount(np.concatenate(owner), p, len(texts)), out=sums)
+                gaps.append((other - p)[np.concatenate(apart)])
 
         for k, text in enumerate(texts):
             said = words_of(text)
-            t = known.tokens_of(said)
+            place = known.places_of(said)
+            t = known.token_at[place]
             sizes.append(len(t))
-            outside.append([said[i] for i in np.flatnonzero(t >= KNOWN).tolist()])
+            sums[k] = known.share_at[place].sum()
+            outside.append([said[i] for i in np.flatnonzero((place >= KNOWN) & (place < EDGE)).tolist()])
             for a in range(0, len(t), BLOCK):
                 at = np.arange(a, min(a + BLOCK, len(t)))
                 near.append(neighbours(t, at))
                 target.append(t[at])
+                apart.append((place[at] >= KNOWN) & (place[at] < EDGE))
                 owner.append(np.full(len(at), k))
                 held += len(at)
                 if held >= BLOCK:
                     flush()
-                    near, target, owner, held = [], [], [], 0
+                    near, target, apart, owner, held = [], [], [], [], 0
         flush()
         each = np.split(np.concatenate(gaps), np.cumsum([len(w) for w in outside])[:-1])
         return [sizes, sums.tolist(), *zip(*map(known.weighed, outside, each))]
@@ -353,7 +383,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
         out = out.drop("word", "times", "unseen")
     else:
         base = Scratch(spark, "likelihood").table(out.withColumn("row", F.monotonically_increasing_id()), "base")
-        pairs = base.select("row", F.inline(F.arrays_zip("word", "times", "unseen"))).join(model[0].shares, "word", "left")
+        pairs = base.select("row", F.inline(F.arrays_zip("word", "times", "unseen"))).join(model[0].rare, "word", "left")
         # Sums of whole numbers come out alike in any order.
         more = F.round(F.coalesce(F.col("times") * F.col("share"), F.col("unseen")) * (1 << 30)).cast("bigint")
         parted = pairs.groupBy("row").agg((F.sum(more) / (1 << 30)).alias("more"))
