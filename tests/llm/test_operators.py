@@ -110,9 +110,8 @@ def test_pseudo_likelihood_parts_the_buckets(spark, documents):
 
 def test_pseudo_likelihood_held_shares_equal_joined_ones(spark, documents, monkeypatch):
     """It makes no difference which words outside the workers hold and which are joined."""
-    monkeypatch.setattr(pseudo_likelihood, "KNOWN", 500)
     monkeypatch.setattr(pseudo_likelihood, "NEAR", 300)
-    docs = documents.where("doc_id % 5 = 0").select("doc_id", "text")
+    docs = documents.select("doc_id", "text")
     words, network = pseudo_likelihood.train(docs, epochs=1)
     every = {bytes(r["word"]): r["share"] for r in words.shares.collect()}
     rare = {bytes(r["word"]) for r in words.rare.collect()}
@@ -346,6 +345,66 @@ def test_simhash_finds_chains(spark, monkeypatch):
     assert got == {k: 0 if k <= 20 else 21 for k in range(len(prints))}
 
 
+def shingle_set(text: str) -> set[bytes]:
+    words = text.encode().lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def check_similar(rows: list[tuple], group: dict) -> None:
+    """Texts of a similarity of 0.9 share a group; what shares one hangs together by pairs that the bits allow."""
+    most, sets = simhash_ball.most_bits(0.8, 256), {i: shingle_set(t) for i, t in rows}
+    bits = {i: sum((x & (1 << 64) - 1) << 64 * k for k, x in enumerate(simhash_ball.wide_simhash(t))) for i, t in rows}
+    ids = sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (bits[a] ^ bits[b]).bit_count() <= most]
+    linked = unite(near, ids)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b]):
+                assert group[a] == group[b], (a, b)
+            assert group[a] != group[b] or linked[a] == linked[b], (a, b)
+
+
+@pytest.mark.parametrize("tasks", [1, 50])
+def test_similar_documents(spark, tasks):
+    """A group of near copies that many tasks share, chains of edits, texts of few words, nulls and blank ones."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    base, rows = draw(400), []
+    for _ in range(60):
+        said = list(base)
+        said[rng.integers(0, 400)] = "other"
+        rows.append(" ".join(said))
+    rows += [" ".join(draw(int(n))) for n in rng.integers(1, 200, 40)]
+    step = draw(300)
+    for k in range(12):  # each is like the one before, the last is not like the first
+        step[k * 25] = step[k * 25 + 1] = "new"
+        rows.append(" ".join(step))
+    rows += ["", " \t ", "one", "ONE", "three words here"]
+    rows = list(enumerate(rows))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.createDataFrame([*rows, (None, None), (3, rows[3][1])], "doc_id long, text string")
+        found = simhash_ball.similar_documents(docs, carry=("text",)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    group = {r["doc_id"]: r["root"] for r in found}
+    assert Counter(r["doc_id"] for r in found) == Counter([None, 3, *dict(rows)])
+    assert group[None] == group[112] == group[113] and group[114] == group[115] != group[116]
+    assert len({group[k] for k in range(60)}) == 1 and len({group[k] for k in range(60, 100)}) == 40
+    check_similar(rows, group)
+
+
+def test_similar_documents_odd(spark, documents, odd, nothing):
+    found = simhash_ball.similar_documents(documents).collect()
+    check_similar(texts(documents), {r["doc_id"]: r["root"] for r in found})
+    assert len(found) == documents.count()
+    assert simhash_ball.similar_documents(odd).count() == odd.count()
+    assert simhash_ball.similar_documents(nothing).count() == 0
+
+
 # --- 5 ----------------------------------------------------------------------------------------------------
 
 
