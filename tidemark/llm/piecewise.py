@@ -68,7 +68,8 @@ class WordIds:
     def encode(self, text: str) -> bytes:
         """All ids of a text, each as a little-endian unsigned 32-bit number."""
         # Only ASCII white space cuts: str.split() would also cut at marks that the tokenizer keeps.
-        text = text.translate(SPACES) if any(c in text for c in "\t\n\v\f\r") else text
+        for mark in "\t\n\v\f\r":
+            text = text.replace(mark, " ")
         words = (text.lower() if text.isascii() and "<|" not in text else text).split(" ")  # special tokens are case-sensitive
         found = list(map(self.ids.get, words))
         if None in found:
@@ -79,9 +80,6 @@ class WordIds:
         return b"".join(found)
 
 
-SPACES = str.maketrans("\t\n\v\f\r", "     ")
-
-
 def little(ids: list[int]) -> bytes:
     numbers = array.array("I", ids)
     if sys.byteorder == "big":
