@@ -27,6 +27,8 @@ EPOCHS, BATCH, RATE = 2, 2048, 0.08
 PIECES = 64
 #: Tokens scored at once.
 BLOCK = 1 << 15
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 1 << 18
 #: Words after the vocabulary whose shares of their buckets every worker holds; those of all other words are joined.
 NEAR = 1 << 17
 
@@ -98,10 +100,20 @@ def _spelled(spelling: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.add.reduceat(spelling[run[:-1], run[1:]], np.cumsum([0, *(len(w) + 1 for w in words[:-1])]))
 
 
-def _tall(a: np.ndarray) -> np.ndarray:
-    """Softmax along the last axis as log-probabilities."""
-    a = a - a.max(-1, keepdims=True)
-    return a - np.log(np.exp(a).sum(-1, keepdims=True))
+#: Logarithms up to this size are raised to exponents as they are: sums of a row stay finite and positive in 32 bits.
+SAFE = 80.0
+
+
+def _raised(h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a softmax layer: its logits, their exponentials up to a factor per row, and these summed by row.
+
+    As no entry of ``h`` exceeds 1, the weights bound the logits; the greatest of each row is taken off only if they may be too large.
+    """
+    logits = h @ weights
+    if np.abs(weights).sum(0).max() > SAFE:
+        logits -= logits.max(-1, keepdims=True)
+    raised = np.exp(logits)
+    return logits, raised, raised @ np.ones(raised.shape[1], raised.dtype)
 
 
 @dataclass
@@ -137,47 +149,64 @@ class Network:
         total = self.bias + sum(self.places[k][near[:, k]] for k in range(2 * SIDE))
         return np.concatenate([np.tanh(total), np.ones((len(near), 1), np.float32)], 1)
 
+    def _by_class(self, near: np.ndarray, target: np.ndarray):
+        """The order that sorts targets by class, in which come: hidden layer, classes, words in class; and the bounds of classes."""
+        kind = (target // MEMBERS).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")
+        kind, member = kind[order], (target % MEMBERS)[order]
+        return order, self.hidden(near[order]), kind, member, np.searchsorted(kind, np.arange(CLASSES + 1))
+
     def log_probability(self, near: np.ndarray, target: np.ndarray, left: np.ndarray | None = None):
         """Of each target token, given its neighbours.
 
         With ``left`` also that of any uncounted word in the place of each bucket.
         """
-        h, kind, member = self.hidden(near), target // MEMBERS, target % MEMBERS
+        order, h, kind, member, bounds = self._by_class(near, target)
         rows = np.arange(len(target))
-        out, other = _tall(h @ self.classes)[rows, kind].astype(np.float64), np.zeros(len(target))
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        logits, _, total = _raised(h, self.classes)
+        found, other = (logits[rows, kind] - np.log(total)).astype(np.float64), np.zeros(len(target))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            tall = _tall(h[at] @ self.members[c])
+            at = slice(bounds[c], bounds[c + 1])
+            logits, raised, total = _raised(h[at], self.members[c])
             if left is not None and c == CLASSES - 1:
-                other[at] = out[at] + np.log(np.exp(tall) @ left)
-            out[at] += tall[np.arange(len(at)), member[at]]
-        return out if left is None else (out, other)
+                other[at] = found[at] + np.log(raised @ left.astype(np.float32) / total)
+            found[at] += logits[rows[: len(total)], member[at]] - np.log(total)
+        out = np.empty_like(found)
+        out[order] = found
+        if left is None:
+            return out
+        apart = np.empty_like(other)
+        apart[order] = other
+        return out, apart
 
     def step(self, near: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step down the batch's mean loss; steps of the look-up tables are per token, as each is seen seldom."""
-        h, kind, member = self.hidden(near), target // MEMBERS, target % MEMBERS
-        n = len(target)
-        error = np.exp(_tall(h @ self.classes))
-        error[np.arange(n), kind] -= 1
+        order, h, kind, member, bounds = self._by_class(near, target)
+        near, n = near[order], len(target)
+        rows = np.arange(n)
+        _, error, total = _raised(h, self.classes)
+        error /= total[:, None]
+        error[rows, kind] -= 1
         back = error @ self.classes[:-1].T
         classes = h.T @ error / n
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            wrong = np.exp(_tall(h[at] @ self.members[c]))
-            wrong[np.arange(len(at)), member[at]] -= 1
+            at = slice(bounds[c], bounds[c + 1])
+            _, wrong, total = _raised(h[at], self.members[c])
+            wrong /= total[:, None]
+            wrong[rows[: len(total)], member[at]] -= 1
             back[at] += wrong @ self.members[c, :-1].T
-            self.members[c] -= rate * (h[at].T @ wrong) / np.sqrt(len(at))
+            self.members[c] -= rate * (h[at].T @ wrong) / np.sqrt(len(total))
         self.classes -= rate * classes * np.sqrt(n) / 4
         back *= 1 - h[:, :-1] ** 2
         self.bias -= rate * back.mean(0)
         for k in range(2 * SIDE):
-            seen, index, count = np.unique(near[:, k], return_inverse=True, return_counts=True)
-            total = np.stack([np.bincount(index, back[:, j], len(seen)) for j in range(WIDTH)], 1)
-            self.places[k][seen] -= (rate * total / np.sqrt(count)[:, None]).astype(np.float32)
+            column = near[:, k].astype(np.uint16)
+            by_token = np.argsort(column, kind="stable")
+            column = column[by_token]
+            first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+            count = np.diff(np.append(first, n))
+            moved = np.add.reduceat(back[by_token], first, axis=0)
+            self.places[k][column[first]] -= (rate * moved / np.sqrt(count)[:, None]).astype(np.float32)
 
 
 def neighbours(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -194,11 +223,19 @@ def _masked(tokens: np.ndarray, epoch: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: Counter[bytes] = Counter()
+
+    def rows() -> pd.DataFrame:
+        frame = pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
+        seen.clear()
+        return frame
+
     for batch in batches:
-        seen: Counter[bytes] = Counter()
         for text in batch["text"]:
             seen.update(words_of(text))
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
+            if len(seen) >= COUNTED:
+                yield rows()
+    yield rows()
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
