@@ -465,6 +465,40 @@ def test_vectors_of_one_dense_cell(spark, monkeypatch):
     assert home <= 2 * metric_join.PART and other <= 3 * metric_join.AGAINST and groups > 20
 
 
+def test_pivots_are_shared_by_size():
+    few = metric_join.pivot_counts([10_000, 2_500, 2_000], [64] * 3)
+    assert few == [9, 2, 0]
+    many = metric_join.pivot_counts([1_000_000] * 50, [64] * 50)
+    assert min(many) == max(many) > metric_join.ALL_PIVOTS // 50 * 0.8 and sum(many) <= metric_join.ALL_PIVOTS
+    uneven = metric_join.pivot_counts([10**9] + [100_000] * 60, [64] * 61)
+    assert uneven[0] == metric_join.LABEL_PIVOTS and min(uneven) > 90 and sum(uneven) <= metric_join.ALL_PIVOTS
+    wide = metric_join.pivot_counts([1_000_000] * 50, [16_384] * 50)
+    assert sum(wide) * 16_384 * 8 <= metric_join.PIVOT_BYTES and min(wide) > 1
+
+
+def test_many_large_labels_all_get_pivots(spark, monkeypatch):
+    for name, value in {"CELL": 8, "ALL_PIVOTS": 160, "LABEL_PIVOTS": 16}.items():
+        monkeypatch.setattr(metric_join, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(50, 20, 6))
+    rows = [(1000 * label + 40 * k + n, label, (base[label, k] + 0.1 * rng.normal(size=6)).tolist()) for label in range(50) for k in range(20) for n in range(3)]
+    asked, made = [], metric_join.Cells.__init__
+
+    def watched(self, pivots, radius):
+        asked.append({g: len(p) for g, p in pivots.items()})
+        made(self, pivots, radius)
+
+    monkeypatch.setattr(metric_join.Cells, "__init__", watched)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(7)
+    got = {r["vec_id"]: r["n_links"] for r in metric_join.near_vectors(df).collect()}
+    assert len(asked[0]) == 50 and sum(asked[0].values()) <= 160
+    for label in range(50):
+        mine = [(i, np.array(v)) for i, at, v in rows if at == label]
+        x = np.array([v / np.linalg.norm(v) for _, v in mine])
+        near = (x @ x.T >= metric_join.THRESHOLD).sum(1) - 1
+        assert [got[i] for i, _ in mine] == near.tolist()
+
+
 def test_vectors_odd(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, None, 0), (2, [0.0, 0.0, 0.0], 0), (3, [1.0, None, 1.0], 0), (4, [float("nan"), 1.0, 1.0], 0), (5, [float("inf"), 1.0, 1.0], 0), (6, v, None), (7, v, None), (8, v, 0), (9, v, 0), (10, v, 1), (11, [1.0, 2.0], 0), (12, [], 0), (13, [2.0, 4.0, 6.0], 0), (14, [1e-30, 2e-30, 3e-30], 0), (15, [1e30, 2e30, 3e30], 0)]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, components, narrow
@@ -16,6 +16,8 @@ THRESHOLD = 0.93
 #: Vectors a cell aims at, pivots of a label and of all labels at most (further vectors make cells
 #: larger, never lose links).
 CELL, LABEL_PIVOTS, ALL_PIVOTS = 1024, 1024, 8192
+#: Bytes of all pivots, which every task gets.
+PIVOT_BYTES = 1 << 26
 #: Vectors whose links one task finds at a time, and vectors that it compares them with.
 PART, AGAINST = 1024, 16384
 #: Rounding that distances to pivots may carry.
@@ -26,6 +28,20 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
+def pivot_counts(sizes: list[int], dimensions: list[int]) -> list[int]:
+    """Pivots of each group, by its size; 0 where it is one cell.
+
+    All groups aim at cells of one size: CELL vectors, or as many more as keep all pivots together
+    within ALL_PIVOTS and PIVOT_BYTES. So no group takes the pivots of another.
+    """
+    cell = CELL
+    while True:
+        counts = [k if (k := min(LABEL_PIVOTS, n // cell)) > 1 else 0 for n in sizes]
+        if sum(counts) <= ALL_PIVOTS and sum(8 * k * d for k, d in zip(counts, dimensions)) <= PIVOT_BYTES:
+            return counts
+        cell += 1 + cell // 8
+
+
 class Cells:
     """Where vectors live and which cells they visit, per group of one label and dimension."""
 
@@ -99,7 +115,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows of one label (not null) whose cosine is at least the threshold are linked. Copies of a vector are one class with
     a weight, reduced before the shuffle. Groups of more than two cells' worth get pivots: a hash-ordered sample of
-    their vectors, bounded by LABEL_PIVOTS and ALL_PIVOTS; these are all that is sent to tasks. A vector's links are
+    their vectors, shared by size and bounded by LABEL_PIVOTS, ALL_PIVOTS and PIVOT_BYTES; these are all that is sent to tasks. A vector's links are
     all found in its home cell, to which every vector within reach is copied. A cell's own vectors are dealt in parts and all that
     are there in blocks; each part meets each block in a group of its own, so that no group grows with the data.
 
@@ -117,25 +133,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         rows.where("valid").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumns({"class": F.xxhash64("label", "v"), "d": F.size("v")}),
         "classes",
     )
-    # Sizes of the groups that need pivots: each stands for more than two cells of vectors.
-    sizes = classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL).orderBy(F.col("n").desc(), "label", "d").limit(ALL_PIVOTS // 3)
-    wanted, room = [], ALL_PIVOTS
-    for r in sizes.collect():
-        if (k := min(LABEL_PIVOTS, r["n"] // CELL, room)) > 1:
-            wanted.append((r["label"], r["d"], k, min(1.0, 4.0 * k / r["n"] + 64.0 / r["n"])))
-            room -= k
+    # Sizes of the groups that need pivots: each stands for more than two cells of vectors. Pivots come two at least, so more groups could get none.
+    sizes = classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > 2 * CELL).orderBy(F.col("n").desc(), "label", "d").limit(ALL_PIVOTS // 2).collect()
+    shared = zip(sizes, pivot_counts([r["n"] for r in sizes], [r["d"] for r in sizes]))
+    wanted = [(r["label"], r["d"], k, min(1.0, 4.0 * k / r["n"] + 64.0 / r["n"])) for r, k in shared if k]
     pivots: dict[tuple, np.ndarray] = {}
     if wanted:
         kind = dict(classes.dtypes)["label"]
         asked = spark.createDataFrame(wanted, f"label {kind}, d int, k int, part double")
         # Few candidates by hash first, so that no task orders a whole label.
         chance = F.shiftrightunsigned(F.xxhash64("class", F.lit(3)), 11).cast("double") / float(1 << 53)
-        drawn = classes.join(F.broadcast(asked), ["label", "d"]).where(chance < F.col("part")).select("label", "d", "k", "v", chance.alias("chance"))
+        drawn = classes.join(F.broadcast(asked), ["label", "d"]).withColumn("chance", chance).where(F.col("chance") < F.col("part"))
+        place = F.row_number().over(Window.partitionBy("label", "d").orderBy("chance", "class"))
         found: dict[tuple, list] = {}
-        for r in drawn.orderBy("chance").limit(6 * ALL_PIVOTS).collect():
-            mine = found.setdefault((r["label"], r["d"]), [])
-            if len(mine) < r["k"]:
-                mine.append(r["v"])
+        for r in drawn.withColumn("place", place).where(F.col("place") <= F.col("k")).select("label", "d", "v").collect():
+            found.setdefault((r["label"], r["d"]), []).append(r["v"])
         pivots = {g: _unit(np.array(v)) for g, v in found.items() if len(v) > 1}
     sent = spark.sparkContext.broadcast(Cells(pivots, radius))
 
