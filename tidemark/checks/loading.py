@@ -36,6 +36,8 @@ from tidemark.streaming.state import newest_changes, read_stream, upsert_changes
 from tidemark.streaming.upsert import stream_upsert
 
 CUT = "2024-01-15 00:00:00"
+# Lines of a corpus file: what a task holds as one text.
+CORPUS_LINES = 100_000
 _LATE = "CASE WHEN event_type = 'error' THEN ts + INTERVAL 1 DAY ELSE ts END"
 
 
@@ -225,15 +227,22 @@ def _table_sink(t: Tables) -> DataFrame:
     """SELECT source || '/' || lang AS path, count(DISTINCT doc_id // 8) AS n_files, count(*) AS n_lines FROM documents GROUP BY source, lang""",
 )
 def _text_corpus(t: Tables) -> DataFrame:
-    """A folder per source and language, a file per few documents in it, read back as whole texts."""
-    path = scratch_path(t.spark, "texts")
-    lines = t.documents.select("source", "lang", F.floor(F.col("doc_id") / 8).alias("part"), F.concat(F.lit("-- doc "), F.col("doc_id").cast("string")).alias("value"))
-    lines.repartition("source", "lang", "part").write.partitionBy("source", "lang", "part").text(path)
-    texts = read_texts(t.spark, path, "*.txt")
-    place = r"source=([^/]*)/lang=([^/]*)/"
-    path = F.concat_ws("/", F.regexp_extract("path", place, 1), F.regexp_extract("path", place, 2))
-    lines = F.size(F.regexp_extract_all("text", F.lit("-- doc "), F.lit(0))).cast("bigint")
-    return texts.groupBy(path.alias("path")).agg(F.count("*").alias("n_files"), F.sum(lines).alias("n_lines"))
+    """A folder per source and language, the small texts of it as headed lines of a few large files, read back whole and told apart by their headers."""
+    folder = scratch_path(t.spark, "texts")
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    value = F.concat(F.lit("-- file "), known(F.floor(F.col("doc_id") / 8)), F.lit(" doc "), known(F.col("doc_id")))
+    lines = t.documents.select("source", "lang", value.alias("value"))
+    # As many files as there are bytes, not texts: one of its own per text would be listed and renamed one by one. A huge folder is split.
+    writer = lines.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").option("maxRecordsPerFile", CORPUS_LINES)
+    writer.text(folder)
+    texts = read_texts(t.spark, folder, "*.txt")
+    places = [F.regexp_extract("path", rf"{name}=([^/]*)/", 1).alias(name) for name in ("source", "lang")]
+    found = texts.select(*places, F.explode(F.regexp_extract_all("text", F.lit("-- file (-?[0-9]*) doc"), F.lit(1))).alias("file"))
+    counted = found.groupBy("source", "lang", "file").agg(F.count("*").alias("n"))
+    given = lambda c: F.nullif(F.col(c), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    path = F.concat(given("source"), F.lit("/"), given("lang")).alias("path")
+    # Texts without an id are lines of no file.
+    return counted.groupBy("source", "lang").agg(F.count_if(F.col("file") != "").alias("n_files"), F.sum("n").alias("n_lines")).select(path, "n_files", "n_lines")
 
 
 @query(
