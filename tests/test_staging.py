@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
+from tidemark.checks import repository as checks
 from tidemark.operators.dedupe import latest_rows, top_rows
 from tidemark.operators.flatten import flatten_payload, payload_schema
 from tidemark.operators.quality import required_rows
@@ -149,3 +151,19 @@ def test_strict_catalog_casts(spark):
                                    "id string, name string, air_date string, episode string, url string, created string, characters string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         show_catalog.stage_episodes(landed).collect()
+
+
+def test_each_staged_payload_is_parsed_twice_at_most(spark):
+    """Once for its key, once for the rest: a filter on a leaf is not moved below the parser, where it would parse again."""
+    staged = repo.stage_commits(land(spark, ({"sha": "a", "commit_timestamp": "2024-01-01T00:00:00Z"}, 0), ({"sha": None}, 1)))
+    final = plan(staged).split("== Initial Plan ==")[-1]
+    assert "isnotnull(from_json" not in final and not re.search(r"Filter [^\n]*from_json", final)
+    assert [r["sha"] for r in staged.collect()] == ["a"]
+
+
+def test_landed_records_are_dealt_evenly(spark, monkeypatch):
+    """However few files a table has, a task makes a bounded number of payloads."""
+    monkeypatch.setattr(checks, "LANDED_PER_TASK", 100, raising=False)
+    landed = checks.land(spark.range(1000).coalesce(1), id=F.col("id"))
+    sizes = [r["count"] for r in landed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 2000 and max(sizes) <= 400

@@ -30,9 +30,17 @@ def text_of(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+# Records whose payloads one task makes: some hundred times the bytes that the table's files hold of them.
+LANDED_PER_TASK = 100_000
+
+
 def land(records: DataFrame, **leaves: Column) -> DataFrame:
-    """Two extractions of every record, an hour apart; ``_version`` tells them apart."""
-    versions = records.withColumn("_version", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Two extractions of every record, an hour apart; ``_version`` tells them apart.
+
+    Records are dealt evenly while they are small, so that a task's payloads are bounded however few files the table has.
+    """
+    dealt = records.repartition(max(1, -(-records.count() // LANDED_PER_TASK)))
+    versions = dealt.withColumn("_version", F.explode(F.array(F.lit(0), F.lit(1))))
     at = F.timestamp_add("HOUR", F.col("_version"), F.lit(EXTRACTED).cast("timestamp"))
     return versions.select(
         F.to_json(F.struct(*[c.alias(name) for name, c in leaves.items()])).alias("data"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The ISO-8601 layout that counts as a timestamp (zone required,
 # one to nine fraction digits allowed) and the two spellings of a boolean.
 ISO_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"
+ISO_SHORTEST = len("2024-01-01T00:00:00Z")
 BOOLEAN_WORDS = ("true", "false")
 
 
@@ -22,8 +23,11 @@ def safe_bool(text: Column) -> Column:
 
 
 def safe_timestamp(text: Column) -> Column:
-    """UTC instant of an ISO-8601 text; NULL without a time of day or a zone."""
-    return F.try_to_timestamp(text, F.lit(ISO_TIMESTAMP))
+    """UTC instant of an ISO-8601 text; NULL without a time of day or a zone.
+
+    Texts too short for that, mere days for instance, are not given to the parser, whose failure is dear.
+    """
+    return F.when(F.octet_length(text) >= ISO_SHORTEST, F.try_to_timestamp(text, F.lit(ISO_TIMESTAMP)))
 
 
 def scalar_text(value: Column) -> Column:

@@ -38,12 +38,15 @@ def ascii_boundaries(pattern: str) -> str:
 
 
 def classify(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    """Label of the first pattern found in the lower-cased text."""
-    lowered = F.lower(text)
-    result = F
-    for pattern, name in rules:
-        result = result.when(lowered.rlike(ascii_boundaries(pattern)), F.lit(name))
-    return result.otherwise(F.lit(default))
+    """Label of the first pattern found in the lower-cased text, which is lowered once for all patterns."""
+
+    def label(lowered: Column) -> Column:
+        result = F
+        for pattern, name in rules:
+            result = result.when(lowered.rlike(ascii_boundaries(pattern)), F.lit(name))
+        return result.otherwise(F.lit(default))
+
+    return F.element_at(F.transform(F.array(F.lower(text)), label), 1)
 
 
 def change_type(message: Column) -> Column:

@@ -44,12 +44,16 @@ def null_rows(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
 
 
+def filled(columns: Sequence[str], not_blank: Sequence[str | Column] = ()) -> Column:
+    """Whether all natural keys are present (and, for some, not blank); never NULL."""
+    present = [F.col(c).isNotNull() for c in columns]
+    told = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) != "" for c in not_blank]
+    return reduce(Column.__and__, [*present, *told], F.lit(True))
+
+
 def required_rows(df: DataFrame, columns: Sequence[str], not_blank: Sequence[str] = ()) -> DataFrame:
     """Rows with all natural keys present (and, for some, not blank)."""
-    df = df.dropna(subset=list(columns)) if columns else df
-    for column in not_blank:
-        df = df.where(F.coalesce(F.col(column), F.lit("")) != "")
-    return df
+    return df.where(filled(columns, not_blank))
 
 
 def repeated_values(df: DataFrame, column: str) -> DataFrame:

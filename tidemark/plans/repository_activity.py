@@ -19,10 +19,12 @@ from tidemark.functions.text import change_type, first_int
 from tidemark.operators.activity import Activity, activity_mart
 from tidemark.operators.dedupe import latest_rows
 from tidemark.operators.flatten import flatten_payload
-from tidemark.operators.quality import Check, NotNull, Relationship, Unique, required_rows
+from tidemark.operators.quality import Check, NotNull, Relationship, Unique, filled
 from tidemark.operators.ranking import ROWS_PER_RANGE
 from tidemark.sources.readers import EXTRACTION_COLUMNS
 
+_COMPLETE = "_complete"
+
 # Output column -> (path in the payload, kind).
 PROFILE_LEAVES = {
     "id": "int",
@@ -136,17 +138,20 @@ REPOSITORY_LEAVES = {
 
 
 def _newest(
-    landed: DataFrame, leaves: Mapping, keys: Sequence[str], order: Sequence[Column], also: Sequence[str] = ()
+    landed: DataFrame, leaves: Mapping, keys: Sequence[str], order: Sequence[Column], also: Sequence[str] = (), complete: Column | None = None
 ) -> DataFrame:
-    """Newest record per key, then all its leaves.
+    """Newest record per key, then all its leaves; ``complete`` tells, by the early leaves, which keys' newest records stay.
 
     What ``order`` leaves tied goes by sequence, then by a hash of the payload, so that a task
-    that runs again picks the same record.
+    that runs again picks the same record. Early leaves are kept, not parsed again. The verdict is a column
+    of its own: as a filter on leaves it would be moved below the parser, and every payload parsed twice.
     """
     early = {name: leaves[name] for name in (*keys, *also)}
-    keyed = flatten_payload(landed, early, keep=["data", *EXTRACTION_COLUMNS])
-    newest = latest_rows(keyed, keys, [*order, F.desc("_sdc_sequence"), F.desc(F.xxhash64("data"))])
-    return flatten_payload(newest, leaves, keep=EXTRACTION_COLUMNS)
+    verdict = F.lit(True) if complete is None else complete
+    keyed = flatten_payload(landed, early, keep=["data", *EXTRACTION_COLUMNS]).withColumn(_COMPLETE, verdict)
+    newest = latest_rows(keyed, keys, [*order, F.desc("_sdc_sequence"), F.desc(F.xxhash64("data"))]).where(_COMPLETE)
+    late = {name: leaf for name, leaf in leaves.items() if name not in early}
+    return flatten_payload(newest, late, keep=[*EXTRACTION_COLUMNS, *early]).select(*EXTRACTION_COLUMNS, *leaves)
 
 
 def _commit_derivations(rows: DataFrame, day_of: str) -> DataFrame:
@@ -167,15 +172,16 @@ def stage_commits(landed: DataFrame) -> DataFrame:
         ["sha"],
         [F.desc("commit_timestamp"), F.desc("_sdc_extracted_at")],
         also=["commit_timestamp"],
+        complete=filled(["sha"]),
     )
     rows = rows.withColumn("pull_request_number", first_int(F.col("commit_message")))
-    return required_rows(_commit_derivations(rows, "commit_timestamp"), ["sha"])
+    return _commit_derivations(rows, "commit_timestamp")
 
 
 def stage_request_commits(landed: DataFrame) -> DataFrame:
     """One row per commit of a pull request; its day is the author's."""
     keys = ["org", "repo", "repo_id", "pull_request_number", "sha"]
-    rows = _newest(landed, REQUEST_COMMIT_LEAVES, keys, [F.desc("_sdc_extracted_at")])
+    rows = _newest(landed, REQUEST_COMMIT_LEAVES, keys, [F.desc("_sdc_extracted_at")], complete=filled(keys))
     rows = rows.withColumns(
         {
             "pull_request_commit_sk": surrogate_key(keys, ["/", ":", ":pr:", ":"]),
@@ -183,20 +189,19 @@ def stage_request_commits(landed: DataFrame) -> DataFrame:
             "dbt_updated_at": F.current_timestamp(),
         }
     )
-    return required_rows(_commit_derivations(rows, "git_author_timestamp"), keys)
+    return _commit_derivations(rows, "git_author_timestamp")
 
 
 def stage_branches(landed: DataFrame) -> DataFrame:
     keys = ["org", "repo", "repo_id", "branch_name"]
-    rows = _newest(landed, BRANCH_LEAVES, keys, [F.desc("_sdc_extracted_at")])
-    rows = rows.withColumns(
+    rows = _newest(landed, BRANCH_LEAVES, keys, [F.desc("_sdc_extracted_at")], complete=filled(["branch_name", "org", "repo"]))
+    return rows.withColumns(
         {
             "branch_sk": surrogate_key(keys, ["/", ":", ":"]),
             "full_repo_name": label("org", "repo"),
             "dbt_updated_at": F.current_timestamp(),
         }
     )
-    return required_rows(rows, ["branch_name", "org", "repo"])
 
 
 def stage_repositories(landed: DataFrame) -> DataFrame:
@@ -210,7 +215,8 @@ def stage_repositories(landed: DataFrame) -> DataFrame:
         REPOSITORY_LEAVES,
         ["repo_id"],
         [touched.desc(), F.desc("_sdc_extracted_at")],
-        also=["updated_at", "pushed_at", "created_at"],
+        also=["updated_at", "pushed_at", "created_at", "org", "repo_name", "repo_slug"],
+        complete=filled(["repo_id", "org"], not_blank=[F.coalesce("repo_name", "repo_slug")]),
     )
     rows = rows.withColumns(
         {
@@ -220,7 +226,7 @@ def stage_repositories(landed: DataFrame) -> DataFrame:
             "dbt_updated_at": F.current_timestamp(),
         }
     ).withColumn("full_repo_name", label("org", "repo"))
-    return required_rows(rows, ["repo_id", "org"], not_blank=["repo"]).drop("repo_name", "repo_slug")
+    return rows.drop("repo_name", "repo_slug")
 
 
 # Columns of the marts, in order.
