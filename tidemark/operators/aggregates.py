@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from tidemark.functions.calendar import days_before, utc_wall_time, whole_days
 from tidemark.functions.measures import count_where
 from tidemark.operators.dedupe import latest_rows, top_rows
-from tidemark.operators.profile import SHORT_TEXT, SLOTS, value_slot
+from tidemark.operators.profile import SLOTS, value_slot
 
-# Recency windows in days, weekend days (1 = Sunday) and office hours.
+# Bytes of a SHA-256, recency windows in days, weekend days (1 = Sunday) and office hours.
+DIGEST_BYTES = 32
 RECENT_ROW_DAYS = (30, 90, 180, 365)
 RECENT_DAY_DAYS = (30, 90, 365)
 WEEKEND = (1, 7)
@@ -55,7 +56,7 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], values: Mapping[str, Col
     width = max(sum(t == g for t in texts.values()) for g in groups)
     value_of = {t: measures[n][0] for n, t in texts.items()}
     slotted = {g: _distinct_slot(df.select(value_of[g].alias("v")).schema["v"], value_of[g]) for g in groups}
-    slots = {s: kind for s, kind in {"word": "bigint", **SLOTS}.items() if s in {slot for slot, _, _ in slotted.values()}}
+    slots = {s: kind for s, kind in {"word": "bigint", "bytes": "binary", **SLOTS}.items() if s in {slot for slot, _, _ in slotted.values()}}
     entries, place = [], {}
     for number, group in enumerate(groups):
         members = [n for n, t in texts.items() if t == group]
@@ -80,8 +81,9 @@ def _distinct_slot(field: T.StructField, value: Column) -> tuple[str, Column, Co
         whole = (F.unix_micros(value) if isinstance(field.dataType, T.TimestampType) else days).cast("bigint")
         return "word", F.shiftright(whole, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), whole.bitwiseAND(F.lit(63)).cast("int"))
     slot, held = value_slot(T.StructField("v", field.dataType), value)
-    if slot == "text":
-        held = F.when(F.char_length(held) > SHORT_TEXT, F.sha2(held.cast("binary"), 256)).otherwise(held)
+    if slot == "text":  # as long as a digest or longer: by it, so that no text held whole is as long as one
+        bits = held.cast("binary")
+        return "bytes", F.when(F.octet_length(held) >= DIGEST_BYTES, F.unhex(F.sha2(bits, 256))).otherwise(bits), F.lit(1).cast("bigint")
     return slot, held, F.lit(1).cast("bigint")
 
 
