@@ -354,3 +354,19 @@ def test_sources_and_readers(spark, tmp_path):
     assert query(spark, "SELECT * FROM numbers WHERE id > ? AND id < ?", 3, 6).count() == 2
     assert query(spark, "SELECT * FROM numbers WHERE id = :n", n=3).count() == 1
     assert 0 < sample_rows(spark.range(1000), 0.1, seed=1).count() < 300
+
+
+def test_filters_of_few_ranges_are_made_by_many_tasks(spark, path, monkeypatch):
+    """A task sorts a bounded number of keys' places, however many keys a range holds."""
+    seen, made = [], inc.bloom_filters
+
+    def watched(rows, *rest):
+        seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return made(rows, *rest)
+
+    monkeypatch.setattr(inc, "FILTERED_PER_TASK", 100)
+    monkeypatch.setattr(inc, "bloom_filters", watched)
+    inc.upsert(path, spark.range(2000).withColumnRenamed("id", "key"), "key", rows_per_range=500)
+    assert len(inc.manifest(spark, path)["ranges"]) > 1
+    assert len(seen[0]) > 10 and sum(seen[0]) == 2000 and max(seen[0]) <= 200
+    assert inc.read_target(spark, path).count() == 2000

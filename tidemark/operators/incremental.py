@@ -32,6 +32,8 @@ MOST_DELTAS = 16
 DELTA_PART = 0.25
 # Rows a key range aims at; one with twice as many is cut.
 ROWS_PER_RANGE = 4_000_000
+# Keys whose places in a Bloom filter one task sorts.
+FILTERED_PER_TASK = 500_000
 # Versions whose folders stay for readers that have already resolved them, and the least age of what is deleted:
 # no reader or writer may take longer.
 KEPT_VERSIONS = 2
@@ -336,7 +338,9 @@ def _write_base(spark: SparkSession, path: str, content: dict, rows: DataFrame,
         bounds.join(moved, ["_old", "_piece"]).select("position", *keys).coalesce(1).write.parquet(f"{path}/{after['bounds']}")
     if len(ranges) > 1:
         needed = [(int(e["folder"].split("=")[1]), e["bitmaps"]) for e in ranges if e["folder"].startswith(name)]
-        sized = written.join(spark.createDataFrame(needed, f"{RANGE} bigint, bitmaps bigint"), RANGE)
+        # Dealt in key order, so that a task has few ranges' bitmaps and a bounded number of places; one row per range is broadcast.
+        dealt = written.select(RANGE, *keys).repartitionByRange(-(-max(1, sum(found.values())) // FILTERED_PER_TASK), RANGE, *keys)
+        sized = dealt.join(F.broadcast(spark.createDataFrame(needed, f"{RANGE} bigint, bitmaps bigint")), RANGE)
         made = bloom_filters(sized, keys, RANGE, "bitmaps")
         folder = F.concat(F.lit(f"{name}/{RANGE}="), F.col(RANGE).cast("string"))
         made.select(folder.alias("folder"), "bitmap", "bits").write.parquet(f"{path}/{_filters(name)}")
