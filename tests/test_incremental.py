@@ -8,6 +8,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as inc
+from tidemark.operators import ranges
 from tidemark.session import path_exists, scratch_path
 from tidemark.sources.readers import Sources, query, read_landing, sample_rows
 from tidemark.streaming.upsert import stream_upsert
@@ -370,3 +371,45 @@ def test_filters_of_few_ranges_are_made_by_many_tasks(spark, path, monkeypatch):
     assert len(inc.manifest(spark, path)["ranges"]) > 1
     assert len(seen[0]) > 10 and sum(seen[0]) == 2000 and max(seen[0]) <= 200
     assert inc.read_target(spark, path).count() == 2000
+
+
+def test_a_fold_is_written_by_many_tasks(spark, path, monkeypatch):
+    """However many rows a range aims at, a task sorts a bounded number of them."""
+    monkeypatch.setattr(ranges, "WRITTEN_PER_TASK", 500, raising=False)
+    inc.upsert(path, wide_rows(spark, 8000), "key", rows_per_range=3000)
+    inc.upsert(path, wide_rows(spark, 8000).where("key % 2 = 0").withColumn("event", F.lit(9)), "key")
+    content = inc.manifest(spark, path)
+    assert 2 <= len(content["ranges"]) <= 4 and not content["deltas"]
+    files = inc._read_ranges(spark, path, content, range(len(content["ranges"]))).groupBy(F.col("_metadata.file_path")).count()
+    assert files.count() >= 16 and files.agg(F.max("count")).first()[0] <= 1000
+    assert rows(inc.read_target(spark, path).groupBy("event").count(), "event") == [(1, 4000), (9, 4000)]
+
+
+def test_a_single_range_is_folded_in_no_order(spark, path, monkeypatch):
+    monkeypatch.setattr(inc, "cut_ranges", None)
+    for k in range(3):
+        inc.upsert(path, wide_rows(spark, 3000).where(f"key >= {1000 * k}").withColumn("event", F.lit(k)), "key")
+    content = inc.manifest(spark, path)
+    assert len(content["ranges"]) == 1 and content["ranges"][0]["rows"] == 3000 and not content["deltas"]
+    assert rows(inc.read_target(spark, path).groupBy("event").count(), "event") == [(0, 1000), (1, 1000), (2, 1000)]
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_large_batches_are_neither_sorted_nor_probed(spark, path, monkeypatch, few):
+    """Few bounds are compared with each row, many are put in order with the rows; what is folded at once needs no filters."""
+    called = []
+    for name in ("may_hold", "assign_ranges"):
+        monkeypatch.setattr(inc, name, lambda *args, name=name, real=getattr(inc, name): called.append(name) or real(*args))
+    monkeypatch.setattr(inc, "FEW_BOUNDS", few, raising=False)
+    ddl = "a string, b int, event int"
+    first = spark.range(3000).selectExpr("CONCAT('k', id % 40) AS a", "CAST(id AS INT) AS b", "0 AS event")
+    inc.upsert(path, first, ["a", "b"], rows_per_range=200)
+    batch = spark.createDataFrame(rows(first.where("b % 2 = 0").withColumn("event", F.lit(1))) + [("", -1, 1), ("z", 1, 1)], ddl)
+    inc.upsert(path, batch, ["a", "b"])
+    assert called == (["assign_ranges"] if few == 0 else [])
+    content = inc.manifest(spark, path)
+    assert not content["deltas"] and len(content["ranges"]) > 5
+    lows = [tuple(r) for r in inc._bounds(spark, path, content).orderBy("position").select("a", "b").collect()]
+    for k, (low, high) in enumerate(zip([("", -9), *lows], [*lows, ("~", 0)])):
+        assert all(low <= (r["a"], r["b"]) < high for r in inc._read_ranges(spark, path, content, [k]).collect())
+    assert rows(inc.read_target(spark, path).groupBy("event").count(), "event") == [(0, 1500), (1, 1502)]

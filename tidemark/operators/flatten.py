@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import safe_bool, safe_int, safe_timestamp
+from tidemark.session import compiled_methods
 
 
 def _text_leaf(text: Column, payload: Column, path: str) -> Column:
@@ -65,6 +66,7 @@ def flatten_payload(
     The payload is parsed once for all leaves, and Catalyst prunes the parser's
     schema down to the leaves a consumer really reads.
     """
+    compiled_methods(df.sparkSession)
     schema = payload_schema(path for path, _ in leaves.values())
     kept = [F.col(c) if isinstance(c, str) else c for c in keep]
     data = F.col(payload)

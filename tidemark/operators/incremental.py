@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.dedupe import latest_rows
-from tidemark.operators.ranges import RANGE, assign_ranges, bitmaps_needed, bloom_filters, cut_ranges, may_hold
+from tidemark.operators.ranges import FEW_BOUNDS, RANGE, assign_ranges, bitmaps_needed, bloom_filters, compare_ranges, cut_ranges, may_hold
 from tidemark.session import read_marker, storage_path
 
 # Deltas are folded into the base beyond this number, or this part of the base's rows.
@@ -302,10 +302,16 @@ def _write_base(spark: SparkSession, path: str, content: dict, rows: DataFrame,
     """
     keys, aim = content["keys"], content["rows_per_range"]
     pieces = {k: -(-n // aim) for k, n in sizes.items() if n > 2 * aim}
-    cut = cut_ranges(rows, keys, pieces, aim, sum(sizes.values()))
     name = f"base-{uuid.uuid4().hex}"
     most = max([1, *pieces.values()])
-    cut.withColumn(RANGE, F.col(RANGE) * most + F.col("_piece")).drop("_piece").write.partitionBy(RANGE).parquet(f"{path}/{name}")
+    if not pieces and len(content["ranges"]) == 1:
+        # A single range has no order to keep: its rows are written by the tasks that have them.
+        rows.drop(RANGE).write.parquet(f"{path}/{name}/{RANGE}=0")
+    else:
+        cut = cut_ranges(rows, keys, pieces, aim, sum(sizes.values()))
+        # Left as it is where no range is cut: rows are then known to be sorted by it, and not sorted again.
+        placed = cut.withColumn(RANGE, F.col(RANGE) * most + F.col("_piece")) if pieces else cut
+        placed.drop("_piece").write.partitionBy(RANGE).parquet(f"{path}/{name}")
     # Types by schema: folder names alone would decide them.
     written = spark.read.schema(_with_range(_schema(content))).parquet(f"{path}/{name}")
     found = {r[RANGE]: r["n"] for r in written.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
@@ -347,6 +353,10 @@ def _write_base(spark: SparkSession, path: str, content: dict, rows: DataFrame,
     return after
 
 
+def _base_rows(content: dict) -> int:
+    return sum(r["rows"] for r in content["ranges"])
+
+
 def _bounds(spark: SparkSession, path: str, content: dict) -> DataFrame | None:
     if not content["bounds"]:
         return None
@@ -359,7 +369,10 @@ def _write_delta(spark: SparkSession, path: str, content: dict, batch: DataFrame
     name, keys, schema = f"delta-{uuid.uuid4().hex}", content["keys"], _schema(content)
     draft = f"{path}/{name}"
     many = len(content["ranges"]) > 1
-    if many:
+    ordered = len(content["ranges"]) > FEW_BOUNDS + 1
+    if many and not ordered:
+        compare_ranges(batch, keys, _bounds(spark, path, content)).write.parquet(f"{path}/{name}")
+    elif many:
         draft = f"{path}/draft-{uuid.uuid4().hex}"
         batch.write.parquet(draft)
         stored = spark.read.schema(schema).parquet(draft)
@@ -371,8 +384,10 @@ def _write_delta(spark: SparkSession, path: str, content: dict, batch: DataFrame
     rows = {r[RANGE]: r["n"] for r in delta.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
     hit = sorted(rows)
     fs, _ = storage_path(spark, path)
-    if many:
+    if ordered:
         fs.delete(storage_path(spark, draft)[1], True)
+    # A delta that is folded at once is not probed: all ranges that it fell into count as hit.
+    if many and sum(rows.values()) <= DELTA_PART * _base_rows(content):
         entries = [(k, content["ranges"][k]["folder"], content["ranges"][k]["bitmaps"]) for k in rows]
         if entries:
             known = delta.select(RANGE, *keys).join(spark.createDataFrame(entries, f"{RANGE} bigint, folder string, bitmaps bigint"), RANGE)
@@ -439,7 +454,7 @@ def upsert(
         content["marks"] = _marks(spark.read.schema(_schema(before)).parquet(f"{path}/{delta['name']}"), marks, before["marks"])
     publish(spark, path, content)
     grown = sum(n for d in content["deltas"] for n in d["rows"].values())
-    if len(content["deltas"]) > MOST_DELTAS or grown > DELTA_PART * sum(r["rows"] for r in content["ranges"]):
+    if len(content["deltas"]) > MOST_DELTAS or grown > DELTA_PART * _base_rows(content):
         compact(spark, path)
 
 

@@ -1,8 +1,8 @@
 """Key ranges of a stored table: sorted pieces with lower bounds and Bloom filters, so that a batch touches few of them.
 
 Ranges stand in key order; range 0 has no lower bound, every other one starts at its own. The rows
-of a batch find their ranges in one global order together with the bounds: no pair of a row and a
-bound is ever compared, however many ranges there are.
+of a batch find their ranges by comparing with the bounds if these are few, else in one global order together
+with them: no row is compared with many, however many ranges there are.
 """
 
 from __future__ import annotations
@@ -22,6 +22,17 @@ BITS_PER_KEY = 10
 HASHES = 4
 # Fixed by the bitmap functions: bits of one bitmap.
 BITMAP_BITS = 32768
+# Bounds that a row is compared with one by one; beyond that number rows are put in one order with the bounds.
+FEW_BOUNDS = 64
+# Rows that one task sorts and writes: a range is written by several tasks.
+WRITTEN_PER_TASK = 250_000
+
+
+def compare_ranges(rows: DataFrame, keys: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """``rows`` with the number of their range, by comparing each with every bound: for FEW_BOUNDS at most, as they come, in one pass."""
+    lows = bounds.agg(F.collect_list(F.struct(*keys)).alias("_lows"))
+    key = F.struct(*keys)
+    return rows.join(F.broadcast(lows)).withColumn(RANGE, F.size(F.filter("_lows", lambda low: low <= key)).cast("bigint")).drop("_lows")
 
 
 def assign_ranges(rows: DataFrame, keys: Sequence[str], bounds: DataFrame | None, count: int) -> DataFrame:
@@ -43,9 +54,9 @@ def cut_ranges(rows: DataFrame, keys: Sequence[str], pieces: dict[int, int], row
     """Rows with ``_key_range``, sorted by it and by key, and ``_piece``: ranges named in ``pieces`` are cut into that many."""
     ordered = [F.asc(RANGE), *(F.asc(k) for k in keys)]
     if not pieces:
-        tasks = max(1, -(-count // rows_per_range))
+        tasks = max(1, -(-count // min(rows_per_range, WRITTEN_PER_TASK)))
         return rows.repartitionByRange(tasks, *ordered).sortWithinPartitions(*ordered).withColumn(_PIECE, F.lit(0).cast("bigint"))
-    ranked = global_rank(rows, ordered, _RANK, count, rows_per_range)
+    ranked = global_rank(rows, ordered, _RANK, count, min(rows_per_range, WRITTEN_PER_TASK))
     firsts = ranked.where(F.col(RANGE).isin(*pieces)).groupBy(RANGE).agg(F.min(_RANK).alias("_first"))
     sizes = rows.sparkSession.createDataFrame(sorted(pieces.items()), f"{RANGE} bigint, _pieces bigint")
     # One row per range that is cut.
