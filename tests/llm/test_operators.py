@@ -805,3 +805,27 @@ def test_shards_odd(spark, odd, nothing):
     check_shards(odd)
     assert kd_shards.shard_documents(nothing).count() == 0
     assert check_shards(odd, 1)[0].keys() == {0}
+
+
+def test_pseudo_likelihood_words_of_many_texts_at_once(spark, monkeypatch):
+    """Words, places and neighbours of texts side by side are those of each text by itself, however texts are gathered."""
+    rng, odds = np.random.default_rng(3), ["", "  ", "\t a\x0b B\x0c\r\n", " x  y", "A\x1cB  c", "İ ß K"]
+    said = [*odds, *(" ".join(f"W{w}" for w in rng.zipf(1.3, rng.integers(0, 60))) for _ in range(200)), *odds]
+    found, bounds = pseudo_likelihood.split(said)
+    assert [found[a:b].to_pylist() for a, b in zip(bounds[:-1], bounds[1:])] == [pseudo_likelihood.words_of(t) for t in said]
+    every = [w for t in said for w in pseudo_likelihood.words_of(t)]
+    words = pseudo_likelihood.Vocabulary({w: k for k, w in enumerate(sorted(set(every))[:300])})
+    words.hold(sorted(set(every))[300:320], [-1.0] * len(sorted(set(every))[300:320]))
+    framed, side, edge = words.framed(said), pseudo_likelihood.SIDE, pseudo_likelihood.EDGE
+    near, want = framed.neighbours(np.arange(len(every))), []
+    for t in said:
+        tokens = [words.get(w, pseudo_likelihood.KNOWN + zlib.crc32(w) % pseudo_likelihood.MEMBERS) for w in pseudo_likelihood.words_of(t)]
+        padded = [edge] * side + tokens + [edge] * side
+        want += [[padded[k + j] for j in (0, 1, 3, 4)] for k in range(len(tokens))]
+        assert words.tokens(t).tolist() == tokens
+    assert near.tolist() == want
+    docs = spark.createDataFrame([(t,) for t in said], "text string").coalesce(1)
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr(pseudo_likelihood, "AT_ONCE", size)
+        counts = docs.mapInArrow(pseudo_likelihood._counted, "word binary, n bigint").groupBy("word").sum("n").collect()
+        assert {bytes(r[0]): r[1] for r in counts} == dict(Counter(every))

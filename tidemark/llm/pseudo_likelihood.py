@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import Scratch, computed, narrow, small_batches, whole
+from tidemark.llm.common import Scratch, narrow, small_batches, whole
 
 #: Output classes times words per class; the last class takes hash buckets of words outside the vocabulary.
 CLASSES, MEMBERS = 64, 64
@@ -31,17 +34,45 @@ BLOCK = 1 << 15
 COUNTED = 1 << 18
 #: Words after the vocabulary whose shares of their buckets every worker holds; those of all other words are joined.
 NEAR = 1 << 17
+#: Bytes of texts whose words are looked up at once; a longer text by itself.
+AT_ONCE = 1 << 22
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class Places(dict):
-    """Word to place: its token, beyond EDGE a word whose share is held, and for all others the token of their bucket."""
-
-    def __missing__(self, word: bytes) -> int:
-        return KNOWN + crc32(word) % MEMBERS
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts have some AT_ONCE bytes, as a look-up costs as much again as it has words."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // AT_ONCE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                more = int(ends[b - 1] - (ends[a - 1] if a else 0))
+                if held and size + more > AT_ONCE:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
+def split(texts: pa.Array | list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, as ``words_of`` has them, and the bounds of each text's."""
+    if isinstance(texts, list):
+        texts = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()).view(pa.string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.values.view(pa.binary())
+    filled = pc.greater(pc.binary_length(words), 0)  # white space at the ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return words.filter(filled), before[parts.offsets.to_numpy()]
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class Vocabulary(dict):
@@ -66,16 +97,30 @@ class Vocabulary(dict):
         return {k: v for k, v in self.__dict__.items() if k not in ("shares", "rare")}
 
     def hold(self, near: list[bytes], shares: list[float]) -> None:
-        self.places = Places(self)
-        self.places.update(zip(near, range(EDGE + 1, EDGE + 1 + len(near))))
+        self.held = pa.array([*self, *near], pa.binary())
+        self.place_at = np.concatenate([np.fromiter(self.values(), np.int64, len(self)), np.arange(EDGE + 1, EDGE + 1 + len(near))])
         self.token_at = np.concatenate([np.arange(EDGE + 1), [KNOWN + crc32(w) % MEMBERS for w in near]]).astype(np.int64)
         self.share_at = np.concatenate([np.zeros(EDGE + 1), shares])
 
-    def places_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+    def places_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each word: its token, beyond EDGE a word whose share is held; all others get the token of their bucket, and are given with their positions."""
+        at = pc.index_in(words, value_set=self.held).fill_null(-1).to_numpy()
+        rest = np.flatnonzero(at < 0)
+        places, others = self.place_at[at] if len(self.place_at) else np.empty(len(at), np.int64), listed(words.take(pa.array(rest)))
+        places[rest] = np.fromiter((KNOWN + crc32(w) % MEMBERS for w in others), np.int64, len(rest))
+        return places, rest, others
+
+    @property
+    def places(self) -> dict[bytes, int]:
+        """The words that are held, with their places."""
+        return dict(zip(listed(self.held), self.place_at.tolist()))
+
+    def framed(self, texts: pa.Array | list[str]) -> Framed:
+        words, bounds = split(texts)
+        return Framed(self.token_at[self.places_of(words)[0]], bounds)
 
     def tokens(self, text: str) -> np.ndarray:
-        return self.token_at[self.places_of(words_of(text))]
+        return self.framed([text]).tokens
 
     def weighed(self, words: list[bytes], gaps: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The distinct ones of a text's words outside, how often each occurs, and what each adds if it was never counted.
@@ -146,8 +191,13 @@ class Network:
         return cls(*(p.reshape(s).copy() for p, s in zip(parts, shapes)))
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        total = self.bias + sum(self.places[k][near[:, k]] for k in range(2 * SIDE))
-        return np.concatenate([np.tanh(total), np.ones((len(near), 1), np.float32)], 1)
+        total = self.places[0].take(near[:, 0], 0)
+        for k in range(1, 2 * SIDE):
+            total += self.places[k].take(near[:, k], 0)
+        total += self.bias
+        out = np.ones((len(near), WIDTH + 1), np.float32)
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def _by_class(self, near: np.ndarray, target: np.ndarray):
         """The order that sorts targets by class, in which come: hidden layer, classes, words in class; and the bounds of classes."""
@@ -209,33 +259,47 @@ class Network:
             self.places[k][column[first]] -= (rate * moved / np.sqrt(count)[:, None]).astype(np.float32)
 
 
+class Framed:
+    """The tokens of texts one after another, with EDGE beyond the ends of each."""
+
+    def __init__(self, tokens: np.ndarray, bounds: np.ndarray):
+        self.tokens, self.text = tokens, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.place = np.arange(len(tokens)) - bounds[self.text]  # in its text
+        self.framed = np.full(len(tokens) + SIDE * len(bounds), EDGE, np.int64)
+        self.framed[np.arange(len(tokens)) + SIDE * (self.text + 1)] = tokens
+
+    def neighbours(self, at: np.ndarray) -> np.ndarray:
+        """The SIDE tokens on either side of each."""
+        first = at + SIDE * self.text[at]
+        return np.stack([self.framed[first + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+
+
 def neighbours(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The SIDE tokens on either side of each place; EDGE beyond the ends."""
-    framed = np.concatenate([np.full(SIDE, EDGE), tokens, np.full(SIDE, EDGE)])
-    return np.stack([framed[at + k] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+    """Of one text's tokens."""
+    return Framed(tokens, np.array([0, len(tokens)])).neighbours(at)
 
 
-def _masked(tokens: np.ndarray, epoch: int) -> np.ndarray:
-    """Places predicted in training: each token with chance 1 / MASKED, by a hash of its place and itself."""
-    at = np.arange(len(tokens), dtype=np.uint64)
-    mixed = (at * np.uint64(0x9E3779B97F4A7C15) + tokens.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(epoch + 1)) * np.uint64(0xD6E8FEB86659FD93)
+def _masked(place: np.ndarray, tokens: np.ndarray, epoch: int) -> np.ndarray:
+    """Which tokens are predicted in training: each with chance 1 / MASKED, by a hash of its place in its text and itself."""
+    mixed = (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tokens.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(epoch + 1)) * np.uint64(0xD6E8FEB86659FD93)
     return np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(MASKED) == 0)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter[bytes] = Counter()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: list[pa.Table] = []
 
-    def rows() -> pd.DataFrame:
-        frame = pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
-        seen.clear()
-        return frame
+    def rows() -> list[pa.RecordBatch]:
+        summed = pa.concat_tables(found).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        found.clear()
+        return summed.to_batches()
 
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update(words_of(text))
-            if len(seen) >= COUNTED:
-                yield rows()
-    yield rows()
+    for batch in gathered(batches):
+        counts = split(batch.column("text"))[0].value_counts()
+        found.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+        if sum(map(len, found)) >= COUNTED:
+            yield from rows()
+    if found:
+        yield from rows()
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,7 +366,7 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     texts = narrow(docs, text=whole(f"`{text_col}`"))
-    counts = texts.mapInPandas(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = Scratch(spark, "words").table(counts, "counts")
     top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
     if not top:
@@ -318,7 +382,7 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
         start = spark.sparkContext.broadcast((words, network.vector()))
         rate = RATE * 0.5**epoch
 
-        def fitted(batches: Iterator[pd.DataFrame], start=start, epoch=epoch, rate=rate) -> Iterator[pd.DataFrame]:
+        def fitted(batches: Iterator[pa.RecordBatch], start=start, epoch=epoch, rate=rate) -> Iterator[pa.RecordBatch]:
             known, flat = start.value
             own, near, target, seen = Network.of(flat), [], [], 0
 
@@ -331,22 +395,22 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
                 near, target = [x[until:]], [y[until:]]
 
             held = 0
-            for batch in batches:
-                for text in batch["text"]:
-                    tokens = known.tokens(text)
-                    at = _masked(tokens, epoch)
-                    if len(at):
-                        near.append(neighbours(tokens, at))
-                        target.append(tokens[at])
-                        seen, held = seen + len(at), held + len(at)
-                        if held >= 16 * BATCH:
-                            learn(False)
-                            held = len(target[0])
+            for batch in gathered(batches):
+                framed = known.framed(batch.column("text"))
+                at = _masked(framed.place, framed.tokens, epoch)
+                if len(at):
+                    near.append(framed.neighbours(at))
+                    target.append(framed.tokens[at])
+                    seen, held = seen + len(at), held + len(at)
+                    if held >= 16 * BATCH:
+                        learn(False)
+                        held = len(target[0])
             if seen:
                 learn(True)
                 # Rows of words that this partition lacks have not moved: zeros, which shuffle files compress.
                 moved = (own.vector() - flat) * np.float32(seen)
-                yield pd.DataFrame({"piece": range(PIECES), "seen": seen, "sums": np.array_split(moved, PIECES)})
+                sums = pa.array(np.array_split(moved, PIECES), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([seen] * PIECES, pa.int64()), sums], ["piece", "seen", "sums"])
 
         def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: dict[int, tuple[int, np.ndarray]] = {}
@@ -356,7 +420,7 @@ def train(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> tupl
                     sums[piece] = (n + seen, before + np.asarray(more, np.float64))
             yield pd.DataFrame([(k, n, x) for k, (n, x) in sums.items()], columns=["piece", "seen", "sums"])
 
-        steps = texts.mapInPandas(fitted, "piece int, seen bigint, sums array<float>")
+        steps = texts.mapInArrow(fitted, "piece int, seen bigint, sums array<float>")
         # Each piece of the network is summed in one task, row by row as they arrive.
         got = steps.repartition(PIECES, "piece").mapInPandas(added, "piece int, seen bigint, sums array<double>").orderBy("piece").collect()
         if got:
@@ -377,45 +441,37 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None, id_col: str
     sent = spark.sparkContext.broadcast(None if model is None else (model[0], model[1].vector()))
     loaded: dict = {}
 
-    def scored(texts: list[str]) -> list[list]:
+    def scored(texts: pa.Array) -> list[Sequence]:
+        """Sizes, sums, and of each text's words outside: themselves, how often, and what they add if they were never counted."""
         if sent.value is None:
             return [[0] * len(texts), [0.0] * len(texts), *([[]] * len(texts) for _ in range(3))]
         if "network" not in loaded:
             loaded["words"], loaded["network"] = sent.value[0], Network.of(sent.value[1])
         known = loaded["words"]
-        sizes, outside, gaps = [], [], [np.zeros(0)]
-        sums, near, target, apart, owner, held = np.zeros(len(texts)), [], [], [], [], 0
-
-        def flush() -> None:
-            if held:
-                y = np.concatenate(target)
-                p, other = loaded["network"].log_probability(np.concatenate(near), y, known.left)
-                np.add(sums, np.bincount(np.concatenate(owner), p, len(texts)), out=sums)
-                gaps.append((other - p)[np.concatenate(apart)])
-
-        for k, text in enumerate(texts):
-            said = words_of(text)
-            place = known.places_of(said)
-            t = known.token_at[place]
-            sizes.append(len(t))
-            sums[k] = known.share_at[place].sum()
-            outside.append([said[i] for i in np.flatnonzero((place >= KNOWN) & (place < EDGE)).tolist()])
-            for a in range(0, len(t), BLOCK):
-                at = np.arange(a, min(a + BLOCK, len(t)))
-                near.append(neighbours(t, at))
-                target.append(t[at])
-                apart.append((place[at] >= KNOWN) & (place[at] < EDGE))
-                owner.append(np.full(len(at), k))
-                held += len(at)
-                if held >= BLOCK:
-                    flush()
-                    near, target, apart, owner, held = [], [], [], [], 0
-        flush()
-        each = np.split(np.concatenate(gaps), np.cumsum([len(w) for w in outside])[:-1])
-        return [sizes, sums.tolist(), *zip(*map(known.weighed, outside, each))]
+        words, bounds = split(texts)
+        place, rest, others = known.places_of(words)
+        framed = Framed(known.token_at[place], bounds)
+        sums, gaps = np.bincount(framed.text, known.share_at[place], len(texts)), np.zeros(len(place))
+        for a in range(0, len(place), BLOCK):
+            at = np.arange(a, min(a + BLOCK, len(place)))
+            p, other = loaded["network"].log_probability(framed.neighbours(at), framed.tokens[at], known.left)
+            sums += np.bincount(framed.text[at], p, len(texts))
+            gaps[at] = other - p
+        cut = np.searchsorted(rest, bounds)
+        outside = [others[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        return [np.diff(bounds), sums, *zip(*map(known.weighed, outside, np.split(gaps[rest], cut[1:-1])))]
+
+    outputs = "n_tokens bigint, log_likelihood double, word array<binary>, times array<bigint>, unseen array<double>"
+    schema = to_arrow_schema(StructType.fromDDL(outputs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
+            made = [pa.array(v, f.type) for v, f in zip(scored(batch.column("text")), schema)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", *schema.names])
 
     source = narrow(docs, id=id_col, text=whole(f"`{text_col}`"))
-    out = computed(source, ["text"], "n_tokens bigint, log_likelihood double, word array<binary>, times array<bigint>, unseen array<double>", scored)
+    small_batches(spark)
+    out = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, {outputs}")
     if model is None:
         out = out.drop("word", "times", "unseen")
     else:
