@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import json
 
 from conftest import plan, rows
@@ -14,6 +15,7 @@ from tidemark.operators.incremental import manifest, read_target
 from tidemark.operators.quality import Unique, repeated_values, run_checks
 from tidemark.plans.incremental_staging import stage_increment, unread_records
 from tidemark.plans.repository_activity import stage_branches
+from tidemark.sources import sinks
 from tidemark.sources.readers import read_landing
 from tidemark.sources.sinks import write_landing
 
@@ -101,3 +103,14 @@ def test_the_listed_columns_do_not_depend_on_order(spark):
     df = spark.createDataFrame(data, f"p {kind}, q {kind}, r {kind}")
     (found,) = rows(df.select(*[fp.listed_columns(F.col(c)) for c in "pqr"]))
     assert found[0] == found[1] != found[2]
+
+
+def test_landed_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "landing"
+    monkeypatch.setattr(sinks, "LANDED_PER_FILE", 100)
+    data = [record(f"branch-{k}", str(k), at(k)) for k in range(950)]
+    write_landing(spark.createDataFrame(data, LANDED).coalesce(1), str(landing))
+    files = [gzip.decompress(f.read_bytes()).splitlines() for f in landing.glob("*.json.gz")]
+    assert sorted(map(len, files)) == [50, *[100] * 9]
+    assert sum(f.stat().st_size for f in landing.glob("part-*")) < 0.2 * sum(len(line) + 1 for lines in files for line in lines)
+    assert sorted(rows(read_landing(spark, str(landing)).select("data", "_sdc_extracted_at"))) == sorted((r[0], r[1].replace(tzinfo=None)) for r in data)
