@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from conftest import plan, rows
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as inc
 from tidemark.operators import ranges
-from tidemark.session import path_exists, scratch_path
+from tidemark.session import cut_lineage, dropped_checkpoints, freed_shuffles, path_exists, scratch_path, shared_folder
 from tidemark.sources.readers import Sources, query, read_landing, sample_rows
 from tidemark.streaming.upsert import stream_upsert
 
@@ -413,3 +415,45 @@ def test_large_batches_are_neither_sorted_nor_probed(spark, path, monkeypatch, f
     for k, (low, high) in enumerate(zip([("", -9), *lows], [*lows, ("~", 0)])):
         assert all(low <= (r["a"], r["b"]) < high for r in inc._read_ranges(spark, path, content, [k]).collect())
     assert rows(inc.read_target(spark, path).groupBy("event").count(), "event") == [(0, 1500), (1, 1502)]
+
+
+def test_loads_leave_no_shuffle_files_and_no_checkpoints(spark, path):
+    """A first load that is cut into ranges, a batch that is ordered with many bounds, and a fold that cuts ranges again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder, checkpoints, chosen = Path(spark.conf.get("spark.local.dir", "/tmp")), Path(shared_folder(spark).removeprefix("file:")), spark.conf.get(key)
+    shuffled = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    kept = lambda: set(checkpoints.glob("rdd-*")) | set(checkpoints.glob("*/rdd-*"))
+    batches = [wide_rows(spark, 20_000).where(c).repartition(3) for c in ("key % 2 = 0", "key % 100 = 1", "true")]
+    before, checkpointed = shuffled(), kept()
+    wide_rows(spark, 100).repartition(3).write.format("noop").mode("overwrite").save()
+    stay = shuffled() - before
+    if not stay:
+        pytest.skip("shuffle files of this session are not to be seen")
+    for batch in batches:
+        inc.upsert(path, batch, "key", rows_per_range=100)
+    assert len(inc.manifest(spark, path)["ranges"]) > ranges.FEW_BOUNDS + 1 and not inc.manifest(spark, path)["deltas"]
+    for _ in range(50):
+        if not (left := shuffled() - before - stay):
+            break
+        time.sleep(0.1)
+    assert not left and kept() <= checkpointed and spark.conf.get(key) == chosen
+    assert inc.read_target(spark, path).count() == 20_000
+
+
+def test_blocks_that_free_files_may_nest_and_run_at_once(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    chosen = spark.conf.get(key)
+
+    def nested(k):
+        with freed_shuffles(spark), dropped_checkpoints(spark):
+            with dropped_checkpoints(spark):
+                inner = cut_lineage(spark.range(k + 1)).count()
+            outer = cut_lineage(spark.range(10))
+            with freed_shuffles(spark):
+                time.sleep(0.05 * (k % 3))
+            assert spark.conf.get(key) == "true" and outer.count() == 10
+            return inner
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(nested, range(8))) == list(range(1, 9))
+    assert spark.conf.get(key) == chosen

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.dedupe import latest_rows
 from tidemark.operators.ranges import FEW_BOUNDS, RANGE, assign_ranges, bitmaps_needed, bloom_filters, compare_ranges, cut_ranges, may_hold
-from tidemark.session import read_marker, storage_path
+from tidemark.session import dropped_checkpoints, freed_shuffles, read_marker, storage_path
 
 # Deltas are folded into the base beyond this number, or this part of the base's rows.
 MOST_DELTAS = 16
@@ -308,10 +308,11 @@ def _write_base(spark: SparkSession, path: str, content: dict, rows: DataFrame,
         # A single range has no order to keep: its rows are written by the tasks that have them.
         rows.drop(RANGE).write.parquet(f"{path}/{name}/{RANGE}=0")
     else:
-        cut = cut_ranges(rows, keys, pieces, aim, sum(sizes.values()))
-        # Left as it is where no range is cut: rows are then known to be sorted by it, and not sorted again.
-        placed = cut.withColumn(RANGE, F.col(RANGE) * most + F.col("_piece")) if pieces else cut
-        placed.drop("_piece").write.partitionBy(RANGE).parquet(f"{path}/{name}")
+        with dropped_checkpoints(spark):
+            cut = cut_ranges(rows, keys, pieces, aim, sum(sizes.values()))
+            # Left as it is where no range is cut: rows are then known to be sorted by it, and not sorted again.
+            placed = cut.withColumn(RANGE, F.col(RANGE) * most + F.col("_piece")) if pieces else cut
+            placed.drop("_piece").write.partitionBy(RANGE).parquet(f"{path}/{name}")
     # Types by schema: folder names alone would decide them.
     written = spark.read.schema(_with_range(_schema(content))).parquet(f"{path}/{name}")
     found = {r[RANGE]: r["n"] for r in written.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
@@ -376,8 +377,9 @@ def _write_delta(spark: SparkSession, path: str, content: dict, batch: DataFrame
         draft = f"{path}/draft-{uuid.uuid4().hex}"
         batch.write.parquet(draft)
         stored = spark.read.schema(schema).parquet(draft)
-        assigned = assign_ranges(stored, keys, _bounds(spark, path, content), stored.count() + len(content["ranges"]))
-        assigned.write.parquet(f"{path}/{name}")
+        with dropped_checkpoints(spark):
+            assigned = assign_ranges(stored, keys, _bounds(spark, path, content), stored.count() + len(content["ranges"]))
+            assigned.write.parquet(f"{path}/{name}")
     else:
         batch.withColumn(RANGE, F.lit(0).cast("bigint")).write.parquet(draft)
     delta = spark.read.schema(_with_range(schema)).parquet(f"{path}/{name}")
@@ -416,8 +418,15 @@ def upsert(
     them again.  Keys, schema, ``newer_by`` and ``rows_per_range`` are fixed by the first load; a batch that does not
     fit is refused before anything is written.  What is written is the batch, plus now and then the
     ranges it fell into; what is read is the batch, bounds and filters.  The same batch twice changes nothing.
-    ``marks`` names columns whose largest loaded value the manifest keeps.
+    ``marks`` names columns whose largest loaded value the manifest keeps. A load's shuffle files go with each step.
     """
+    with freed_shuffles(batch.sparkSession):
+        _upsert(path, batch, key, newer_by, full_refresh, marks, rows_per_range)
+
+
+def _upsert(
+    path: str, batch: DataFrame, key: str | Sequence[str], newer_by: str | None, full_refresh: bool, marks: Sequence[str], rows_per_range: int | None
+) -> None:
     spark = batch.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
     before = manifest(spark, path)
@@ -460,6 +469,11 @@ def upsert(
 
 def compact(spark: SparkSession, path: str) -> None:
     """Folds the deltas into the ranges they fell into; rows stay the same, so do all other ranges' files."""
+    with freed_shuffles(spark):
+        _fold(spark, path)
+
+
+def _fold(spark: SparkSession, path: str) -> None:
     content = manifest(spark, path)
     if not content or not content["deltas"]:
         return
