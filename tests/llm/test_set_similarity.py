@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tidemark.llm import set_similarity
+from tidemark.llm import set_similarity, simhash_ball
 from tidemark.llm.common import Scratch
 
 
@@ -148,3 +148,20 @@ def test_written_tables_free_their_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and spark.conf.get(key) == chosen
+
+
+def test_pipeline_links_by_fingerprints_too(spark):
+    """Texts that repeat a line so often that their own words hardly count: alike by fingerprints, not by sets, and a set's copy of one of them."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, other = fresh(9), fresh(60)
+    a, b = (line * 60 + fresh(20) for _ in range(2))
+    rows = [(4, other), (3, a), (9, a + fresh(3)), (2, b), (8, other + fresh(3)), (1, fresh(30))]
+    rows = [(k, " ".join(t)) for k, t in rows]
+    sets, prints = {k: shingle_set(t) for k, t in rows}, {k: simhash_ball.simhash(t) for k, t in rows}
+    assert bin((prints[3] ^ prints[2]) & (1 << 64) - 1).count("1") <= simhash_ball.RADIUS
+    assert 5 * len(sets[3] & sets[2]) < 4 * len(sets[3] | sets[2]) and 5 * len(sets[3] & sets[9]) >= 4 * len(sets[3] | sets[9])
+    assert 5 * len(sets[4] & sets[8]) >= 4 * len(sets[4] | sets[8])
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], DOCS)
+    kept = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [1, 2, 4]
